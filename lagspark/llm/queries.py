@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import near_dup
+from . import exact_dup, near_dup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,20 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).drop("class_id")
 
 
+def op3_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dup.decisions(_table(spark, sf_dir, "documents")).drop("h")
+
+
+EXACT_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as n from documents),
+g as (select *, first_value(doc_id) over (partition by n order by length(t) desc, doc_id) as keep_id, count(*) over (partition by n) as group_size from d)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n) as text_sha256 from g
+"""
+
+
 def queries() -> dict:
-    return {"op1_near_dup": op1_near_dup}
+    return {"op1_near_dup": op1_near_dup, "op3_exact_dup": op3_exact_dup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dup": EXACT_SQL}
