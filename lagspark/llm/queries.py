@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dup, near_dup
+from . import exact_dup, mixing, near_dup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,45 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n) as text_
 """
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+MIX_SQL = r"""
+with lab as (select doc_id, max(quality) as q from labels where doc_id is not null group by 1),
+d as (select d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+        1 - pow((('0x' || substr(md5(coalesce(d.doc_id::varchar, 'null')), 1, 13))::bigint + 0.5::double) / 4503599627370496::double,
+                1 / (case when q > 0 then 2.0::double when q <= 0 then 0.5::double else 1.0::double end)) as key
+      from documents d left join lab on d.doc_id = lab.doc_id),
+s as (select source, sum(size)::bigint as source_size from d group by 1),
+r as (select *, [5.0::double, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w, 3 * source_size as cap from s),
+c as (select *, (sum(source_size) over ())::double - coalesce(sum(cap) over b, 0)::double as lft, sum(w) over () - coalesce(sum(w) over b, 0) as left_w
+      from r window b as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
+f as (select *, cap * left_w < w * lft as is_full from c),
+l as (select *, min_by({'a': lft, 'b': left_w}, case when not is_full then cap / w end) over () as lev from f),
+t as (select source, source_size, case when is_full then cap::double else w * lev.a / lev.b end as target from l),
+e as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t),
+p as (select d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as rest,
+        coalesce(sum(size) over (partition by d.source order by key, doc_id rows between unbounded preceding and 1 preceding), 0) as ahead
+      from d join e on d.source is not distinct from e.source)
+select doc_id, size, source_size, target, (size * case when size > 0 then epochs + (ahead + size / 2 <= rest)::int else 0 end)::bigint as taken from p
+"""
+
+
 def queries() -> dict:
-    return {"op1_near_dup": op1_near_dup, "op3_exact_dup": op3_exact_dup}
+    return {"op1_near_dup": op1_near_dup, "op3_exact_dup": op3_exact_dup, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dup": EXACT_SQL}
+    return {"op3_exact_dup": EXACT_SQL, "op10_mixing": MIX_SQL}
