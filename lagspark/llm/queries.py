@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dup, mixing, near_dup, packing
+from . import exact_dup, mixing, near_dup, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -65,7 +69,7 @@ select doc_id, size, source_size, target, (size * case when size > 0 then epochs
 
 
 def queries() -> dict:
-    return {"op1_near_dup": op1_near_dup, "op3_exact_dup": op3_exact_dup, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
+    return {"op1_near_dup": op1_near_dup, "op3_exact_dup": op3_exact_dup, "op6_quality": op6_quality, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
