@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dup, mixing, near_dup, packing, quality
+from . import exact_dup, mixing, near_dup, packing, quality, warc
+from .shared import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,26 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).drop("class_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    path = Scratch(spark, "warc").path("archives")
+    warc.write(pages, path)
+    return warc.read(spark, path).drop("intact")
+
+
+WARC_SQL = r"""
+with p as (select page_id, coalesce(html, '') as t from pages),
+h as (select page_id, strlen(t) as n, sha1(t) as hex from p),
+d as (select *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((list_aggregate(list_transform(range(5), lambda j: (strpos('0123456789abcdef', substr(hex, ((i // 4) * 5 + j + 1)::int, 1)) - 1) * (16 ** (4 - j))::bigint), 'sum')::bigint
+      >> (15 - 5 * (i % 4))::int) & 31)::int + 1, 1)), 'string_agg', '') as digest from h),
+f as (select *, max(page_id) over (partition by hex, n) as keep from d)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when keep is not null and page_id is distinct from keep then 'revisit' else 'response' end as record_type,
+  case when keep is not null and page_id is distinct from keep then keep end as refers_to from f
+"""
+
+
 def op3_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dup.decisions(_table(spark, sf_dir, "documents")).drop("h")
 
@@ -69,8 +90,8 @@ select doc_id, size, source_size, target, (size * case when size > 0 then epochs
 
 
 def queries() -> dict:
-    return {"op1_near_dup": op1_near_dup, "op3_exact_dup": op3_exact_dup, "op6_quality": op6_quality, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
+    return {"op1_near_dup": op1_near_dup, "op2_warc": op2_warc, "op3_exact_dup": op3_exact_dup, "op6_quality": op6_quality, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dup": EXACT_SQL, "op10_mixing": MIX_SQL}
+    return {"op2_warc": WARC_SQL, "op3_exact_dup": EXACT_SQL, "op10_mixing": MIX_SQL}
