@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dup, mixing, near_dup, packing, quality, warc
+from . import exact_dup, lm, mixing, near_dup, packing, quality, warc
 from .shared import Scratch
 
 
@@ -63,6 +63,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -90,7 +94,7 @@ select doc_id, size, source_size, target, (size * case when size > 0 then epochs
 
 
 def queries() -> dict:
-    return {"op1_near_dup": op1_near_dup, "op2_warc": op2_warc, "op3_exact_dup": op3_exact_dup, "op6_quality": op6_quality, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
+    return {"op1_near_dup": op1_near_dup, "op2_warc": op2_warc, "op3_exact_dup": op3_exact_dup, "op6_quality": op6_quality, "op7_packing": op7_packing, "op9_lm_score": op9_lm_score, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
