@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dup, lm, mixing, near_dup, packing, quality, warc
+from . import exact_dup, lm, mixing, near_dup, packing, quality, secrets, warc
 from .shared import Scratch
 
 
@@ -55,6 +55,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    models = secrets.Models.train(secrets.labelled_samples(docs, _table(spark, sf_dir, "labels")))
+    return secrets.scan(docs, models)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(_table(spark, sf_dir, "documents"))
 
@@ -94,7 +100,7 @@ select doc_id, size, source_size, target, (size * case when size > 0 then epochs
 
 
 def queries() -> dict:
-    return {"op1_near_dup": op1_near_dup, "op2_warc": op2_warc, "op3_exact_dup": op3_exact_dup, "op6_quality": op6_quality, "op7_packing": op7_packing, "op9_lm_score": op9_lm_score, "op10_mixing": op10_mixing}
+    return {"op1_near_dup": op1_near_dup, "op2_warc": op2_warc, "op3_exact_dup": op3_exact_dup, "op4_secrets": op4_secrets, "op6_quality": op6_quality, "op7_packing": op7_packing, "op9_lm_score": op9_lm_score, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
