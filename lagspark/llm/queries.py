@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dup, lm, mixing, near_dup, packing, quality, secrets, warc
+from . import chat, exact_dup, licenses, lm, mixing, near_dup, packing, quality, secrets, warc
 from .shared import Scratch
 
 
@@ -61,6 +61,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, models)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
@@ -100,7 +108,7 @@ select doc_id, size, source_size, target, (size * case when size > 0 then epochs
 
 
 def queries() -> dict:
-    return {"op1_near_dup": op1_near_dup, "op2_warc": op2_warc, "op3_exact_dup": op3_exact_dup, "op4_secrets": op4_secrets, "op6_quality": op6_quality, "op7_packing": op7_packing, "op9_lm_score": op9_lm_score, "op10_mixing": op10_mixing}
+    return {"op1_near_dup": op1_near_dup, "op2_warc": op2_warc, "op3_exact_dup": op3_exact_dup, "op4_secrets": op4_secrets, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_lm_score": op9_lm_score, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
