@@ -164,13 +164,12 @@ def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stay = decisions(docs, capacity).where("kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    cols = docs.columns
-    marked = docs.withColumn("__h2", F.xxhash64("text"))
-    out = marked.join(stay.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")), "left_semi")
-    # Rows that repeat doc_id and text passed together; number them and keep one.
-    again = docs.groupBy(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h")).agg(F.count("*").alias("c")).where("c > 1").select("__id", "__h")
+    every = Scratch(docs.sparkSession, "exact-dup").put("decisions", decisions(docs, capacity).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "kept"))
+    cols, marked = docs.columns, docs.withColumn("__h2", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h"))
-    once = out.join(again, same, "left_anti")
-    few = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__h2"])
-    return once.unionByName(few).select(*cols)
+    out = marked.join(every.where("kept").drop("kept"), same, "left_semi")
+    # Rows that repeat doc_id and text pass together; of these one is kept.
+    again = every.groupBy("__id", "__h").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    if not again.isEmpty():
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__h2"]))
+    return out.select(*cols)
