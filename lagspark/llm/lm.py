@@ -63,8 +63,8 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 def _grams(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(first, grams): tokens of document d are first[d]..first[d + 1] - 1, words then
-    the end; grams[n - 1] holds the key of the n-gram that ends at each token,
-    with the beginning as a word, and grams[order] that of the history for n = 2."""
+    the end; grams[n - 1] holds the key of the n-gram that ends at each token, the
+    beginning being a word, and grams[order + 1] each token's place in its document."""
     counts, hashes = [], []
     for _, _, w in T.batches(table.column("text")):
         counts.append(w.counts)
@@ -97,11 +97,36 @@ def _grams(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return first, grams
 
 
-def _levels(grams: list[np.ndarray], order: int, use: np.ndarray) -> list[np.ndarray]:
-    """Keys to count at the tokens marked in use: 1-grams, beginnings, then n-grams of whole length."""
-    room = grams[order + 1]
-    out = [grams[0][use], grams[order][use & (room == 0)]]
-    return out + [grams[n - 1][use & (room >= n - 2)] for n in range(2, order + 1)]
+class Grams:
+    """The distinct n-grams of some tokens, and which of them ends at each token.
+
+    keys: sorted; place[n - 1][i]: position in keys of the n-gram that ends at
+    token i, where real[n - 1][i]; begin: positions of the beginning, once a document.
+    """
+
+    def __init__(self, first: np.ndarray, grams: list[np.ndarray], order: int):
+        room = grams[order + 1]
+        self.real = [np.ones(len(room), bool)] + [room >= n - 2 for n in range(2, order + 1)]
+        parts = [grams[0], np.full(len(first) - 1, _BEGIN, np.uint64)] + [g[r] for g, r in zip(grams[1:order], self.real[1:])]
+        every = np.concatenate(parts)
+        by = np.argsort(every)
+        own = every[by]
+        fresh = np.empty(len(own), bool)
+        fresh[:1], fresh[1:] = True, own[1:] != own[:-1]
+        self.keys = own[fresh]
+        where = np.empty(len(own), np.int32)
+        where[by] = np.cumsum(fresh, dtype=np.int32) - 1
+        cut = np.cumsum([0] + [len(p) for p in parts])
+        place = [where[i:j] for i, j in zip(cut[:-1], cut[1:])]
+        self.begin, self.place = place[1], [place[0], *place[2:]]
+
+    def counts(self, use: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """How often each n-gram ends at the tokens marked in use; docs: their documents."""
+        n = len(self.keys)
+        out = np.bincount(self.begin[docs], minlength=n)
+        for p, r in zip(self.place, self.real):
+            out += np.bincount(p[use[r]], minlength=n)
+        return out
 
 
 def score(docs: DataFrame, *, order: int = ORDER, prior: float = PRIOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -122,21 +147,20 @@ def score(docs: DataFrame, *, order: int = ORDER, prior: float = PRIOR, chunk_by
 
     def requests(key: tuple, table: pa.Table) -> pa.Table:
         first, grams = _grams(table, order)
-        train = ~np.repeat(np.array(table.column("held"), bool), np.diff(first))
-        keys = np.unique(np.concatenate(_levels(grams, order, np.ones(len(train), bool))))
-        seen, often = np.unique(np.concatenate(_levels(grams, order, train)), return_counts=True)
-        counts = np.zeros(len(keys), np.int64)
-        counts[np.searchsorted(keys, seen)] = often
-        words = np.unique(grams[0][train])
+        docs = ~np.array(table.column("held"), bool)
+        train = np.repeat(docs, np.diff(first))
+        known = Grams(first, grams, order)
+        keys, counts = known.keys, known.counts(train, docs)
+        word = np.zeros(len(keys), bool)
+        word[known.place[0][train]] = True
         cut = np.searchsorted(keys, _bounds(n))
-        cut_words = np.searchsorted(words, _bounds(n))
         tokens = np.concatenate(([int(train.sum())], np.zeros(n - 1, np.int64)))
         return pa.table({
             "shard": pa.array(range(n), pa.int32()),
             "chunk": pa.array([key[0].as_py()] * n, pa.int32()),
             "keys": pa.array([pack_keys(keys[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
             "counts": pa.array([pack_counts(counts[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-            "words": pa.array([_marks(keys[a:b], words[c:d]) for a, b, c, d in zip(cut[:-1], cut[1:], cut_words[:-1], cut_words[1:])], pa.binary()),
+            "words": pa.array([np.packbits(word[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
             "tokens": pa.array(tokens, pa.int64()),
         })
 
@@ -145,8 +169,8 @@ def score(docs: DataFrame, *, order: int = ORDER, prior: float = PRIOR, chunk_by
         sizes = np.cumsum([0] + [len(k) for k in keys])
         every = np.concatenate(keys)
         distinct, where = np.unique(every, return_inverse=True)
-        totals = np.zeros(len(distinct), np.int64)
-        np.add.at(totals, where, np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()]))
+        counts = np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()])
+        totals = np.bincount(where, counts, len(distinct)).astype(np.int64)  # exact below 2**53
         is_word = np.zeros(len(distinct), bool)
         for i, marks in enumerate(table.column("words").to_pylist()):
             own = where[sizes[i] : sizes[i + 1]]
@@ -167,18 +191,18 @@ def score(docs: DataFrame, *, order: int = ORDER, prior: float = PRIOR, chunk_by
         n_train, v = sum(answer.column("tokens").to_pylist()), sum(answer.column("vocabulary").to_pylist())
         totals = np.concatenate([unpack_counts(x) for x in answer.column("totals").to_pylist()])
         first, grams = _grams(table, order)
-        keys = np.unique(np.concatenate(_levels(grams, order, np.ones(first[-1], bool))))
-        count = lambda k: totals[np.searchsorted(keys, k)]
-        known = count(grams[0])
+        own, ends = Grams(first, grams, order), first[:-1]
+        known = totals[own.place[0]]
         plain = (known + 1) / (n_train + 1 * (v + 1))
-        p, state = plain, count(grams[order])  # c(history) for n = 2
-        for k in range(2, order + 1):
-            real = grams[order + 1] >= k - 2
+        p, arc = plain, known
+        for place, real in zip(own.place[1:], own.real[1:]):
+            # A state is the n-gram that ended at the token before; at the start, the beginning.
+            state = np.empty_like(arc)
+            state[1:] = arc[:-1]
+            state[ends] = totals[own.begin] if place is own.place[1] else 0
             arc = np.zeros(len(p), np.int64)
-            arc[real] = count(grams[k - 1][real])
+            arc[real] = totals[place]
             p = np.where(real, (arc + prior * p) / (state + prior), p)
-            state = np.concatenate(([0], arc[:-1]))  # the history that the next, longer state has
-        ends = first[:-1]
         return pa.table({
             "doc_id": table.column("doc_id"),
             "held_out": table.column("held"),
@@ -198,9 +222,3 @@ def _bounds(n: int) -> np.ndarray:
     """Lower ends of n equal ranges of 64-bit keys, and the upper end of the last."""
     return np.array([(i << 64) // n for i in range(n)] + [(1 << 64) - 1], np.uint64)
 
-
-def _marks(keys: np.ndarray, words: np.ndarray) -> bytes:
-    """A bit per key that tells training words."""
-    marks = np.zeros(len(keys), bool)
-    marks[np.searchsorted(keys, words)] = True
-    return np.packbits(marks).tobytes()
