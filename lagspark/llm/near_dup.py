@@ -5,11 +5,13 @@ read at K consecutive shifts, so signature coordinate k of a document is the
 least ``pi[(slot + k) mod D]`` over its shingles.  Bands of coordinates give
 candidate buckets.  Documents with equal shingle sets are one class from the
 start, so copies never multiply.  Within a bucket, members are first compared
-with a centre, the member that meets most others over all buckets; a bucket
-whose members are then in different components is compared further until no
-pair of members in different components is left unchecked, so an edge between
-different texts is lost only if no band meets (at similarity 0.75 with the
-defaults, 2 in 100,000).
+with a centre, the member that meets most others over all buckets, and what
+that leaves in different components pair by pair.  Counts of shared shingles
+bound the similarity a pair can have, so hardly any pairs are left to compare:
+shingles that no other candidate has are in no intersection; a pair either has
+a shingle that at most three candidates share, and is found by it, or its
+intersection has frequent shingles only.  None of this loses a link; the bands
+miss one at similarity 0.75 with probability 2 in 100,000.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .shared import Scratch, partitions
 CIRCLE_BITS = 20
 #: Members of one comparison chunk; a centre's text is repeated once per chunk.
 CHUNK = 512
-#: Unresolved buckets up to this size are compared in full; larger ones are first split by a second band.
-SMALL = 64
+#: Bands of the first round, which joins most near copies before the others are looked at.
+FIRST = 8
 
 
 def _circle(k: int) -> np.ndarray:
@@ -83,21 +85,19 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, n: int
     """(a, b) of those pairs (a: centre) whose full shingle sets have 100 * intersection >= percent * union.
 
     Members stream past their centre, sorted behind it, in chunks of a bounded
-    number; a task holds one centre at a time.  texts: (doc_id, n_shingles, fa, fb, text).
+    number; a task holds one centre at a time.  texts: (doc_id, text), ids distinct.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    text = texts.select("doc_id", "fa", "fb", "text")
-    centre = sizes.join(text, F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "fa", "fb", "text")
-    member = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk")).join(text, F.col("b") == F.col("doc_id")).select("a", "chunk", "b", "fa", "fb", "text")
+    text = texts.select("doc_id", "text")
+    centre = sizes.join(text, F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "text")
+    member = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk")).join(text, F.col("b") == F.col("doc_id")).select("a", "chunk", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for batch in batches:
             sets = [s for _, _, w in T.batches(batch.column("text")) for s in T.shingle_sets(w, words)]
             good = []
-            for a, chunk, b, fa, fb, s in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "b", "fa", "fb")), sets):
-                if tuple(map(int, T.signed(_prints(s)))) != (fa, fb):
-                    continue  # another row that repeats this doc_id
+            for a, chunk, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "b")), sets):
                 if b is None:
                     at, own = (a, chunk), s
                 elif at == (a, chunk):
@@ -110,34 +110,93 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, n: int
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _first_of(texts: DataFrame, words: int) -> DataFrame:
+    """texts without rows that repeat a doc_id with another set than (fa, fb) names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for _, _, w in T.batches(batch.column("text")) for s in T.shingle_sets(w, words)]
+            good = [tuple(map(int, T.signed(_prints(s)))) == own for s, own in zip(sets, zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist()))]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return texts.mapInArrow(run, texts.schema).dropDuplicates(["doc_id"])
+
+
+def _rare(texts: DataFrame, words: int) -> DataFrame:
+    """(c, lo, mid, hi) per shingle that c of the candidate texts have, c being 1, 2 or 3: these texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array(batch.column("doc_id"), np.int64)
+            for i, j, w in T.batches(batch.column("text")):
+                sets = T.shingle_sets(w, words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], [len(x) for x in sets])), pa.array(T.signed(np.concatenate(sets)))], ["rep", "h"])
+
+    each = texts.select("doc_id", "text").mapInArrow(run, "rep long, h long")
+    few = each.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor("rep").alias("x")).where("c <= 3")
+    return few.select("c", "lo", F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi")).alias("mid"), "hi")
+
+
+def _shared(texts: DataFrame, rare: DataFrame) -> DataFrame:
+    """(rep, m, often): shingles of a text that another candidate has, and that three others have."""
+    has = F.when(F.col("c") == 1, F.array("lo")).when(F.col("c") == 2, F.array("lo", "hi")).otherwise(F.array("lo", "mid", "hi"))
+    own = rare.select("c", F.explode(has).alias("rep")).groupBy("rep").agg(F.count_if(F.col("c") == 1).alias("alone"), F.count("*").alias("rare"))
+    return texts.select(F.col("doc_id").alias("rep"), "n").join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), (F.col("n") - F.coalesce("rare", F.lit(0))).alias("often"))
+
+
+def _rare_pairs(rare: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of texts that have a shingle together with at most one other."""
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = F.when(F.col("c") == 2, F.array(pair("lo", "hi"))).otherwise(F.array(pair("lo", "mid"), pair("mid", "hi"), pair("lo", "hi")))
+    return rare.where("c > 1").select(F.explode(both).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _possible(percent: int, a: str, b: str, m: str = "m") -> str:
+    """Whether two texts can reach the similarity if only m shingles of each can be in their intersection."""
+    most = f"least({a}{m}, {b}{m})"
+    return f"100 * {most} >= {percent} * ({a}n + {b}n - {most})"
+
+
 def _star(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (centre, member) for every bucket of rows (key, rep, n, cnt)."""
+    """Pairs (centre, member) of different components for every bucket of rows (key, rep, n, m, cnt, label)."""
     degree = rows.groupBy("rep").agg(F.sum("cnt").alias("degree"))
     ranked = rows.join(degree, "rep")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("neg"), "n")).alias("c")).select("key", (-F.col("c.neg")).alias("a"), F.col("c.n").alias("an"))
+    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("neg"), "n", "m", "label")).alias("c")).select("key", (-F.col("c.neg")).alias("a"), F.col("c.n").alias("an"), F.col("c.m").alias("am"), F.col("c.label").alias("al"))
     centre = scratch.put("centres", centre)
-    return rows.join(centre, "key").where(f"a <> rep and 100 * least(n, an) >= {percent} * greatest(n, an)").select("a", F.col("rep").alias("b")).distinct()
+    return rows.join(centre, "key").where(f"label <> al and {_possible(percent, '', 'a')}").select("a", F.col("rep").alias("b")).distinct()
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
-    """rows (key, rep, n) of buckets with two members or more, with their count."""
+    """rows with the count of their key, for keys that have two or more."""
     count = rows.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    return rows.join(count, "key").select("key", "rep", "n", "cnt")
+    return rows.join(count, "key")
 
 
-def _unresolved(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _unresolved(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with labels, of buckets whose members are in several components."""
-    own = rows.select("key", "rep", "n", "cnt")
-    own = own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "cnt", F.coalesce("label", "rep").alias("label"))
+    own = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     return own.join(mixed, "key")
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members in different components of a bucket, sizes permitting."""
+    """Pairs of members in different components of a bucket that often-shared
+    shingles alone could link; each pair by the first of the buckets it shares."""
+    rows = rows.where(f"100 * often >= {percent} * n")
+    keys = rows.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most one key a band
+    rows = rows.join(keys, "rep")
     x, y = rows.alias("x"), rows.alias("y")
-    near = f"x.rep < y.rep and x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    return x.join(y, F.col("x.key") == F.col("y.key")).where(near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    near = f"x.rep < y.rep and x.label <> y.label and {_possible(percent, 'x.', 'y.', 'often')} and array_min(array_intersect(x.keys, y.keys)) = x.key"
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(near)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def _beside(pairs: DataFrame, shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that are in different components and could be links."""
+    facts = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "m", F.coalesce("label", "rep").alias("label"))
+    out = pairs
+    for side in ("a", "b"):
+        out = out.join(facts.select(*[F.col(c).alias(side if c == "rep" else side + c) for c in facts.columns]), side)
+    return out.where(f"alabel <> blabel and {_possible(percent, 'a', 'b')}").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -156,42 +215,43 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
     sk = scratch.put("sketches", sketches(docs, bands, rows, words))
     real = sk.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.put("classes", real.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
-    buckets = scratch.put("buckets", _bucketed(classes.select(F.explode("bands").alias("key"), "rep", "n")))
-    pairs = scratch.put("stars", _star(buckets, scratch, percent))
+    buckets = scratch.put("buckets", _bucketed(classes.select(F.posexplode("bands").alias("band", "key"), "rep", "n")))
 
     # A doc_id that repeats with different texts links its classes.
-    again = real.groupBy("doc_id").agg(F.countDistinct("fa", "fb").alias("c")).where("c > 1").select("doc_id")
+    again = scratch.put("repeated", real.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
     named = real.join(again, "doc_id", "left_semi").join(classes.select("fa", "fb", "rep"), ["fa", "fb"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     edges = [scratch.put("same-id", named)]
 
     # Texts of representatives that meet any other in a bucket.
     meet = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    keyed = classes.join(meet, classes.rep == meet.doc_id, "left_semi").select(F.col("rep").alias("doc_id"), "fa", "fb")
-    texts = scratch.put("texts", docs.select(F.col("doc_id").cast("long"), "text").join(keyed, "doc_id"))
-
-    edges.append(scratch.put("links", _verify(pairs, texts, words, percent, n)))
-    labels = scratch.put("labels", components(edges[0].unionByName(edges[1]), scratch))
-
-    def resolve(open_rows: DataFrame, name: str, tried: DataFrame) -> DataFrame:
-        """Compares what is left of buckets in full; returns the links found."""
-        new = scratch.put(f"pairs-{name}", _across(open_rows, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        return scratch.put(f"links-{name}", _verify(new, texts, words, percent, n))
-
+    keyed = classes.join(meet, classes.rep == meet.doc_id, "left_semi").select(F.col("rep").alias("doc_id"), "fa", "fb", "n")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(keyed, "doc_id")
+    texts = scratch.put("texts", texts if again.isEmpty() else _first_of(texts, words))
+    rare = scratch.put("rare", _rare(texts, words))
+    shared = scratch.put("shared", _shared(texts, rare))
+    buckets = scratch.put("buckets", _bucketed(buckets.drop("cnt").join(shared.where(f"100 * m >= {percent} * n").drop("n"), "rep")))
+    tried: list[DataFrame] = []
+
+    def compare(name: str, pairs: DataFrame) -> DataFrame:
+        """Checks the pairs that weren't yet, keeps the links, returns the components so far."""
+        new = scratch.put(f"pairs-{name}", pairs)
+        if tried:
+            old = _all(tried).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+            new = scratch.put(f"untried-{name}", new.join(old, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti"))
+        tried.append(new)
+        edges.append(scratch.put(f"links-{name}", _verify(new, texts, words, percent, n)))
+        return scratch.put(f"labels-{name}", components(_all(edges), scratch))
+
+    labels = compare("first", _star(buckets.where(f"band < {FIRST}").withColumn("label", F.col("rep")), scratch, percent))
     left = scratch.put("left", _unresolved(buckets, labels))
     if not left.isEmpty():
-        edges.append(resolve(left.where(f"cnt <= {SMALL}"), "small", pairs))
-        large = left.where(f"cnt > {SMALL}").select("key", "rep", "n")
-        if not large.isEmpty():
-            # Large buckets are split by every second band; what meets twice is compared.
-            second = large.join(classes.select("rep", F.explode("bands").alias("other")), "rep").where("key < other").select(F.xxhash64("key", "other").alias("key"), "rep", "n")
-            deeper = scratch.put("deeper", _bucketed(second))
-            stars = scratch.put("deeper-stars", _star(deeper, scratch, percent).join(pairs, ["a", "b"], "left_anti"))
-            edges.append(scratch.put("deeper-links", _verify(stars, texts, words, percent, n)))
-            labels = scratch.put("labels", components(_all(edges), scratch))
-            rest = scratch.put("deeper-left", _unresolved(deeper, labels))
-            if not rest.isEmpty():
-                edges.append(resolve(rest, "deeper", pairs.unionByName(stars)))
-        labels = scratch.put("labels", components(_all(edges), scratch))
+        labels = compare("stars", _star(left, scratch, percent))
+        left = scratch.put("left", _unresolved(left.drop("label"), labels))
+    if not left.isEmpty():
+        # A link either has a shingle that at most three texts share, or consists of frequent ones.
+        rest = left.select("rep").distinct()
+        near = _rare_pairs(rare).join(rest.withColumnRenamed("rep", "a"), "a").join(rest.withColumnRenamed("rep", "b"), "b")
+        labels = compare("last", _across(left, percent).unionByName(_beside(near, shared, labels, percent)).distinct())
 
     comp = classes.select("fa", "fb", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
     comp = scratch.put("components", comp)
@@ -207,3 +267,12 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t)
     return out
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one document of each component.
+
+    Rows without words stay; where rows repeat the doc_id that stays, so do they.
+    """
+    drop = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
+    return docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
