@@ -23,31 +23,41 @@ from . import text as T
 
 WINDOW = 2048
 END_ID = 1
-# Fixed value: the split that byte-level BPE vocabularies of this kind are made for.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _loaded: dict = {}
+#: Marks that are often last in a word, and form one piece there.
+TAIL = ".,;:!?"
+# Fixed rule of byte-level vocabularies: a byte stands for its own character
+# where that is printable in Latin-1, others take characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, by the tokenizers library.
 
-    BPE works within the pieces of the split above, so ids of a piece are kept
-    and looked up again.  That is done for texts below U+0240, where every
-    version of the split agrees; other texts go through the library whole.
+    Byte-level BPE of this kind splits a text before each single space, and
+    around a single line end between other characters, so the ids of a word
+    with the space before it (or at the start of a line) never depend on what
+    surrounds it.  They are kept and looked up again; new words go through the
+    library together, a line each.  `plainness` tells which texts allow that;
+    others go through the library whole.
     """
 
     KEEP = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.find = regex.compile(PIECES).findall
-        self.kept: dict[str, bytes] = {}
+        self.line = self.whole(["\n"])[0]
+        self.split = self.lib.model.tokenize  # of one piece, in the letters that stand for bytes
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
+        self.tails = {"": b""}
+        self.after: dict[str, bytes] = {}  # words after a space
+        self.first: dict[str, bytes] = {}  # words at the start of a line
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -58,15 +68,85 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, new: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of lead + word for words without white space."""
+        out: dict[str, bytes] = {}
+        known = self.after if lead else self.first
+        mark = "\u0120" if lead else ""
+        rest = []
+        for x in new:
+            core = x.rstrip(TAIL)
+            if not core.isalpha():
+                rest.append(x)
+                continue
+            # Letters are one piece, and so are the marks behind them.
+            own = known.get(core) or out.get(core)
+            if own is None:
+                letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+                own = out[core] = b"".join([self.id_bytes[p.id] for p in self.split(mark + letters)])
+            if core is not x and core != x:
+                tail = x[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole([tail])[0]
+                out[x] = own + self.tails[tail]
+        out.update(self._learn_lines(rest, lead))
+        return out
+
+    def _learn_lines(self, new: list[str], lead: str) -> dict[str, bytes]:
+        """The same for any words, encoded together, a line each."""
+        out: dict[str, bytes] = {}
+        mark = int(np.frombuffer(self.line, "<u4")[0])
+        for i in range(0, len(new), 8192):
+            own = new[i : i + 8192]
+            ids = np.frombuffer(self.whole(["".join(["\n" + lead + x for x in own])])[0], "<u4")
+            at = np.flatnonzero(ids == mark)
+            if len(self.line) != 4 or len(at) != len(own):
+                out.update(zip(own, self.whole([lead + x for x in own])))
+                continue
+            data, ends = ids.tobytes(), np.append(at[1:], len(ids))
+            out.update(zip(own, [data[p:q] for p, q in zip((4 * at + 4).tolist(), (4 * ends).tolist())]))
+        return out
+
     def encode(self, texts: list[str], plain: list[bool]) -> list[bytes]:
-        pieces = [self.find(t) if p else None for t, p in zip(texts, plain)]
-        if len(self.kept) > self.KEEP:
-            self.kept = {}
-        new = list({x for own in pieces if own for x in own} - self.kept.keys())
-        for i in range(0, len(new), 4096):
-            self.kept.update(zip(new[i : i + 4096], self.whole(new[i : i + 4096])))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, own)) if own is not None else self.whole([t])[0] for own, t in zip(pieces, texts)]
+        if len(self.after) + len(self.first) > self.KEEP:
+            self.after, self.first = {}, {}
+        cut = [t.split(" ") if p else [""] for t, p in zip(texts, plain)]
+        heads = [own[0] for own in cut]
+        after = self.after
+        new = {x for x in set().union(*[own[1:] for own in cut]) if x not in after}
+        # A line end within a word without spaces: the parts are words themselves.
+        lines = {x: x.split("\n") for x in new if not x.isprintable()}
+        starts = {x: x.split("\n") for x in heads}
+        parts = {y for own in lines.values() for y in own[1:]}.union(*starts.values())
+        odd = lambda own: not all(own) or not all(map(str.isprintable, own))
+        single = [x for x in new if x and x not in lines] + list({own[0] for own in lines.values() if own[0] and own[0].isprintable() and own[0] not in after} - new)
+        self.after.update(self.learn(single, " "))
+        self.first.update(self.learn([x for x in parts if x and x.isprintable() and x not in self.first], ""))
+        if "" in new:
+            self.after[""] = self.whole([" "])[0]
+        for x, own in lines.items():
+            self.after[x] = self.whole([" " + x])[0] if odd(own) else self.line.join([self.after[own[0]], *[self.first[y] for y in own[1:]]])
+        done = {x: b"" if not x else self.whole([x])[0] if odd(own) else self.line.join([self.first[y] for y in own]) for x, own in starts.items()}
+        get = self.after.__getitem__
+        return [done[head] + b"".join(map(get, own[1:])) if p else self.whole([t])[0] for t, p, own, head in zip(texts, plain, cut, heads)]
+
+
+_WHITE = T.SPACE.copy()
+_ODD = np.zeros(256, bool)
+_ODD[[*range(0x1C, 0x20), *range(0xC9, 256)]] = True
+
+
+def plainness(buf: np.ndarray, offsets: np.ndarray) -> list[bool]:
+    """Of each document, whether its words can be encoded apart: code points below
+    U+0240 only, where every version of the split agrees, no white space beside a
+    single space, and no rare white space."""
+    n = len(buf)
+    bad = _ODD[buf]
+    if n:
+        white, space = _WHITE[buf], buf == 0x20
+        bad[1:] |= (space[1:] & white[:-1]) | (white[1:] & space[:-1]) | ((buf[:-1] == 0xC2) & ((buf[1:] == 0x85) | (buf[1:] == 0xA0)))
+    total = np.concatenate(([0], np.cumsum(bad)))
+    return (total[offsets[1:]] == total[offsets[:-1]]).tolist()
 
 
 class Packer:
@@ -182,7 +262,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             ids = batch.column("doc_id").to_pylist()
             for i, j in T.passes(offs, 1 << 20):
                 texts = [t or "" for t in column[i:j].to_pylist()]
-                plain = [not len(x) or int(x.max()) < 0xC9 for x in (buf[a:b] for a, b in zip(offs[i:j], offs[i + 1 : j + 1]))]
+                plain = plainness(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 for doc, own in zip(ids[i:j], encoder.encode(texts, plain)):
                     packer.add(doc, own + tail)
             yield out()
