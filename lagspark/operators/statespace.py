@@ -53,6 +53,14 @@ def kalman_smoother(dense: DataFrame, a, c, q, r, mean=None, cov=None) -> DataFr
 _SUMS = ("all", "before", "after", "cross", "yz", "yy")
 
 
+def _expected(a, c, q, r, cov):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = ident.expectation(stack(pdf.sort_values("t")["x"], c.shape[0]), a, c, q, r, cov)
+        return pd.DataFrame({"v": [np.concatenate([*(e[k].ravel() for k in _SUMS), [e["rows"], e["series"], e["loglik"]]])]})
+
+    return run
+
+
 def expectation_maximisation(dense: DataFrame, system: Sequence, iterations: int = 10, floor: float = 1e-8) -> tuple[list[np.ndarray], list[float]]:
     """((A, C, Q, R, state covariance), log-likelihoods) of one model for all series.
 
@@ -65,11 +73,7 @@ def expectation_maximisation(dense: DataFrame, system: Sequence, iterations: int
     for _ in range(iterations):
         a, c, q, r, cov = now
 
-        def run(pdf: pd.DataFrame, a=a, c=c, q=q, r=r, cov=cov) -> pd.DataFrame:
-            e = ident.expectation(stack(pdf.sort_values("t")["x"], c.shape[0]), a, c, q, r, cov)
-            return pd.DataFrame({"v": [np.concatenate([*(e[k].ravel() for k in _SUMS), [e["rows"], e["series"], e["loglik"]]])]})
-
-        parts = dense.groupBy("series_id").applyInPandas(run, "v array<double>")
+        parts = dense.groupBy("series_id").applyInPandas(_expected(a, c, q, r, cov), "v array<double>")
         d, n = a.shape[0], c.shape[0]
         size = 4 * d * d + n * d + n * n + 3
         total = np.array(parts.agg(*[F.sum(F.col("v")[i]) for i in range(size)]).first(), float)

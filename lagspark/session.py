@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: "weakref.WeakSet" = weakref.WeakSet()
 
 
@@ -24,6 +25,8 @@ def ship(spark: SparkSession) -> SparkSession:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(name)
+    if spark.conf.get(BATCH) == "10000":  # rows hold whole texts: smaller batches than the default
+        spark.conf.set(BATCH, "2000")
     _shipped.add(sc)
     return spark
 
