@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, bands: int = 40, rows: int = 5, words: int = 5) ->
                 ["doc_id", "n_shingles", "fa", "fb", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fa long, fb long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.lean(run), "doc_id long, n_shingles long, fa long, fb long, bands array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, n: int) -> DataFrame:
@@ -107,7 +107,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, n: int
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     rows = centre.unionByName(member).repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(T.lean(run), "a long, b long")
 
 
 def _first_of(texts: DataFrame, words: int) -> DataFrame:
@@ -119,7 +119,7 @@ def _first_of(texts: DataFrame, words: int) -> DataFrame:
             good = [tuple(map(int, T.signed(_prints(s)))) == own for s, own in zip(sets, zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist()))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return texts.mapInArrow(run, texts.schema).dropDuplicates(["doc_id"])
+    return texts.mapInArrow(T.lean(run), texts.schema).dropDuplicates(["doc_id"])
 
 
 def _rare(texts: DataFrame, words: int) -> DataFrame:
@@ -132,7 +132,7 @@ def _rare(texts: DataFrame, words: int) -> DataFrame:
                 sets = T.shingle_sets(w, words)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], [len(x) for x in sets])), pa.array(T.signed(np.concatenate(sets)))], ["rep", "h"])
 
-    each = texts.select("doc_id", "text").mapInArrow(run, "rep long, h long")
+    each = texts.select("doc_id", "text").mapInArrow(T.lean(run), "rep long, h long")
     few = each.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor("rep").alias("x")).where("c <= 3")
     return few.select("c", "lo", F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi")).alias("mid"), "hi")
 
