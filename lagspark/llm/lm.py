@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from . import text as T
 from .shared import partitions
 
-#: Text bytes per chunk, and prior weight of the shorter history.
-CHUNK_BYTES = 24 << 20
+#: Text bytes per chunk at most, on average.  Blocks sent number chunks times shards, so
+#: a corpus of many terabytes takes chunks as large as executors can hold (30 times as much).
+CHUNK_BYTES = 8 << 20
+#: Chunks' bytes per shard, and prior weight of the shorter history.
+SHARD_CHUNKS = 2
 PRIOR = 100.0
 ORDER = 2
 #: Documents whose crc32 leaves this remainder are held out.
@@ -108,15 +111,18 @@ class Grams:
         room = grams[order + 1]
         self.real = [np.ones(len(room), bool)] + [room >= n - 2 for n in range(2, order + 1)]
         parts = [grams[0], np.full(len(first) - 1, _BEGIN, np.uint64)] + [g[r] for g, r in zip(grams[1:order], self.real[1:])]
+        cut = np.cumsum([0] + [len(p) for p in parts])
         every = np.concatenate(parts)
+        del parts
         by = np.argsort(every)
         own = every[by]
+        del every
         fresh = np.empty(len(own), bool)
         fresh[:1], fresh[1:] = True, own[1:] != own[:-1]
         self.keys = own[fresh]
         where = np.empty(len(own), np.int32)
         where[by] = np.cumsum(fresh, dtype=np.int32) - 1
-        cut = np.cumsum([0] + [len(p) for p in parts])
+        del own, by
         place = [where[i:j] for i, j in zip(cut[:-1], cut[1:])]
         self.begin, self.place = place[1], [place[0], *place[2:]]
 
@@ -141,9 +147,10 @@ def score(docs: DataFrame, *, order: int = ORDER, prior: float = PRIOR, chunk_by
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(partitions(spark), int(total // chunk_bytes) + 1)
+    chunks = max(2 * partitions(spark), int(total // chunk_bytes) + 1)
+    n = chunks // SHARD_CHUNKS + 1
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % MODULUS == HELD_OUT
-    dealt = slim.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text", held.alias("held"))
+    dealt = slim.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text", held.alias("held"))
 
     def requests(key: tuple, table: pa.Table) -> pa.Table:
         first, grams = _grams(table, order)
@@ -213,9 +220,26 @@ def score(docs: DataFrame, *, order: int = ORDER, prior: float = PRIOR, chunk_by
             "score": pa.array(np.add.reduceat(np.log10(p), ends)),
         })
 
-    asked = dealt.groupBy("chunk").applyInArrow(requests, "shard int, chunk int, keys binary, counts binary, words binary, tokens long")
-    answered = asked.groupBy("shard").applyInArrow(answers, "chunk int, shard int, totals binary, tokens long, vocabulary long")
-    return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, SCHEMA)
+    def lean(f):
+        def wrapped(*args):
+            out = f(*args)
+            T.release()
+            return out
+
+        return wrapped
+
+    def requests_lean(key: tuple, table: pa.Table) -> pa.Table:
+        return lean(requests)(key, table)
+
+    def answers_lean(table: pa.Table) -> pa.Table:
+        return lean(answers)(table)
+
+    def run_lean(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
+        return lean(run)(key, table, answer)
+
+    asked = dealt.groupBy("chunk").applyInArrow(requests_lean, "shard int, chunk int, keys binary, counts binary, words binary, tokens long")
+    answered = asked.groupBy("shard").applyInArrow(answers_lean, "chunk int, shard int, totals binary, tokens long, vocabulary long")
+    return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run_lean, SCHEMA)
 
 
 def _bounds(n: int) -> np.ndarray:
