@@ -69,6 +69,12 @@ class Library:
             classes.setdefault(size, []).append(i)
         self.classes = [(size + max(1, size // 4), max(1, size // 4), set(own)) for size, own in classes.items()]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"circle": None}  # a view of a table, far larger when written out
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"circle": _circle(state["bands"] * state["rows"])}
+
     def keys(self, shingles: np.ndarray) -> list[tuple]:
         sig = signature(shingles, self.circle).reshape(self.bands, self.rows).tolist()
         return [(b, *row) for b, row in enumerate(sig)]
@@ -97,15 +103,19 @@ def find(lib: Library, hashes: np.ndarray, percent: int = PERCENT) -> list[tuple
             part = hashes[start : min(start + span, last_start)]
             part_set = np.unique(part)
             for i in {i for key in lib.keys(part_set) for i in lib.band.get(key, ())} & own:
-                both = np.isin(part, lib.sets[i])
-                shared = len(np.unique(part[both]))
-                if 100 * shared >= percent * len(lib.sets[i]):
-                    at = np.flatnonzero(both)
-                    found.setdefault(i, []).append((start + int(at[0]), start + int(at[-1]) + lib.words, shared, i))
+                at = np.flatnonzero(np.isin(part, lib.sets[i]))
+                # One run without a wide gap is enough, if it is; else the whole window counts.
+                runs = np.split(at, np.flatnonzero(np.diff(at) > max(lib.words, lib.lengths[i] // 4)) + 1)
+                best = max(runs, key=lambda r: len(np.unique(part[r])))
+                for own_at in (best, at):
+                    shared = len(np.unique(part[own_at]))
+                    if 100 * shared >= percent * len(lib.sets[i]):
+                        found.setdefault(i, []).append((start + int(own_at[0]), start + int(own_at[-1]) + lib.words, shared, i))
+                        break
     out = []
     for i, spans in found.items():
         taken: list[tuple] = []
-        for a, b, shared, _ in sorted(spans, key=lambda x: (-x[2], x[0], x[1])):
+        for a, b, shared, _ in sorted(spans, key=lambda x: (-x[2], x[1] - x[0], x[0])):
             if all(b <= c or d <= a for c, d in taken):
                 taken.append((a, b))
                 out.append((i, a, b, shared))
@@ -162,4 +172,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, percent:
             columns = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(T.lean(run), SCHEMA)
