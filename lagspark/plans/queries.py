@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import sources as S
 from ..functions import models as M
 from ..functions import systems
-from ..operators import checks, ensembles, lags, models, static, statespace
+from ..operators import checks, empirical, ensembles, lags, models, static, statespace
 from ..session import ship
 from . import measures as plan
 
@@ -609,6 +609,56 @@ def candidates(spark, d):
     return rounded(ensembles.candidate_search(ship(spark), systems.masked_model(np.eye(4) + np.eye(4, k=-1)), 2, candidates=32).select("run", "value"))
 
 
+# Straight from observations.
+
+
+@query("coefficient_table", BASE + " select 'all' as model_id, 1 as lag, target, source, round(value, 6) + 0.0 as value from (select 0 as target, 0 as source, a11 as value from var1 union all select 0, 1, a12 from var1 union all select 1, 0, a21 from var1 union all select 1, 1, a22 from var1)")
+def coefficient_table(spark, d):
+    return rounded(empirical.coefficient_table(models.fit_var(hourly(spark, d), TYPES2)))
+
+
+@query("mvgc_empirical", BASE + """, one as (select 'all' as model_id, count(*) as n, covar_samp(click, click) * (count(*) - 1) as syy, covar_samp(click, click_l1) * (count(*) - 1) as syz, covar_samp(click_l1, click_l1) * (count(*) - 1) as szz from lagged)
+select model_id, round(ln((syy - syz * syz / szz) / (n - 2) / s22), 6) + 0.0 as value from one join var1 using (model_id)""")
+def mvgc_empirical(spark, d):
+    return rounded(empirical.empirical_mvgc(hourly(spark, d), 1, ["purchase"], ["click"]))
+
+
+@query("mvgc_empirical_spectral")
+def mvgc_empirical_spectral(spark, d):
+    return rounded(empirical.empirical_spectral_mvgc(hourly(spark, d, TYPES3), 2, ["purchase"], ["click"], np.linspace(0, 0.5, 33), ["view"]))
+
+
+@query("var_lwr_n2")
+def var_lwr(spark, d):
+    return rounded(empirical.coefficient_table(empirical.fit_lwr(hourly(spark, d), TYPES2, 2)))
+
+
+@query("whiteness")
+def whiteness(spark, d):
+    return rounded(empirical.whiteness(hourly(spark, d), TYPES2, 1))
+
+
+@query("innovation_diagnostics")
+def innovation_diagnostics(spark, d):
+    return rounded(empirical.innovation_diagnostics(_predicted(spark, d), 2, 5), 4)
+
+
+@query("larimore_cv")
+def larimore_cv(spark, d):
+    return rounded(empirical.larimore_cross_validation(hourly(spark, d), TYPES2, [1, 2, 3], 3, checks.folds(700, spark, k=3, test=60)), 4)
+
+
+@query("macro_sweep")
+def macro_sweep(spark, d):
+    return empirical.macro_sweep(ship(spark), systems.masked_model(np.eye(4) + np.eye(4, k=-1)), runs=2, points=65, max_iter=150).select("m", "run", r("objective", 4).alias("objective"))
+
+
+@query("frame_distances")
+def frame_distances(spark, d):
+    got = ensembles.dependence_search(ship(spark), systems.masked_model(np.eye(4) + np.eye(4, k=-1)), 2, runs=4, seed=1, points=65, max_iter=150)
+    return rounded(empirical.frame_distances(got, 2, 4), 4)
+
+
 def entry(spark: SparkSession, d: str = "/root/testdata/sf0.001") -> DataFrame:
     """Which event type Granger-causes which, in hourly sums of all five types."""
     types = ("purchase", "click", "view", "signup", "error")
