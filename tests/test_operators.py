@@ -132,20 +132,60 @@ def test_ensembles_do_not_depend_on_partitions(spark, wide):
     assert ci.low <= ci.mean <= ci.high
 
 
-def test_stream_filter_equals_batch(spark, tmp_path):
-    from lagspark.streaming import filter_stream, grid_stream
+def test_grid_stream_closes_windows(spark, tmp_path):
+    from lagspark.streaming import grid_stream
 
     start = dt.datetime(2024, 1, 1)
-    rows = [(start + dt.timedelta(hours=h), "a", float(h % 5)) for h in range(30)]
-    ev = spark.createDataFrame(rows, "ts timestamp, k string, v double")
+    ev = spark.createDataFrame([(start + dt.timedelta(minutes=30 * h), "a" if h % 3 else "b", float(h)) for h in range(60)], "ts timestamp, k string, v double")
     ev.coalesce(1).write.parquet(str(tmp_path / "in"))
-    m = M.var_to_innovations(np.array([[[[0.5]]]]), np.eye(1)[None])
     stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
-    grid = grid_stream(stream, time="ts", width="1 hour", late="0 seconds", value="v", channels=["a"], channel="k")
-    q = filter_stream(spark.createDataFrame([("all", start + dt.timedelta(hours=h), float(h % 5)) for h in range(30)], "series_id string, start timestamp, a double").limit(0), m, ["a"], 3600)
-    assert q.columns == ["series_id", "step", "innovation", "score"]
-    out = grid.writeStream.format("memory").queryName("grid_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    out.processAllAvailable()
-    out.stop()
+    grid = grid_stream(stream, time="ts", width="1 hour", late="0 seconds", value="v", channels=["a", "b"], channel="k")
+    q = grid.writeStream.format("memory").queryName("grid_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
     got = spark.table("grid_rows").orderBy("start").collect()
-    assert len(got) >= 29 and [r.a for r in got[:5]] == [0, 1, 2, 3, 4]
+    assert len(got) == 29 and [(r.a, r.b) for r in got[:3]] == [(1, 0), (2, 3), (9, 0)]  # the last window is still open
+
+
+def test_stream_filter_equals_batch_and_steps_over_gaps(spark, tmp_path):
+    from lagspark.streaming import filter_stream
+
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    values = {h: float(h * 7 % 5) for h in range(20) if h not in (6, 7)}
+    rows = [("s", start + dt.timedelta(hours=h), v) for h, v in values.items()]
+    schema = "series_id string, start timestamp, a double"
+    spark.createDataFrame(rows[:9], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    m = M.var_to_innovations(np.array([[[[0.5]]]]), np.eye(1)[None])
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = filter_stream(stream, m, ["a"], 3600).writeStream.format("memory").queryName("filtered").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    spark.createDataFrame(rows[7:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # two rows come late, again
+    q.processAllAvailable()
+    q.stop()
+    got = [(r.step, r.innovation[0]) for r in spark.table("filtered").orderBy("step").collect()]
+    first, x, want = int(start.timestamp() // 3600), 0.0, []
+    for h in range(20):
+        if h in values:
+            want.append((first + h, values[h] - x))
+            x = 0.5 * values[h]
+        else:
+            x = 0.5 * x
+    assert [s for s, _ in got] == [s for s, _ in want] and np.allclose([e for _, e in got], [e for _, e in want])
+
+
+def test_empirical_operators(spark, wide, series):
+    from lagspark.operators import empirical
+
+    table = empirical.coefficient_table(models.fit_var(wide, ["a", "b"], 2))
+    back = empirical.from_coefficient_table(table, 2).toPandas().sort_values("model_id")
+    assert np.allclose(np.stack(back["coef"]), ident.fit_var(series, 2)["coef"].reshape(3, -1))
+    lwr = empirical.fit_lwr(wide, ["a", "b"], 2).toPandas().sort_values("model_id")
+    assert np.allclose(np.stack(lwr["coef"]), ident.fit_lwr(series, 2)["coef"].reshape(3, -1))
+    value = empirical.empirical_mvgc(wide, 1, ["b"], ["a"]).first().value
+    f = np.linspace(0, 0.5, 65)
+    spec = empirical.empirical_spectral_mvgc(wide, 1, ["b"], ["a"], f).orderBy("f").toPandas()
+    assert value > -0.01 and M.integrate(spec["value"].to_numpy(), f) == pytest.approx(value, abs=0.01)
+    w = empirical.whiteness(wide, ["a", "b"], 1).toPandas()
+    assert ((w["pvalue"] >= 0) & (w["pvalue"] <= 1)).all() and (abs(w["dw"] - 2) < 0.6).all()
+    cv = empirical.larimore_cross_validation(wide.where("series_id = 's0'"), ["a", "b"], [1, 2], 3, checks.folds(150, spark, k=2, test=20))
+    assert cv.where("chosen").select("states").distinct().count() == 1 and cv.count() == 4
