@@ -18,9 +18,11 @@ def lagged(wide: DataFrame, channels: Sequence[str], lags: int, block: int = BLO
     copied into the next, so a window holds one block, however long a series
     is.  Lags never cross a gap or a series.
     """
-    own = wide.withColumn("__block", F.floor(F.col("t") / block))
-    tail = own.where(F.pmod(F.col("t"), F.lit(block)) >= block - lags).withColumn("__block", F.col("__block") + 1).withColumn("__copy", F.lit(True))
-    rows = own.withColumn("__copy", F.lit(False)).unionByName(tail)
+    own = F.struct(F.floor(F.col("t") / block).alias("block"), F.lit(False).alias("copy"))
+    next_ = F.struct((F.floor(F.col("t") / block) + 1).alias("block"), F.lit(True).alias("copy"))
+    last = F.pmod(F.col("t"), F.lit(block)) >= block - lags
+    rows = wide.select("*", F.explode(F.when(last, F.array(own, next_)).otherwise(F.array(own))).alias("__in"))
+    rows = rows.select(*wide.columns, F.col("__in.block").alias("__block"), F.col("__in.copy").alias("__copy"))
     w = W.Window.partitionBy("series_id", "__block").orderBy("t")
     for k in range(1, lags + 1):
         rows = rows.select("*", *[F.lag(c, k).over(w).alias(f"{c}_l{k}") for c in channels])

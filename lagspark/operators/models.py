@@ -164,7 +164,9 @@ def scale_grid(models: DataFrame, factors: Sequence[float]) -> DataFrame:
 
 def _with_model(rows: DataFrame, models: DataFrame, pooled: bool) -> DataFrame:
     own = models.where("status = 'ok'").select("model_id", "coef", "intercept", "sigma")
-    return rows.join(own, F.lit(True) if pooled else F.col("series_id") == F.col("model_id"))
+    if pooled:  # one row, named 'all'
+        return rows.withColumn("model_id", F.lit("all")).join(F.broadcast(own.where("model_id = 'all'")), "model_id")
+    return rows.join(own, F.col("series_id") == F.col("model_id"))
 
 
 def predictions(wide: DataFrame, models: DataFrame, channels: Sequence[str], order: int, *, pooled: bool = False, block: int = lags_.BLOCK) -> DataFrame:
