@@ -154,7 +154,7 @@ def rules(docs: DataFrame, *, covered_percent: int = COVERED_PERCENT, longest_wo
             m["kept"] = ~failed & (100 * m["covered_words"] <= covered_percent * m["n_words"]) & (m["longest_repeat"] <= longest_words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id") if k == "doc_id" else pa.array(m[k]) for k in names], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(T.lean(run), SCHEMA)
 
 
 def kept_rows(docs: DataFrame, **limits) -> DataFrame:
@@ -172,4 +172,4 @@ def kept_rows(docs: DataFrame, **limits) -> DataFrame:
                 good.append((m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= REPEAT_PERCENT * m["n_words"]) & (100 * m["covered_words"] <= covered * m["n_words"]) & (m["longest_repeat"] <= longest))
             yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.select(*cols).mapInArrow(run, docs.schema)
+    return docs.select(*cols).mapInArrow(T.lean(run), docs.schema)

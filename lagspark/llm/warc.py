@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import text as T
 from .shared import Scratch
 
 MAGIC = b"WARC/1.0\r\n"
@@ -158,7 +159,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             yield out()
 
     schema = f"file string, block long, place long, at long, ends long, whole boolean, block_size long, {RECORD}"
-    return _lines(spark, path).mapInArrow(run, schema)
+    return _lines(spark, path).mapInArrow(T.lean(run), schema)
 
 
 def _exits(found: DataFrame) -> DataFrame:
@@ -244,7 +245,7 @@ def _joined(spark: SparkSession, path: str, found: DataFrame, broken: DataFrame)
                 places.append(place)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["value", "file", "block", "place"])
 
-    lines = _lines(spark, path).mapInArrow(numbered, "value binary, file string, block long, place long")
+    lines = _lines(spark, path).mapInArrow(T.lean(numbered), "value binary, file string, block long, place long")
     pieces = lines.join(marked, ["file", "block", "place"])
 
     def run(t: pa.Table) -> pa.Table:
