@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from . import text as T
+from .shared import Scratch
 
 BUCKETS = 1024
 
@@ -50,18 +51,18 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: int = 3) -> DataFr
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "", buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, *, row: Column | None = None, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "", buckets: int = BUCKETS) -> DataFrame:
     """(row, doc_id, size, source_size, target, taken, copies) of every row of docs.
 
-    `row` is the whole input row as a struct, so other columns may have any
-    name.  quality: (doc_id, quality) with quality 0 or 1; labelled good
+    `row` is what is carried along of an input row: by default all of it, as a
+    struct, so other columns may have any name.  quality: (doc_id, quality) with quality 0 or 1; labelled good
     documents weigh 2, bad ones 1/2, others 1; of repeated labels the best
     counts.  taken = size * copies is at most `most` times the size.  Null or
     blank texts have size 0 and are never taken; a null source is a source; a
     null doc_id draws like the text 'null'; rows that repeat a doc_id draw
     alike and are ordered by size.  An empty table gives an empty result.
     """
-    base = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    base = docs.select((F.struct(*docs.columns) if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
     weight = F.lit(1.0)
     if quality is not None:
         label = quality.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("q_id")).agg(F.max("quality").alias("q"))
@@ -89,6 +90,22 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, weights: Sequence[
 
 
 def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    taken = mix(docs, quality, **options).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    """The rows of docs, each as often as the mix takes it.
+
+    The mix is made on ids and hashes of the texts; texts are shuffled once, to
+    meet their numbers of copies.
+    """
+    same = lambda: F.xxhash64("text", "source")
+    named = F.struct(F.col("doc_id").cast("long").alias("id"), same().alias("h"))
+    taken = mix(docs, quality, row=named, **options).groupBy("row.id", "row.h").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    taken = Scratch(docs.sparkSession, "mixing").put("copies", taken.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("all").alias("__all"), F.col("rows").alias("__rows")))
+    rows = docs.withColumn("__own", same())
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h"))
+    copies = F.col("__all")
+    rows = rows.join(taken.where("__all > 0"), match)
+    if not taken.where("__rows > 1").isEmpty():  # rows that repeat an id and text share their copies out
+        nth = F.row_number().over(W.Window.partitionBy("__id", "__h").orderBy(F.lit(1)))
+        rows = rows.withColumn("__n", nth)
+        copies = F.floor(F.col("__all") / F.col("__rows")) + (F.col("__n") <= F.col("__all") % F.col("__rows")).cast("long")
+    rows = rows.withColumn("__copies", copies).where("__copies > 0")
+    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
