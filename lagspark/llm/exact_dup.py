@@ -27,7 +27,7 @@ from .shared import Scratch
 #: Bytes of text that a bucket holds before it is split.
 CAPACITY = 32 << 20
 #: Bytes of different texts that a task remembers; beyond, it starts a new run.
-REMEMBER = 64 << 20
+REMEMBER = 16 << 20
 MAX_DEPTH = 20
 _DELETE = T.WHITE.encode()
 
@@ -101,7 +101,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                 ["doc_id", "row_id", "carrier", "key", "n_points", "h", "plain", "sha"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, row_id long, carrier long, key long, n_points long, h long, plain binary, sha string")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(T.lean(run), "doc_id long, row_id long, carrier long, key long, n_points long, h long, plain binary, sha string")
 
 
 def _owners(carriers: DataFrame, buckets: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _owners(carriers: DataFrame, buckets: int) -> DataFrame:
                 lead.append(leader)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(lead, pa.int64())], ["carrier", "leader"])
 
-    return carriers.repartition(buckets, "bucket").sortWithinPartitions("key", "carrier").select("key", "carrier", "plain").mapInArrow(run, "carrier long, leader long")
+    return carriers.repartitionById(buckets, "bucket").sortWithinPartitions("key", "carrier").select("key", "carrier", "plain").mapInArrow(T.lean(run), "carrier long, leader long")
 
 
 def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -157,6 +157,7 @@ def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     own = scratch.put("own", own)
     group = own.groupBy("leader").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
     group = scratch.put("groups", group.select("leader", F.bitwise_not("best.low").alias("keep_id"), F.bitwise_not("best.row").alias("keep_row"), "size"))
+    scratch.clear(seg, own, group)
     result = own.select("carrier", "leader", "sha").join(group.hint("merge"), "leader").select("carrier", "sha", "keep_id", "keep_row", "size")
     out = seg.select("doc_id", "row_id", "carrier", "h").join(result.hint("merge"), "carrier")
     return out.select("doc_id", "h", "keep_id", F.col("size").alias("group_size"), (F.col("row_id") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -27,6 +27,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.top, self.made = spark, f"{folder(spark)}/{what}-{uuid.uuid4().hex}", 0
+        self.kept: list[str] = []
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -38,6 +39,7 @@ class Scratch:
         (writer.partitionBy(*by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path) if not by else self.spark.read.parquet(path)
         out.kept_at = path
+        self.kept.append(path)
         return out
 
     def drop(self, *tables) -> None:
@@ -45,6 +47,12 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(getattr(table, "kept_at", table))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self, *keep: DataFrame) -> None:
+        """Delete all tables but those that a result still reads."""
+        own = {t.kept_at for t in keep}
+        self.drop(*[p for p in self.kept if p not in own])
+        self.kept = [p for p in self.kept if p in own]
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
