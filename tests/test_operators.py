@@ -189,3 +189,43 @@ def test_empirical_operators(spark, wide, series):
     assert ((w["pvalue"] >= 0) & (w["pvalue"] <= 1)).all() and (abs(w["dw"] - 2) < 0.6).all()
     cv = empirical.larimore_cross_validation(wide.where("series_id = 's0'"), ["a", "b"], [1, 2], 3, checks.folds(150, spark, k=2, test=20))
     assert cv.where("chosen").select("states").distinct().count() == 1 and cv.count() == 4
+
+
+def test_orders_of_a_second_order_process(spark):
+    coef = np.array([[[[0.05, 0], [0, 0.05]], [[0.72, 0.08], [-0.05, 0.68]]]] * 4)
+    x = ident.simulate_var(coef, 0.15 * np.eye(2)[None], 400, seed=5)
+    rows = [(f"s{i}", t, float(v[0]), float(v[1])) for i, s in enumerate(x) for t, v in enumerate(s)]
+    wide = spark.createDataFrame(rows, "series_id string, t long, a double, b double")
+    for criterion in ("aic", "bic", "hqc"):
+        best = checks.var_criteria(wide, ["a", "b"], [1, 2, 3], criterion).where("chosen").collect()
+        assert [r.order for r in best] == [2] or criterion == "aic"
+    cv = checks.var_cross_validation(wide, ["a", "b"], [1, 2], checks.folds(400, spark, k=2, test=60, gap=5))
+    assert {r.order for r in cv.where("chosen").collect()} == {2}
+
+
+def test_transformations_of_model_tables(spark, wide):
+    m = models.to_innovations(models.fit_var(wide, ["a", "b"]))
+    scaled = models.scale_grid(m, [0.0, 1.0, 5.0]).toPandas()
+    assert set(scaled.loc[scaled["model_id"].str.endswith("@5.0"), "status"]) == {"no stationary solution"}
+    info = lambda t: {r.model_id: r.value for r in plan.measures(t, ["predictive_information"]).collect()}
+    base, got = info(m), info(models.scale_grid(m, [0.0, 1.0]))
+    assert got["s0@1.0"] == pytest.approx(base["s0"]) and 0 < got["s0@0.0"] < base["s0"]
+    slow = info(models.downsample(m, 3))
+    assert all(slow[k] < base[k] for k in base)
+    both = plan.measures(models.project(m, [[1.0, 0.0], [0.0, 1.0]]), ["mutual_information_rate"]).toPandas()
+    assert np.allclose(both.sort_values("model_id")["value"], plan.measures(m, ["mutual_information_rate"]).toPandas().sort_values("model_id")["value"])
+
+
+def test_searches_are_ranked_and_repeatable(spark):
+    from lagspark.functions import systems
+    from lagspark.operators import empirical
+
+    model = systems.masked_model(np.eye(4) + np.eye(4, k=-1))
+    a = ensembles.dependence_search(spark, model, 2, runs=4, seed=1, points=33, max_iter=100)
+    b = ensembles.dependence_search(spark, model, 2, runs=4, seed=1, points=33, max_iter=100)
+    key = lambda t: sorted((r.run, round(r.objective, 9), r.size) for r in t.collect())
+    assert key(a) == key(b) and sum(s for *_, s in key(a)) == 4
+    sweep = empirical.macro_sweep(spark, model, runs=1, points=33, max_iter=50).collect()
+    assert sorted(r.m for r in sweep) == [1, 2, 3] and all(sum(r.loadings) == pytest.approx(r.m) for r in sweep)
+    null = ensembles.numit(spark, np.array([[[0.38, 0.12], [0.07, 0.31]]]), np.array([[1, 0.15], [0.15, 0.9]]), [0], [1], members=8, seed=2).collect()
+    assert len(null) == 4 and all(0 <= r.quantile <= 1 for r in null)
