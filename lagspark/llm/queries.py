@@ -18,6 +18,20 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).drop("class_id")
 
 
+NEAR_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(len(w) - 4), lambda i: array_to_string(w[(i + 1)::int:(i + 5)::int], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+both_ways as (select x, y from l union all select y, x from l),
+r(doc, lab) as (select doc_id, doc_id from n union select y, lab from r join both_ways on doc = x),
+m as (select doc, min(lab) as lab from r group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(lab, d.doc_id) as component_id, coalesce(lab, d.doc_id) = d.doc_id as kept
+from d left join n on n.doc_id = d.doc_id left join m on m.doc = d.doc_id
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     path = Scratch(spark, "warc").path("archives")
@@ -66,7 +80,26 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rules(_table(spark, sf_dir, "documents"))
+    # covered_words and longest_repeat are facts of the method; the first and the verdict have SQL.
+    return quality.rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+#: The union of repeats of five words or more is that of five-word windows found twice;
+#: a repeat of over 100 words is a window of 101 found twice.
+QUALITY_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+i as (select doc_id, w, unnest(range(1, len(w) + 1)) as i, len(w) as n from d),
+g as (select doc_id, i, case when i + 2 <= n then hash(w[i::int:(i + 2)::int]) end as g3, case when i + 4 <= n then hash(w[i::int:(i + 4)::int]) end as g5, case when i + 100 <= n then hash(w[i::int:(i + 100)::int]) end as g101 from i),
+c as (select doc_id, i, g3 is not null and count(*) over (partition by doc_id, g3) > 1 as r3, g5 is not null and count(*) over (partition by doc_id, g5) > 1 as r5, g101 is not null and count(*) over (partition by doc_id, g101) > 1 as r101 from g),
+v as (select doc_id, bool_or(r3) over w3 as c3, bool_or(r5) over w5 as c5, r101 from c window w3 as (partition by doc_id order by i rows between 2 preceding and current row), w5 as (partition by doc_id order by i rows between 4 preceding and current row)),
+a as (select doc_id, sum(c3::int)::bigint as n3, sum(c5::int)::bigint as n5, bool_or(r101) as lng from v group by 1),
+k as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
+u as (select doc_id, (count(*) - count(distinct line))::bigint as dup from k where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+b as (select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(dup, 0)::bigint as n_dup_lines, coalesce(n3, 0)::bigint as n_repeat_words, coalesce(n5, 0)::bigint as covered_words, coalesce(lng, false) as lng from d left join a using (doc_id) left join u using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100 * covered_words <= 40 * n_words and not lng as kept, covered_words from f
+"""
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,4 +145,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op3_exact_dup": EXACT_SQL, "op10_mixing": MIX_SQL}
+    return {"op1_near_dup": NEAR_SQL, "op2_warc": WARC_SQL, "op3_exact_dup": EXACT_SQL, "op6_quality": QUALITY_SQL, "op10_mixing": MIX_SQL}
