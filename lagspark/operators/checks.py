@@ -132,8 +132,8 @@ def folds(n_times: int, spark, *, k: int = 5, test: int | None = None, min_train
     return spark.createDataFrame(rows, "fold int, train_end long, test_start long, test_end long")
 
 
-def var_cross_validation(wide: DataFrame, channels: Sequence[str], orders: Sequence[int], fold_table: DataFrame, rule: str = "best") -> DataFrame:
-    """order, fold, rmse of rolling one-step predictions, with each order's mean and the choice.
+def var_cross_validation(wide: DataFrame, channels: Sequence[str], orders: Sequence[int], fold_table: DataFrame, rule: str = "best", scoring: str = "rmse") -> DataFrame:
+    """order, fold, score (rmse or nll) of rolling one-step predictions, with each order's mean and the choice.
 
     Rows join the folds as a range join with a parameter table; all folds of an
     order are fitted in one pass, as series named by the fold.
@@ -147,13 +147,16 @@ def var_cross_validation(wide: DataFrame, channels: Sequence[str], orders: Seque
         train = rows.join(f, F.col("__u") < F.col("train_end")).select(name, "t", *channels)
         test = rows.join(f, (F.col("__u") >= F.col("test_start") - p) & (F.col("__u") < F.col("test_end"))).select(name, "t", *channels)
         got = models_.predictions(test, models_.fit_var(train, channels, p), channels, p)
-        err = F.aggregate("residual", F.lit(0.0), lambda a, r: a + r * r) / len(channels)
-        parts.append(got.groupBy(F.element_at(F.split("series_id", "#"), -1).cast("int").alias("fold")).agg(F.sqrt(F.avg(err)).alias("rmse")).withColumn("order", F.lit(p)))
+        if scoring == "nll":
+            got, score = models_.negative_log_likelihood(got, len(channels)), F.avg("nll")
+        else:
+            score = F.sqrt(F.avg(F.aggregate("residual", F.lit(0.0), lambda a, r: a + r * r) / len(channels)))
+        parts.append(got.groupBy(F.element_at(F.split("series_id", "#"), -1).cast("int").alias("fold")).agg(score.alias(scoring)).withColumn("order", F.lit(p)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     w = W.Window.partitionBy("order")
-    out = out.withColumn("mean", F.avg("rmse").over(w)).withColumn("se", F.stddev_samp("rmse").over(w) / F.sqrt(F.count("*").over(w)))
+    out = out.withColumn("mean", F.avg(scoring).over(w)).withColumn("se", F.stddev_samp(scoring).over(w) / F.sqrt(F.count("*").over(w)))
     best = out.select(F.min_by("mean", "mean").alias("bm"), F.min_by("se", "mean").alias("bs")).first()  # one row
     limit = (best.bm or 0.0) + ((best.bs or 0.0) if rule == "one_se" else 0.0)
     chosen = out.where(F.col("mean") <= limit).agg(F.min("order")).first()[0]

@@ -61,6 +61,33 @@ def bootstrap(dense: DataFrame, n: int, order: int, names: Sequence[str] | str,
     return dense.sparkSession.range(members).mapInPandas(run, plan.MEASURES)
 
 
+def bootstrap_state_space(dense: DataFrame, n: int, states: int, past: int, names: Sequence[str] | str, config: plan.Config = plan.Config(), *, members: int = 1000, seed: int = 0) -> DataFrame:
+    """The same for an innovations model: its one-step errors are resampled, run through it and refitted."""
+    rows = dense.orderBy("t").limit(MOST_ROWS + 1).select("x").toPandas()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a bootstrap takes a series of at most {MOST_ROWS} rows")
+    x = np.stack([np.asarray(v, float) for v in rows["x"]])
+    x = x - x.mean(0)
+    model = ident.larimore(x[None], states, past)["model"]
+    errors = ident.innovations(x[None], model)[0]
+    errors = errors - errors.mean(0)
+    names = plan.resolve(names)
+    lags = plan.required_lag(names, config)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in pdf["id"]:
+                shocks = errors[_rng(seed, int(k)).integers(0, len(errors), len(errors))]
+                again = ident.larimore(ident.run_innovations(model, shocks[None]), states, past)["model"]
+                if np.abs(np.linalg.eigvals(again.a)).max() < 1:
+                    c = plan.Context(again, config, lags)
+                    for name in names:
+                        if plan.REGISTRY[name].needs(n, config) is None:
+                            yield plan.long_rows([str(k)], name, np.asarray(plan.REGISTRY[name].run(c)), c)
+
+    return dense.sparkSession.range(members).mapInPandas(run, plan.MEASURES)
+
+
 def intervals(samples: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Percentile intervals of every number in a table of resampled measures; exact, interpolated."""
     tail = (1 - confidence) / 2

@@ -388,7 +388,7 @@ def te_spectral(spark, d):
     return plan.measures(model2(spark, d), ["spectral_transfer_entropy_rate"]).select(r("f").alias("f"), r("value").alias("value"))
 
 
-@query("mvgc_spectral_n2")
+@query("mvgc_spectral_n2", _SP + " select round(f, 6) + 0.0 as f, round(ln(f22 / (f22 - (s11 - s12*s12/s22) * (b21r*b21r + b21i*b21i) / dd)), 6) + 0.0 as value from sp")
 def mvgc_spectral(spark, d):
     return plan.measures(model2(spark, d), ["spectral_mvgc"]).select(r("f").alias("f"), r("value").alias("value"))
 
@@ -511,16 +511,20 @@ def mvgc_pvalues(spark, d):
 # State space.
 
 
-@query("kalman_level", "with " + sql_grid("hour", TYPES2) + """, x as (select t, purchase / 1000 as y, row_number() over (order by t) as k from g),
+_LEVEL = "with " + sql_grid("hour", TYPES2) + """, x as (select t, purchase / 1000 as y, row_number() over (order by t) as k from g),
 f as (with recursive it(k, m, p) as (select 0::bigint, 0.0::double, 1.0::double union all
-  select it.k + 1, 0.9*m + (0.81*p + 0.1) / (0.81*p + 1.1) * (y - 0.9*m), (0.81*p + 0.1) / (0.81*p + 1.1) from it join x on x.k = it.k + 1) select * from it where k > 0)
-select t, round(m, 6) + 0.0 as mean from f join x using (k)""")
+  select it.k + 1, 0.9*m + (0.81*p + 0.1) / (0.81*p + 1.1) * (y - 0.9*m), (0.81*p + 0.1) / (0.81*p + 1.1) from it join x on x.k = it.k + 1) select * from it where k > 0)"""
+
+
+@query("kalman_level", _LEVEL + " select t, round(m, 6) + 0.0 as mean from f join x using (k)")
 def kalman_level(spark, d):
     w = hourly(spark, d).withColumn("y", F.col("purchase") / 1000)
     return statespace.kalman_filter(S.to_dense(w, ["y"]), [[0.9]], [[1.0]], [[0.1]], [[1.0]]).select("t", r(F.col("mean")[0]).alias("mean"))
 
 
-@query("rts_level")
+@query("rts_level", _LEVEL + """, last_k as (select max(k) as n from f), b as (with recursive bt(k, m, p) as (select k, m, p from f, last_k where k = n union all
+  select f.k, f.m + 0.9*f.p / (0.81*f.p + 0.1) * (bt.m - 0.9*f.m), f.p + power(0.9*f.p / (0.81*f.p + 0.1), 2) * (bt.p - (0.81*f.p + 0.1)) from bt join f on f.k = bt.k - 1) select * from bt)
+select t, round(m, 6) + 0.0 as mean, round(p, 6) + 0.0 as cov from b join x using (k)""")
 def rts_level(spark, d):
     w = hourly(spark, d).withColumn("y", F.col("purchase") / 1000)
     return statespace.kalman_smoother(S.to_dense(w, ["y"]), [[0.9]], [[1.0]], [[0.1]], [[1.0]]).select("t", r(F.col("mean")[0]).alias("mean"), r(F.col("cov")[0]).alias("cov"))
@@ -549,7 +553,7 @@ def bauer(spark, d):
     return rounded(statespace.bauer_order(hourly(spark, d), TYPES2, 3))
 
 
-@query("innovations_n2")
+@query("innovations_n2", "with " + sql_grid("hour", TYPES2) + " select t, round(purchase - 0.1 * coalesce(lag(purchase) over (order by t), 0), 6) + 0.0 as e1, round(click - 0.1 * coalesce(lag(click) over (order by t), 0), 6) + 0.0 as e2 from g")
 def innovations(spark, d):
     coef = np.array([[[[0.1, 0.0], [0.0, 0.1]]]])
     got = statespace.innovations(S.to_dense(hourly(spark, d), TYPES2), M.var_to_innovations(coef, np.eye(2)[None]))
@@ -591,6 +595,17 @@ def bootstrap_ci(spark, d):
     return rounded(ensembles.intervals(ensembles.bootstrap(dense, 2, 1, ["mutual_information_rate", "pairwise_temporal_mvgc"], members=64, seed=3)))
 
 
+@query("bootstrap_state_space_n2")
+def bootstrap_state_space(spark, d):
+    dense = S.to_dense(hourly(spark, d), TYPES2)
+    return rounded(ensembles.intervals(ensembles.bootstrap_state_space(dense, 2, 1, 3, ["entropy_rate", "mutual_information_rate"], members=16, seed=3)))
+
+
+@query("var_cv_nll")
+def var_cv_nll(spark, d):
+    return rounded(checks.var_cross_validation(hourly(spark, d), TYPES2, [1, 2], checks.folds(700, spark, k=3, test=60), "one_se", "nll"), 4)
+
+
 @query("numit_n2")
 def numit(spark, d):
     coef, sigma = np.array([[[0.38, 0.12], [0.07, 0.31]]]), np.array([[1, 0.15], [0.15, 0.9]])
