@@ -33,15 +33,40 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+class Words(dict):
+    """Ids of words, each encoded when it is first looked up; lead is what stands before them."""
+
+    def __init__(self, encoder: "Encoder", lead: str):
+        super().__init__()
+        self.encoder, self.lead, self.mark = encoder, lead, "\u0120" if lead else ""
+
+    def __missing__(self, word: str) -> bytes:
+        e, core = self.encoder, word.rstrip(TAIL)
+        if core.isalpha() or core.isdecimal():
+            # Letters or digits are one piece, and so are the marks behind them.
+            if len(core) < len(word):
+                out = self[core] + e.tail(word[len(core) :])
+            else:
+                letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+                out = b"".join([e.id_bytes[p.id] for p in e.split(self.mark + letters)])
+        else:
+            parts = word.split("\n")
+            if len(parts) > 1 and all(p and p == p.strip() for p in parts):
+                out = e.line.join([self[parts[0]], *[e.first[p] for p in parts[1:]]])
+            else:
+                out = e.whole([self.lead + word])[0]
+        self[word] = out
+        return out
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, by the tokenizers library.
 
     Byte-level BPE of this kind splits a text before each single space, and
     around a single line end between other characters, so the ids of a word
     with the space before it (or at the start of a line) never depend on what
-    surrounds it.  They are kept and looked up again; new words go through the
-    library together, a line each.  `plainness` tells which texts allow that;
-    others go through the library whole.
+    surrounds it.  They are kept and looked up again.  `plainness` tells which
+    texts allow that; others go through the library whole.
     """
 
     KEEP = 1_000_000
@@ -55,9 +80,11 @@ class Encoder:
         self.line = self.whole(["\n"])[0]
         self.split = self.lib.model.tokenize  # of one piece, in the letters that stand for bytes
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
-        self.tails = {"": b""}
-        self.after: dict[str, bytes] = {}  # words after a space
-        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.tails: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.after, self.first = Words(self, " "), Words(self, "")
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -68,67 +95,22 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of lead + word for words without white space."""
-        out: dict[str, bytes] = {}
-        known = self.after if lead else self.first
-        mark = "\u0120" if lead else ""
-        rest = []
-        for x in new:
-            core = x.rstrip(TAIL)
-            if not core.isalpha():
-                rest.append(x)
-                continue
-            # Letters are one piece, and so are the marks behind them.
-            own = known.get(core) or out.get(core)
-            if own is None:
-                letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
-                own = out[core] = b"".join([self.id_bytes[p.id] for p in self.split(mark + letters)])
-            if core is not x and core != x:
-                tail = x[len(core) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self.whole([tail])[0]
-                out[x] = own + self.tails[tail]
-        out.update(self._learn_lines(rest, lead))
-        return out
-
-    def _learn_lines(self, new: list[str], lead: str) -> dict[str, bytes]:
-        """The same for any words, encoded together, a line each."""
-        out: dict[str, bytes] = {}
-        mark = int(np.frombuffer(self.line, "<u4")[0])
-        for i in range(0, len(new), 8192):
-            own = new[i : i + 8192]
-            ids = np.frombuffer(self.whole(["".join(["\n" + lead + x for x in own])])[0], "<u4")
-            at = np.flatnonzero(ids == mark)
-            if len(self.line) != 4 or len(at) != len(own):
-                out.update(zip(own, self.whole([lead + x for x in own])))
-                continue
-            data, ends = ids.tobytes(), np.append(at[1:], len(ids))
-            out.update(zip(own, [data[p:q] for p, q in zip((4 * at + 4).tolist(), (4 * ends).tolist())]))
-        return out
+    def tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            self.tails[marks] = self.whole([marks])[0]
+        return self.tails[marks]
 
     def encode(self, texts: list[str], plain: list[bool]) -> list[bytes]:
         if len(self.after) + len(self.first) > self.KEEP:
-            self.after, self.first = {}, {}
-        cut = [t.split(" ") if p else [""] for t, p in zip(texts, plain)]
-        heads = [own[0] for own in cut]
-        after = self.after
-        new = {x for x in set().union(*[own[1:] for own in cut]) if x not in after}
-        # A line end within a word without spaces: the parts are words themselves.
-        lines = {x: x.split("\n") for x in new if not x.isprintable()}
-        starts = {x: x.split("\n") for x in heads}
-        parts = {y for own in lines.values() for y in own[1:]}.union(*starts.values())
-        odd = lambda own: not all(own) or not all(map(str.isprintable, own))
-        single = [x for x in new if x and x not in lines] + list({own[0] for own in lines.values() if own[0] and own[0].isprintable() and own[0] not in after} - new)
-        self.after.update(self.learn(single, " "))
-        self.first.update(self.learn([x for x in parts if x and x.isprintable() and x not in self.first], ""))
-        if "" in new:
-            self.after[""] = self.whole([" "])[0]
-        for x, own in lines.items():
-            self.after[x] = self.whole([" " + x])[0] if odd(own) else self.line.join([self.after[own[0]], *[self.first[y] for y in own[1:]]])
-        done = {x: b"" if not x else self.whole([x])[0] if odd(own) else self.line.join([self.first[y] for y in own]) for x, own in starts.items()}
-        get = self.after.__getitem__
-        return [done[head] + b"".join(map(get, own[1:])) if p else self.whole([t])[0] for t, p, own, head in zip(texts, plain, cut, heads)]
+            self.clear()
+        after, first, out = self.after.__getitem__, self.first, []
+        for text, is_plain in zip(texts, plain):
+            if is_plain:
+                head, *words = text.split(" ")
+                out.append((first[head] if head else b"") + b"".join(map(after, words)))
+            else:
+                out.append(self.whole([text])[0])
+        return out
 
 
 _WHITE = T.SPACE.copy()
