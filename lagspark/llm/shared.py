@@ -7,6 +7,8 @@ Spark itself writes and reads, so a lost executor takes nothing with it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def folder(spark: SparkSession) -> str:
     """The shared folder; set to a temporary one where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lagspark-")
+        own = tempfile.mkdtemp(prefix="lagspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
