@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
 
     comp = classes.select("fa", "fb", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
     comp = scratch.put("components", comp)
+    scratch.clear(sk, comp)
     out = sk.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("fa")).alias("fa"), "fb")
     lone = out.where("fa is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     joined = out.where("fa is not null").join(comp.hint("merge"), ["fa", "fb"]).select("doc_id", "n_shingles", "component_id", "class_id")
