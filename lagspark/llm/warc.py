@@ -224,7 +224,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             jump = scratch.put("jump", jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("then")), ["file", "to"], "left").select("file", "at", F.coalesce("then", "to").alias("to")))
         entries = seen
     reached = scratch.put("reached", _reached(links, entries))
-    real = found.join(reached, ["file", "block", "at"])
+    real = found.join(reached.hint("merge"), ["file", "block", "at"])
     out = real.where("whole").select(*_NAMES)
     broken = scratch.put("broken", real.where("not whole").select("file", "block", "at", "ends"))
     return out if broken.isEmpty() else out.unionByName(_joined(spark, path, found, broken))
