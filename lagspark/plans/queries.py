@@ -612,8 +612,8 @@ def numit(spark, d):
     return rounded(ensembles.numit(ship(spark), coef, sigma, [0], [1], members=32, seed=2))
 
 
-@query("ssdi_tnet")
-def ssdi(spark, d):
+@query("dependence_search_n5")
+def dependence_search(spark, d):
     mask = np.eye(5) + np.eye(5, k=-1)
     got = ensembles.dependence_search(ship(spark), systems.masked_model(mask), 2, runs=8, seed=1, points=65, max_iter=300)
     return got.select("run", "size", r("objective", 4).alias("objective"))
