@@ -46,6 +46,15 @@ def daily_users(spark: SparkSession, d: str) -> DataFrame:
     return S.regularise(_read(spark, d, "events"), time="ts", unit="DAY", value="value", channel="event_type", channels=TYPES2, series=F.col("user_id"))
 
 
+def steps(wide: DataFrame) -> int:
+    """Steps of one gap-free series, from its first to its last."""
+    return wide.agg(F.max("t") - F.min("t") + 1).first()[0] or 0
+
+
+def folds_of(wide: DataFrame) -> DataFrame:
+    return checks.folds(steps(wide), wide.sparkSession, k=3, test=60)
+
+
 def r(c: Column | str, k: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, k) + 0.0
 
@@ -499,13 +508,14 @@ def cv_folds(spark, d):
 
 @query("var_cv")
 def var_cv(spark, d):
-    return rounded(checks.var_cross_validation(hourly(spark, d), TYPES2, [1, 2, 3], checks.folds(700, spark, k=3, test=60)), 4)
+    w = hourly(spark, d)
+    return rounded(checks.var_cross_validation(w, TYPES2, [1, 2, 3], folds_of(w)), 4)
 
 
 @query("mvgc_pvalues")
 def mvgc_pvalues(spark, d):
     m = plan.measures(model2(spark, d), ["pairwise_temporal_mvgc"]).where("i <> j").select("i", "j", "value")
-    return rounded(checks.significance(checks.mvgc_pvalues(m, n_target=1, n_source=1, n_conditional=0, order=1, n_times=720)), 8)
+    return rounded(checks.significance(checks.mvgc_pvalues(m, n_target=1, n_source=1, n_conditional=0, order=1, n_times=steps(hourly(spark, d)))), 8)
 
 
 # State space.
@@ -603,7 +613,8 @@ def bootstrap_state_space(spark, d):
 
 @query("var_cv_nll")
 def var_cv_nll(spark, d):
-    return rounded(checks.var_cross_validation(hourly(spark, d), TYPES2, [1, 2], checks.folds(700, spark, k=3, test=60), "one_se", "nll"), 4)
+    w = hourly(spark, d)
+    return rounded(checks.var_cross_validation(w, TYPES2, [1, 2], folds_of(w), "one_se", "nll"), 4)
 
 
 @query("numit_n2")
@@ -660,7 +671,8 @@ def innovation_diagnostics(spark, d):
 
 @query("larimore_cv")
 def larimore_cv(spark, d):
-    return rounded(empirical.larimore_cross_validation(hourly(spark, d), TYPES2, [1, 2, 3], 3, checks.folds(700, spark, k=3, test=60)), 4)
+    w = hourly(spark, d)
+    return rounded(empirical.larimore_cross_validation(w, TYPES2, [1, 2, 3], 3, folds_of(w)), 4)
 
 
 @query("macro_sweep")

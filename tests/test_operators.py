@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lagspark import sources as S
 from lagspark.functions import ident
 from lagspark.functions import models as M
-from lagspark.operators import checks, ensembles, lags, models, static, statespace
+from lagspark.operators import checks, empirical, ensembles, lags, models, static, statespace
 from lagspark.plans import measures as plan
+from lagspark.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -229,3 +230,23 @@ def test_searches_are_ranked_and_repeatable(spark):
     assert sorted(r.m for r in sweep) == [1, 2, 3] and all(sum(r.loadings) == pytest.approx(r.m) for r in sweep)
     null = ensembles.numit(spark, np.array([[[0.38, 0.12], [0.07, 0.31]]]), np.array([[1, 0.15], [0.15, 0.9]]), [0], [1], members=8, seed=2).collect()
     assert len(null) == 4 and all(0 <= r.quantile <= 1 for r in null)
+
+
+def test_registered_queries_take_the_length_of_the_series(spark, tmp_path):
+    x = ident.simulate_var(np.array([[[[0.4, 0.1], [-0.1, 0.3]]]]), np.eye(2)[None], 900, seed=8)[0]
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(hours=i), c, float(v[k])) for i, v in enumerate(x) for k, c in enumerate(queries.TYPES2)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    w = queries.hourly(spark, str(tmp_path))
+    f = checks.folds(900, spark, k=3, test=60)
+    assert [tuple(x) for x in f.orderBy("fold").collect()] == [(0, 720, 720, 780), (1, 780, 780, 840), (2, 840, 840, 900)]
+    m = plan.measures(queries.model2(spark, str(tmp_path)), ["pairwise_temporal_mvgc"]).where("i <> j").select("i", "j", "value")
+    want = {
+        "var_cv": checks.var_cross_validation(w, queries.TYPES2, [1, 2, 3], f),
+        "var_cv_nll": checks.var_cross_validation(w, queries.TYPES2, [1, 2], f, "one_se", "nll"),
+        "larimore_cv": empirical.larimore_cross_validation(w, queries.TYPES2, [1, 2, 3], 3, f),
+        "mvgc_pvalues": checks.significance(checks.mvgc_pvalues(m, n_target=1, n_source=1, n_conditional=0, order=1, n_times=900)),
+    }
+    for name, rows in want.items():
+        own = queries.rounded(rows, 8 if name == "mvgc_pvalues" else 4)
+        assert sorted(map(tuple, queries.Q[name](spark, str(tmp_path)).collect())) == sorted(map(tuple, own.collect())), name
