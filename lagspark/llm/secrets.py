@@ -26,8 +26,9 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
-#: Runs of fewer characters, or without both a letter and a digit, aren't judged by the models.
-RUN_LEAST = 20
+#: Parts of runs of fewer characters, or of fewer different letters and digits (as rules and
+#: placeholders are; 16 random hex digits have 5 or fewer once in 30,000), aren't secrets to the models.
+RUN_LEAST, DISTINCT_LEAST = 16, 6
 #: Natural-log likelihood ratio a run needs, in all and per character.
 RATIO, RATIO_EACH = 12.0, 0.4
 #: Rows of good quality whose words are sampled as identifiers, words of each, and random strings made.
@@ -67,6 +68,41 @@ class Models:
         codes = _CODE[np.frombuffer(value.encode(), np.uint8)]
         return float(self.first[codes[0]] + self.step[codes[:-1], codes[1:]].sum())
 
+    def secrets(self, value: str) -> list[tuple[int, int]]:
+        """(start, end) of the secrets in a run of key characters.
+
+        The whole run is one if its ratio is high enough; else the part of at least
+        RUN_LEAST characters with the largest sum of ratios over RATIO_EACH may be,
+        and what is left on both sides is judged again.
+        """
+        codes = _CODE[np.frombuffer(value.encode(), np.uint8)]
+        sums = np.concatenate(([0.0], np.cumsum(self.step[codes[:-1], codes[1:]])))
+        head = self.first[codes] - sums
+        out, todo = [], [(0, len(value))]
+
+        def good(a: int, b: int) -> bool:
+            ratio = head[a] + sums[b - 1]
+            return ratio >= RATIO and ratio >= RATIO_EACH * (b - a) and len({c for c in value[a:b] if c.isalnum()}) >= DISTINCT_LEAST
+
+        while todo:
+            a, b = todo.pop()
+            if b - a < RUN_LEAST:
+                continue
+            if not good(a, b):
+                starts = head[a : b - RUN_LEAST + 1] + RATIO_EACH * np.arange(a, b - RUN_LEAST + 1)
+                ends = sums[a + RUN_LEAST - 1 : b] - RATIO_EACH * np.arange(a + RUN_LEAST, b + 1)
+                best = np.maximum.accumulate(starts)
+                e = int(np.argmax(best + ends))
+                i, j = a + int(np.argmax(starts[: e + 1])), a + RUN_LEAST + e
+                if (i, j) == (a, b) or best[e] + ends[e] < 0:
+                    continue
+                todo += [(a, i), (j, b)]
+                if not good(i, j):
+                    continue
+                a, b = i, j
+            out.append((a, b))
+        return sorted(out)
+
 
 def random_strings(n: int, seed: int = 5) -> list[str]:
     """Strings drawn evenly from the alphabets that keys use."""
@@ -121,11 +157,12 @@ def find(texts: list[str], buf: np.ndarray, offsets: np.ndarray, models: Models)
     for d, a, b in zip(*(x.tolist() for x in _runs(_CODE[buf] >= 0, offsets, RUN_LEAST))):
         base = points[offsets[d]]
         start, end = int(points[a] - base), int(points[b] - base)
-        value = texts[d][start:end]
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(s < end and start < e for s, _, e in out[d]):
-            ratio = models.ratio(value)
-            if ratio >= RATIO and ratio >= RATIO_EACH * len(value):
-                out[d].append((start, 3, end))
+        # What base spans leave of the run.
+        cuts = sorted((max(s, start), min(e, end)) for s, k, e in out[d] if k < 3 and s < end and start < e)
+        for s, e in [*cuts, (end, end)]:
+            if s - start >= RUN_LEAST:
+                out[d] += [(start + i, 3, start + j) for i, j in models.secrets(texts[d][start:s])]
+            start = max(start, e)
     return [sorted(x) for x in out]
 
 

@@ -554,3 +554,16 @@ def test_pipeline(spark, tmp_path, docs):
     assert counts[:3] == [71, 61, 60]
     ids = {r.doc_id for r in C.run(spark, str(tmp_path)).collect()}
     assert ids <= set(range(60))
+
+
+def test_secrets_in_parts_of_runs():
+    models = secrets.Models.train([(x, 1) for x in secrets.random_strings(2000)] + [(x, 0) for x in secrets.identifiers([["handle", "user", "request", "response", "number", "window", "service", "manager"]] * 200)])
+    draw = lambda k, n, of: "".join(random.Random(k).choices(of, k=n))
+    letters, short = draw(1, 32, secrets.ALPHABET[:52]), draw(2, 17, secrets.ALPHABET[:62])
+    path, hexed = "requestManager" * 12 + "_", "0123456789abcdef"
+    texts = [letters, short, path + letters, hexed + "Z" + letters, "-" * 40, "x" * 30, "=" * 16, path]
+    buf, offs = T.flat(pa.array(texts, pa.large_string()))
+    got = [[t[a:b] for a, k, b in found if k == 3] for t, found in zip(texts, secrets.find(texts, buf, offs, models))]
+    assert got[:2] == [[letters], [short]] and got[4:] == [[]] * 4
+    assert len(got[2]) == 1 and letters[2:-2] in got[2][0] and len(got[2][0]) < 40
+    assert got[3] == ["Z" + letters]
