@@ -3,8 +3,11 @@
 Templates are few and fixed, so their bands travel with the tasks.  Windows are
 a little longer than the templates of their length class and start at every
 quarter of its length, so some window holds any whole notice with little else
-and collides in a band with probability over 1 - 1e-6.  A window can only
-collide if it has a shingle of a template; the others are not hashed.
+and collides in a band with probability over 1 - 1e-6; a worn notice at the
+least containment, or one cut by other words, is missed more often.  A window
+that collides retrieves its template, whose containment is then taken over the
+adjacent windows as well.  A window can only collide if it has a shingle of a
+template; the others are not hashed.
 """
 
 from __future__ import annotations
@@ -84,16 +87,76 @@ def _plain(data: bytes) -> bytes:
     return _PLAIN[np.frombuffer(data, np.uint8)].tobytes()
 
 
+def _shortest(part: np.ndarray) -> tuple[int, int]:
+    """The shortest slice of part with every value of part, the first of these."""
+    count, least, best, a = {}, len(set(part.tolist())), (0, len(part)), 0
+    for b, h in enumerate(part.tolist()):
+        count[h] = count.get(h, 0) + 1
+        while len(count) == least:
+            if b + 1 - a < best[1] - best[0]:
+                best = (a, b + 1)
+            x = int(part[a])
+            count[x] -= 1
+            if not count[x]:
+                del count[x]
+            a += 1
+    return best
+
+
+def _around(lib: Library, i: int, hashes: np.ndarray, spans: list[tuple[int, int, int]], reach: int, percent: int) -> list[tuple[int, int, int]]:
+    """spans (first, last + 1, shared) of template i with its missing shingles nearby, and notices that no window holds.
+
+    Places of its shingles less than reach apart are in adjacent windows.
+    """
+    at = np.flatnonzero(np.isin(hashes, lib.sets[i]))
+    spans, out = sorted(spans), []
+    for k, (a, b, _) in enumerate(spans):
+        have = set(hashes[at[(at >= a) & (at + lib.words <= b)]].tolist())
+        low, high = out[-1][1] if out else 0, spans[k + 1][0] if k + 1 < len(spans) else len(hashes) + lib.words
+        edge = a
+        for p in at[(at >= low) & (at < a)][::-1].tolist():
+            if edge - p >= reach:
+                break
+            edge = p
+            if int(hashes[p]) not in have:
+                have.add(int(hashes[p]))
+                a = p
+        edge = b - lib.words
+        for p in at[(at > b - lib.words) & (at + lib.words <= high)].tolist():
+            if p - edge >= reach:
+                break
+            edge = p
+            if int(hashes[p]) not in have:
+                have.add(int(hashes[p]))
+                b = p + lib.words
+        out.append((a, b, len(have)))
+    limits = [0, *[x for a, b, _ in out for x in (a, b)], len(hashes) + lib.words]
+    todo = []
+    for low, high in zip(limits[::2], limits[1::2]):
+        free = at[(at >= low) & (at + lib.words <= high)]
+        todo += np.split(free, np.flatnonzero(np.diff(free) >= reach) + 1)
+    while todo:
+        own = todo.pop()
+        if 100 * len(np.unique(hashes[own])) >= percent * len(lib.sets[i]):
+            a, b = _shortest(hashes[own])
+            first, last = int(own[a]), int(own[b - 1]) + lib.words
+            out.append((first, last, len(np.unique(hashes[own]))))
+            todo += [own[own + lib.words <= first], own[own >= last]]
+    return out
+
+
 def find(lib: Library, hashes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
     """(template, first word, last word + 1, shared shingles) of notices in one text.
 
     hashes: the shingle hash at each word that begins one.  Of overlapping
-    windows with one template the best counts, then the first.
+    windows with one template the best counts, then the first; then the text
+    around counts, so words put into a notice don't hide its other part.
     """
     hit = np.flatnonzero(np.isin(hashes, lib.all))
     if not len(hit):
         return []
     found: dict[int, list[tuple[int, int, int, int]]] = {}
+    reach: dict[int, int] = {}  # of templates that a window collides with
     last_start = len(hashes) + lib.words - 1
     for size, step, own in lib.classes:
         span = max(1, size - lib.words + 1)  # shingles in a window
@@ -103,6 +166,7 @@ def find(lib: Library, hashes: np.ndarray, percent: int = PERCENT) -> list[tuple
             part = hashes[start : min(start + span, last_start)]
             part_set = np.unique(part)
             for i in {i for key in lib.keys(part_set) for i in lib.band.get(key, ())} & own:
+                reach[i] = 2 * span
                 at = np.flatnonzero(np.isin(part, lib.sets[i]))
                 # One run without a wide gap is enough, if it is; else the whole window counts.
                 runs = np.split(at, np.flatnonzero(np.diff(at) > max(lib.words, lib.lengths[i] // 4)) + 1)
@@ -110,15 +174,16 @@ def find(lib: Library, hashes: np.ndarray, percent: int = PERCENT) -> list[tuple
                 for own_at in (best, at):
                     shared = len(np.unique(part[own_at]))
                     if 100 * shared >= percent * len(lib.sets[i]):
-                        found.setdefault(i, []).append((start + int(own_at[0]), start + int(own_at[-1]) + lib.words, shared, i))
+                        a, b = _shortest(part[own_at])  # not the edge of another copy
+                        found.setdefault(i, []).append((start + int(own_at[a]), start + int(own_at[b - 1]) + lib.words, shared, i))
                         break
     out = []
-    for i, spans in found.items():
+    for i, far in reach.items():
         taken: list[tuple] = []
-        for a, b, shared, _ in sorted(spans, key=lambda x: (-x[2], x[1] - x[0], x[0])):
-            if all(b <= c or d <= a for c, d in taken):
-                taken.append((a, b))
-                out.append((i, a, b, shared))
+        for a, b, shared, _ in sorted(found.get(i, []), key=lambda x: (-x[2], x[1] - x[0], x[0])):
+            if all(b <= c or d <= a for c, d, _ in taken):
+                taken.append((a, b, shared))
+        out += [(i, a, b, shared) for a, b, shared in _around(lib, i, hashes, taken, far, percent)]
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 

@@ -567,3 +567,16 @@ def test_secrets_in_parts_of_runs():
     assert got[:2] == [[letters], [short]] and got[4:] == [[]] * 4
     assert len(got[2]) == 1 and letters[2:-2] in got[2][0] and len(got[2][0]) < 40
     assert got[3] == ["Z" + letters]
+
+
+def test_licenses_with_words_put_in(spark):
+    rng = random.Random(6)
+    texts = []
+    for name in ("mit", "apache-2.0", "gpl-3.0", "bsd"):
+        w = licenses.TEMPLATES[name].split()
+        texts.append(prose(rng, 50) + " " + " ".join(w[: len(w) // 2]) + " " + prose(rng, 80) + " " + " ".join(w[len(w) // 2 :]) + " " + prose(rng, 50))
+    texts.append(licenses.TEMPLATES["gpl-3.0"] + " " + prose(rng, 5) + " " + licenses.TEMPLATES["gpl-3.0"])
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = sorted((r.doc_id, r.license_id) for r in got if r.license_id in ("mit", "apache-2.0", "gpl-3.0", "bsd"))
+    assert found == [(0, "mit"), (1, "apache-2.0"), (2, "gpl-3.0"), (3, "bsd"), (4, "gpl-3.0"), (4, "gpl-3.0")]
+    assert all(r.total - r.shared <= 4 for r in got)
