@@ -7,8 +7,9 @@ probabilities sum to one.  No model is ever broadcast.  Documents are dealt
 into chunks; a chunk sends its distinct n-grams, as sorted hashes cut into one
 block per shard, and the shard that owns a hash range adds up the counts and
 answers each chunk with the totals of its own n-grams.  With these a chunk
-holds exactly the part of the automaton that its texts can reach, and runs
-through each text once.  All tables grow with the chunk, not with the corpus.
+holds the counts of the part of the automaton that its texts can reach.  It
+builds no states or arcs: every token's weight follows from the counts of its
+n-grams in closed form, for all tokens at once.  All tables grow with the chunk, not with the corpus.
 """
 
 from __future__ import annotations
