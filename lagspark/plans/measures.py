@@ -121,7 +121,7 @@ def _pair(n: int, c: Config) -> str | None:
 
 
 def _sources(c: Config, n: int):
-    return [list(g) for g in c.sources] if c.sources else [[i] for i in range(n) if i not in c.target][:3]
+    return [list(g) for g in c.sources] if c.sources else [[i] for i in range(n) if i not in c.target]
 
 
 def _few_sources(n: int, c: Config) -> str | None:

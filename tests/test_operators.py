@@ -250,3 +250,8 @@ def test_registered_queries_take_the_length_of_the_series(spark, tmp_path):
     for name, rows in want.items():
         own = queries.rounded(rows, 8 if name == "mvgc_pvalues" else 4)
         assert sorted(map(tuple, queries.Q[name](spark, str(tmp_path)).collect())) == sorted(map(tuple, own.collect())), name
+
+
+def test_wide_models_need_sources():
+    assert plan._few_sources(4, plan.Config()) is None and plan._few_sources(5, plan.Config()) == "not two or three sources"
+    assert plan._few_sources(5, plan.Config(sources=((0,), (2, 3, 4)))) is None
