@@ -28,12 +28,18 @@ def _rng(seed: int, member: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=[seed, member]))
 
 
-def bootstrap(dense: DataFrame, n: int, order: int, names: Sequence[str] | str, config: plan.Config = plan.Config(), *, members: int = 1000, method: str = "residual", seed: int = 0) -> DataFrame:
-    """model_id (member), stable, and measures of refitted resamples of one series of at most MOST_ROWS rows."""
-    rows = dense.orderBy("t").limit(MOST_ROWS + 1).select("x").toPandas()
+def _one_series(dense: DataFrame) -> np.ndarray:
+    rows = dense.orderBy("t").limit(MOST_ROWS + 1).select("series_id", "x").toPandas()
+    if rows["series_id"].nunique(dropna=False) > 1:
+        raise ValueError("a bootstrap takes one series")
     if len(rows) > MOST_ROWS:
         raise ValueError(f"a bootstrap takes a series of at most {MOST_ROWS} rows")
-    x = np.stack([np.asarray(v, float) for v in rows["x"]])
+    return np.stack([np.asarray(v, float) for v in rows["x"]])
+
+
+def bootstrap(dense: DataFrame, n: int, order: int, names: Sequence[str] | str, config: plan.Config = plan.Config(), *, members: int = 1000, method: str = "residual", seed: int = 0) -> DataFrame:
+    """model_id (member), stable, and measures of refitted resamples of one series of at most MOST_ROWS rows."""
+    x = _one_series(dense)
     fit = ident.fit_var(x[None], order)
     coef, const, sigma, res = fit["coef"], fit["intercept"], fit["sigma"], fit["residuals"][0]
     res = res - res.mean(0)
@@ -63,10 +69,7 @@ def bootstrap(dense: DataFrame, n: int, order: int, names: Sequence[str] | str,
 
 def bootstrap_state_space(dense: DataFrame, n: int, states: int, past: int, names: Sequence[str] | str, config: plan.Config = plan.Config(), *, members: int = 1000, seed: int = 0) -> DataFrame:
     """The same for an innovations model: its one-step errors are resampled, run through it and refitted."""
-    rows = dense.orderBy("t").limit(MOST_ROWS + 1).select("x").toPandas()
-    if len(rows) > MOST_ROWS:
-        raise ValueError(f"a bootstrap takes a series of at most {MOST_ROWS} rows")
-    x = np.stack([np.asarray(v, float) for v in rows["x"]])
+    x = _one_series(dense)
     x = x - x.mean(0)
     model = ident.larimore(x[None], states, past)["model"]
     errors = ident.innovations(x[None], model)[0]

@@ -255,3 +255,9 @@ def test_registered_queries_take_the_length_of_the_series(spark, tmp_path):
 def test_wide_models_need_sources():
     assert plan._few_sources(4, plan.Config()) is None and plan._few_sources(5, plan.Config()) == "not two or three sources"
     assert plan._few_sources(5, plan.Config(sources=((0,), (2, 3, 4)))) is None
+
+
+def test_bootstrap_rejects_several_series(wide):
+    for call in (lambda d: ensembles.bootstrap(d, 2, 1, ["entropy_rate"], members=2), lambda d: ensembles.bootstrap_state_space(d, 2, 1, 3, ["entropy_rate"], members=2)):
+        with pytest.raises(ValueError, match="one series"):
+            call(S.to_dense(wide, ["a", "b"]))
