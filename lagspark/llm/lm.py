@@ -1,38 +1,55 @@
-"""Corpus language model as a weighted backoff automaton, counted and scored in shards.
+"""Corpus language model as a weighted backoff automaton, built in parts and traversed once per text.
 
 Smoothed n-grams are states: a state h has an arc for every word seen after it,
-weighted log10((c(hw) + m * P(w | h')) / (c(h) + m)), and a failure arc to the
-shorter history h', weighted log10(m / (c(h) + m)), so every state's
-probabilities sum to one.  No model is ever broadcast.  Documents are dealt
-into chunks; a chunk sends its distinct n-grams, as sorted hashes cut into one
-block per shard, and the shard that owns a hash range adds up the counts and
-answers each chunk with the totals of its own n-grams.  With these a chunk
-holds the counts of the part of the automaton that its texts can reach.  It
-builds no states or arcs: every token's weight follows from the counts of its
-n-grams in closed form, for all tokens at once.  All tables grow with the chunk, not with the corpus.
+weighted log10((c(hw) + m * P(w | h')) / (c(h) + m)), that leads to the longest
+state which ends the history hw, and a failure arc to the shorter history h',
+weighted log10(m / (c(h) + m)); so every state's probabilities sum to one.
+
+No model of the whole corpus is ever in one place.  Tasks cut their rows into
+chunks.  A chunk sends its distinct n-grams, as sorted 64-bit hashes with counts,
+in one block per hash range; the node that owns a range adds up the blocks of a
+group of chunks.  One group answers them at once; with more groups, nodes send
+what they have combined on to the nodes of finer ranges, and answers come back
+the same way.  The number of ranges is bounded, so blocks, rows and bytes grow
+in proportion to the corpus, and no node holds more than a few chunks' n-grams.
+With the answers a chunk builds the part of the automaton that its texts can
+reach, and traverses each text from left to right.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import partitions
-
-#: Text bytes per chunk at most, on average.  Blocks sent number chunks times shards, so
-#: a corpus of many terabytes takes chunks as large as executors can hold (30 times as much).
-CHUNK_BYTES = 8 << 20
-#: Chunks' bytes per shard, and prior weight of the shorter history.
-SHARD_CHUNKS = 2
-PRIOR = 100.0
-ORDER = 2
+from .shared import Scratch
+
+#: Text bytes at which a chunk is closed.
+CHUNK_BYTES = 6 << 20
+#: Chunks' n-grams that a node holds, and ranges that a node cuts its keys into at most.
+NODE_CHUNKS, MOST_RANGES = 2, 4096
+#: Prior weights of the shorter history, by length of the longer one from one word on: near the
+#: best of a grid for the held-out documents at sf0.1 (3.36 decimal digits a token; 3.64 at 20, 5).
+PRIORS = (2000.0, 3.0)
+#: Tokens that one lane of a traversal scores.
+LANE = 512
 #: Documents whose crc32 leaves this remainder are held out.
 MODULUS, HELD_OUT = 7, 2
 _END, _BEGIN = T.stream(2, 909)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+_NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+_ASKED = "node long, part int, child long, mark long, keys binary, counts binary, words binary, tokens long"
+_ANSWERED = "child long, part int, mark long, totals binary, tokens long, vocabulary long"
+
+
+# Blocks of keys and counts.
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -56,65 +73,71 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    kind = next(k for k in ("u1", "<u2", "<u4", "<u8") if not len(counts) or int(counts.max()) <= np.iinfo(k).max)
-    return kind[-1].encode() + counts.astype(kind).tobytes()
+    """A byte per count; counts from 255 on follow as 64-bit integers, in order."""
+    counts = np.asarray(counts, np.int64)
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    kind = "<u" + data[:1].decode()
-    return np.frombuffer(data, kind, offset=1).astype(np.int64)
-
-
-def _grams(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(first, grams): tokens of document d are first[d]..first[d + 1] - 1, words then
-    the end; grams[n - 1] holds the key of the n-gram that ends at each token, the
-    beginning being a word, and grams[order + 1] each token's place in its document."""
-    counts, hashes = [], []
-    for _, _, w in T.batches(table.column("text")):
-        counts.append(w.counts)
-        hashes.append(w.hashes())
-    counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    first = np.concatenate(([0], np.cumsum(counts + 1)))
-    tokens = np.full(first[-1], _END, np.uint64)
-    inside = np.ones(first[-1], bool)
-    inside[first[1:] - 1] = False
-    tokens[inside] = hashes
-    starts = np.zeros(first[-1], bool)
-    starts[first[:-1]] = True
-    grams = [tokens]
-    room = np.arange(first[-1]) - np.repeat(first[:-1], counts + 1)
-    with np.errstate(over="ignore"):
-        history = np.empty_like(tokens)
-        history[1:] = tokens[:-1]
-        history[starts] = _BEGIN
-        known = history
-        for n in range(2, order + 1):
-            grams.append(T.mix(T.mix(known + np.uint64(n)) * np.uint64(3) + tokens))
-            if n < order:
-                longer = np.empty_like(tokens)
-                longer[1:] = grams[-1][:-1]
-                longer[starts] = 0
-                known = longer
-    grams.append(history)
-    grams.append(room)
-    return first, grams
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[8 + n :], "<i8")
+    return out
+
+
+@lru_cache(64)
+def _inner(path: int, ranges: int, depth: int) -> np.ndarray:
+    """Bounds between the ranges that a node's range is cut into; path numbers it among ranges**depth."""
+    whole = ranges ** (depth + 1)
+    return np.array([((path * ranges + q) << 64) // whole for q in range(1, ranges)], np.uint64)
+
+
+def _cut(keys: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.searchsorted(keys, inner), [len(keys)]))
+
+
+# The n-grams of a chunk.
 
 
 class Grams:
-    """The distinct n-grams of some tokens, and which of them ends at each token.
+    """The distinct n-grams of some texts, and which of them ends at each token.
 
-    keys: sorted; place[n - 1][i]: position in keys of the n-gram that ends at
-    token i, where real[n - 1][i]; begin: positions of the beginning, once a document.
+    Tokens are a text's lower-cased words, then one end; the beginning is a
+    word of histories.  keys: sorted hashes; first: first token of each text,
+    and the number of tokens; place[n - 1][i]: position in keys of the n-gram
+    that ends at token i, or -1 where the text doesn't reach back that far;
+    begin: position of the beginning.
     """
 
-    def __init__(self, first: np.ndarray, grams: list[np.ndarray], order: int):
-        room = grams[order + 1]
-        self.real = [np.ones(len(room), bool)] + [room >= n - 2 for n in range(2, order + 1)]
-        parts = [grams[0], np.full(len(first) - 1, _BEGIN, np.uint64)] + [g[r] for g, r in zip(grams[1:order], self.real[1:])]
-        cut = np.cumsum([0] + [len(p) for p in parts])
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, order: int):
+        counts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for _, _, w in T.batches(texts):
+            counts.append(w.counts)
+            hashes.append(w.hashes())
+        counts = np.concatenate(counts)
+        self.order, self.first = order, np.concatenate(([0], np.cumsum(counts + 1)))
+        tokens = np.full(self.first[-1], _END, np.uint64)
+        self.is_end = np.zeros(len(tokens), bool)
+        self.is_end[self.first[1:] - 1] = True
+        tokens[~self.is_end] = np.concatenate(hashes)
+        del hashes
+        self.room = np.arange(len(tokens)) - np.repeat(self.first[:-1], counts + 1)
+        starts = self.room == 0
+        self.mark = int(T.signed(T.mix(tokens + np.arange(len(tokens), dtype=np.uint64)).sum(dtype=np.uint64, keepdims=True))[0]) if len(tokens) else 0
+
+        real = [self.room >= n - 2 for n in range(1, order + 1)]
+        parts = [np.array([_BEGIN], np.uint64), tokens]
+        history = np.empty_like(tokens)
+        history[1:] = tokens[:-1]
+        history[starts] = _BEGIN
+        with np.errstate(over="ignore"):
+            for n in range(2, order + 1):
+                gram = T.mix(T.mix(history + np.uint64(n)) * np.uint64(3) + tokens)
+                parts.append(gram[real[n - 1]])
+                history[1:] = gram[:-1]
         every = np.concatenate(parts)
-        del parts
+        cut = np.cumsum([0] + [len(p) for p in parts])
+        del parts, history
         by = np.argsort(every)
         own = every[by]
         del every
@@ -124,126 +147,312 @@ class Grams:
         where = np.empty(len(own), np.int32)
         where[by] = np.cumsum(fresh, dtype=np.int32) - 1
         del own, by
-        place = [where[i:j] for i, j in zip(cut[:-1], cut[1:])]
-        self.begin, self.place = place[1], [place[0], *place[2:]]
-
-    def counts(self, use: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """How often each n-gram ends at the tokens marked in use; docs: their documents."""
-        n = len(self.keys)
-        out = np.bincount(self.begin[docs], minlength=n)
-        for p, r in zip(self.place, self.real):
-            out += np.bincount(p[use[r]], minlength=n)
+        self.begin, self.place = int(where[0]), []
+        for n, (a, b) in enumerate(zip(cut[1:-1], cut[2:])):
+            place = np.full(len(tokens), -1, np.int32)
+            place[real[n]] = where[a:b]
+            self.place.append(place)
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """How often each n-gram occurs in the texts marked in train; the beginning once a text."""
+        use, n = np.repeat(train, np.diff(self.first)), len(self.keys)
+        out = np.zeros(n, np.int64)
+        for place in self.place:
+            out += np.bincount(place[use & (place >= 0)], minlength=n)
+        out[self.begin] += int(train.sum())
         return out
 
 
-def score(docs: DataFrame, *, order: int = ORDER, prior: float = PRIOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """SCHEMA for every row of docs; the model learns from rows that aren't held out.
+class Automaton:
+    """States, arcs and failure arcs of the n-grams of some texts.
 
-    Tokens are lower-cased words, then one end.  base_score sums log10 of
-    add-one unigram probabilities, score is the automaton's log10 probability.
-    A null or blank text is its end alone.  A null doc_id counts as the empty
-    text for the split and is trained on; repeated rows count as often as they
-    occur; other columns are ignored; an empty table gives an empty result.
+    State 0 is the empty history; its arcs are the words seen in training, and
+    unknown is the weight of any other.  Arcs are sorted by state and word.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(2 * partitions(spark), int(total // chunk_bytes) + 1)
-    n = chunks // SHARD_CHUNKS + 1
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % MODULUS == HELD_OUT
-    dealt = slim.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text", held.alias("held"))
-
-    def requests(key: tuple, table: pa.Table) -> pa.Table:
-        first, grams = _grams(table, order)
-        docs = ~np.array(table.column("held"), bool)
-        train = np.repeat(docs, np.diff(first))
-        known = Grams(first, grams, order)
-        keys, counts = known.keys, known.counts(train, docs)
-        word = np.zeros(len(keys), bool)
-        word[known.place[0][train]] = True
-        cut = np.searchsorted(keys, _bounds(n))
-        tokens = np.concatenate(([int(train.sum())], np.zeros(n - 1, np.int64)))
-        return pa.table({
-            "shard": pa.array(range(n), pa.int32()),
-            "chunk": pa.array([key[0].as_py()] * n, pa.int32()),
-            "keys": pa.array([pack_keys(keys[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-            "counts": pa.array([pack_counts(counts[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-            "words": pa.array([np.packbits(word[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-            "tokens": pa.array(tokens, pa.int64()),
-        })
 
-    def answers(table: pa.Table) -> pa.Table:
-        keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
-        sizes = np.cumsum([0] + [len(k) for k in keys])
-        every = np.concatenate(keys)
-        distinct, where = np.unique(every, return_inverse=True)
-        counts = np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()])
-        totals = np.bincount(where, counts, len(distinct)).astype(np.int64)  # exact below 2**53
-        is_word = np.zeros(len(distinct), bool)
-        for i, marks in enumerate(table.column("words").to_pylist()):
-            own = where[sizes[i] : sizes[i + 1]]
-            is_word[own[np.unpackbits(np.frombuffer(marks, np.uint8), count=len(own)).astype(bool)]] = True
-        m, mine = len(table), totals[where]
+    def __init__(self, grams: Grams, totals: np.ndarray, n_train: int, vocabulary: int, priors: Sequence[float] = PRIORS):
+        n, order = len(grams.keys), grams.order
+        self.words, self.size = n, grams.order
+        rep, length = np.zeros(n, np.int64), np.zeros(n, np.int8)
+        for k, place in enumerate(grams.place):
+            at = np.flatnonzero(place >= 0)
+            rep[place[at]] = at
+            length[place[at]] = k + 1
+        length[grams.begin] = 0
+        ends = grams.is_end[rep] if len(grams.is_end) else np.zeros(n, bool)
+        known = totals > 0
+        is_state = known & (length < order) & ~(ends & (length > 0))
+        state = np.zeros(n, np.int64)
+        state[is_state] = np.arange(1, int(is_state.sum()) + 1)
+        self.state_of, self.start = state, int(state[grams.begin])
+
+        p = np.zeros(n)
+        self.unknown = -np.log10(n_train + vocabulary + 1)
+        heads, words, to = [], [], []
+        self.fail_to, self.fail_weight = np.zeros(int(is_state.sum()) + 1, np.int64), np.zeros(int(is_state.sum()) + 1)
+
+        def fail(g: np.ndarray, shorter: np.ndarray | int, prior: float) -> None:
+            self.fail_to[state[g]] = shorter
+            self.fail_weight[state[g]] = np.log10(prior / (totals[g] + prior))
+
+        if self.start:
+            fail(np.array([grams.begin]), 0, priors[0])
+        arcs = []
+        for k in range(1, order + 1):
+            g = np.flatnonzero(known & (length == k))
+            at = rep[g]
+            arcs.append(g)
+            words.append(grams.place[0][at].astype(np.int64))
+            if k == 1:
+                p[g] = (totals[g] + 1) / (n_train + vocabulary + 1)
+                heads.append(np.zeros(len(g), np.int64))
+                to.append(state[g])
+                shorter = np.zeros(len(g), np.int64)
+            else:
+                before = np.where(grams.room[at] == 0, grams.begin, grams.place[k - 2][at - 1])
+                ending = grams.place[k - 2][at]
+                prior = priors[k - 2]
+                p[g] = (totals[g] + prior * p[ending]) / (totals[before] + prior)
+                heads.append(state[before])
+                to.append(state[g] if k < order else state[ending])
+                shorter = state[ending]
+            own = is_state[g]
+            if own.any():
+                fail(g[own], shorter[own], priors[k - 1])
+        keys = np.concatenate(heads) * np.int64(n) + np.concatenate(words)
+        by = np.argsort(keys)
+        self.arc_keys = np.append(keys[by], np.iinfo(np.int64).max)
+        self.arc_to = np.append(np.concatenate(to)[by], 0)
+        self.arc_weight = np.append(np.log10(p[np.concatenate(arcs)[by]]), 0.0)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, log10 probabilities) of reading a word in each state."""
+        state, out = state.copy(), np.zeros(len(state))
+        todo = np.arange(len(state))
+        while len(todo):
+            key = state[todo] * np.int64(self.words) + word[todo]
+            arc = np.searchsorted(self.arc_keys, key)
+            hit = self.arc_keys[arc] == key
+            done, arc = todo[hit], arc[hit]
+            out[done] += self.arc_weight[arc]
+            state[done] = self.arc_to[arc]
+            todo = todo[~hit]
+            lost = todo[state[todo] == 0]
+            out[lost] += self.unknown
+            todo = todo[state[todo] > 0]
+            out[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail_to[state[todo]]
+        return state, out
+
+    def lanes(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, text) of pieces of at most LANE tokens."""
+        pieces = -(-np.diff(first) // LANE)
+        doc = np.repeat(np.arange(len(pieces)), pieces)
+        return first[doc] + LANE * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)), doc
+
+    def traverse(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of each text.
+
+        All lanes go from left to right together, each carrying its state.  The
+        state after order - 1 words doesn't depend on the state before them, so
+        a lane inside a text reads these words first, and scores from then on.
+        """
+        start, doc = self.lanes(first)
+        inside = start > first[doc]
+        warm = np.where(inside, self.size - 1, 0)
+        begin = start - warm
+        steps = np.minimum(start + LANE, first[doc + 1]) - begin
+        by = np.argsort(-steps, kind="stable")
+        begin, steps, warm = begin[by], steps[by], warm[by]
+        state, total = np.where(inside[by], 0, self.start), np.zeros(len(by))
+        for k in range(int(steps[0]) if len(steps) else 0):
+            m = int(np.searchsorted(-steps, -k, "left"))
+            state[:m], gain = self.step(state[:m], words[begin[:m] + k].astype(np.int64))
+            total[:m] += np.where(k >= warm[:m], gain, 0.0)
+        back = np.empty(len(by))
+        back[by] = total
+        return np.add.reduceat(back, np.searchsorted(doc, np.arange(len(first) - 1))) if len(back) else back
+
+
+# Chunks and their exchange.
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.Table]]:
+    """(id, rows) of the chunks of a task: rows in their order, closed at `limit` bytes of text."""
+    task, number = TaskContext.get().partitionId() << 32, 0
+    parts, room = [], limit
+    for batch in batches:
+        at, sizes = 0, np.diff(T.flat(batch.column("text"))[1]) + 16
+        ends = np.cumsum(sizes)
+        while at < len(ends):
+            done = int(ends[at - 1]) if at else 0
+            cut = int(np.searchsorted(ends, done + room))
+            if cut == len(ends):  # the rest leaves room
+                parts.append(batch.slice(at))
+                room -= int(ends[-1]) - done
+                break
+            parts.append(batch.slice(at, cut + 1 - at))
+            yield task + number, pa.Table.from_batches(parts)
+            at, number, parts, room = cut + 1, number + 1, [], limit
+    if parts:
+        yield task + number, pa.Table.from_batches(parts)
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.split()[0] for f in _ASKED.split(", ")])
+
+
+def _blocks(node, child: int, mark: int, keys: np.ndarray, counts: np.ndarray, word: np.ndarray, tokens: int, inner: np.ndarray) -> pa.RecordBatch:
+    """A row per range; node: from a range's number to the node that owns it.  Tokens go with the first."""
+    cut = _cut(keys, inner)
+    return _asked([(node(q), q, child, mark, pack_keys(keys[a:b]), pack_counts(counts[a:b]), np.packbits(word[a:b]).tobytes(), 0 if q else tokens) for q, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist()))])
+
+
+class _Node:
+    """The blocks of a node's children, combined: keys, counts, which are words, tokens; where: of each child's keys."""
+
+    def __init__(self, table: pa.Table):
+        self.child, self.marks = table.column("child").to_pylist(), table.column("mark").to_pylist()
+        self.part = table.column("part").to_pylist()
+        own = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+        self.sizes = np.cumsum([0] + [len(k) for k in own])
+        every = np.concatenate(own)
+        del own
+        by = np.argsort(every, kind="stable")  # runs are sorted
+        every = every[by]
+        fresh = np.empty(len(every), bool)
+        fresh[:1], fresh[1:] = True, every[1:] != every[:-1]
+        self.keys = every[fresh]
+        del every
+        self.where = np.empty(len(by), np.int32)
+        self.where[by] = np.cumsum(fresh, dtype=np.int32) - 1
+        del by, fresh
+        self.counts = np.zeros(len(self.keys), np.int64)
+        self.word = np.zeros(len(self.keys), bool)
+        for a, b, counts, marks in zip(self.sizes[:-1], self.sizes[1:], table.column("counts").to_pylist(), table.column("words").to_pylist()):
+            at = self.where[a:b]  # distinct
+            self.counts[at] += unpack_counts(counts)
+            self.word[at] |= np.unpackbits(np.frombuffer(marks, np.uint8), count=len(at)).astype(bool)
+        self.tokens = sum(table.column("tokens").to_pylist())
+
+    def answers(self, totals: np.ndarray, tokens: int, vocabulary: int) -> pa.Table:
+        m = len(self.child)
         return pa.table({
-            "chunk": table.column("chunk"),
-            "shard": table.column("shard"),
-            "totals": pa.array([pack_counts(mine[a:b]) for a, b in zip(sizes[:-1], sizes[1:])], pa.binary()),
-            "tokens": pa.array([sum(table.column("tokens").to_pylist())] * m, pa.int64()),
-            "vocabulary": pa.array([int(is_word.sum())] * m, pa.int64()),
+            "child": pa.array(self.child, pa.int64()),
+            "part": pa.array(self.part, pa.int32()),
+            "mark": pa.array(self.marks, pa.int64()),
+            "totals": pa.array([pack_counts(totals[self.where[a:b]]) for a, b in zip(self.sizes[:-1], self.sizes[1:])], pa.binary()),
+            "tokens": pa.array([tokens] * m, pa.int64()),
+            "vocabulary": pa.array([vocabulary] * m, pa.int64()),
         })
 
-    def run(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-        if not len(table):
-            return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(SCHEMA.split(", "), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
-        answer = answer.sort_by("shard")
-        n_train, v = sum(answer.column("tokens").to_pylist()), sum(answer.column("vocabulary").to_pylist())
-        totals = np.concatenate([unpack_counts(x) for x in answer.column("totals").to_pylist()])
-        first, grams = _grams(table, order)
-        own, ends = Grams(first, grams, order), first[:-1]
-        known = totals[own.place[0]]
-        plain = (known + 1) / (n_train + 1 * (v + 1))
-        p, arc = plain, known
-        for place, real in zip(own.place[1:], own.real[1:]):
-            # A state is the n-gram that ended at the token before; at the start, the beginning.
-            state = np.empty_like(arc)
-            state[1:] = arc[:-1]
-            state[ends] = totals[own.begin] if place is own.place[1] else 0
-            arc = np.zeros(len(p), np.int64)
-            arc[real] = totals[place]
-            p = np.where(real, (arc + prior * p) / (state + prior), p)
-        return pa.table({
-            "doc_id": table.column("doc_id"),
-            "held_out": table.column("held"),
-            "n_tokens": pa.array(np.diff(first)),
-            "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64), ends)),
-            "train_tokens": pa.array([n_train] * len(table), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(np.log10(plain), ends)),
-            "score": pa.array(np.add.reduceat(np.log10(p), ends)),
-        })
 
-    def lean(f):
-        def wrapped(*args):
-            out = f(*args)
-            T.release()
-            return out
+def _joined(answer: pa.Table) -> tuple[np.ndarray, int, int]:
+    """(totals, tokens, vocabulary) from a child's answers."""
+    answer = answer.sort_by("part")
+    return np.concatenate([unpack_counts(x) for x in answer.column("totals").to_pylist()]), sum(answer.column("tokens").to_pylist()), sum(answer.column("vocabulary").to_pylist())
+
+
+def _exchange(asked: DataFrame, groups: list[int], ranges: int, depth: int = 0) -> DataFrame:
+    """(child, part, mark, totals, tokens, vocabulary) for the blocks asked; groups: their number at every depth."""
+    span = ranges ** (depth + 1)  # nodes of one group
 
-        return wrapped
+    def last(table: pa.Table) -> pa.Table:
+        own = _Node(table)
+        out = own.answers(own.counts, own.tokens, int(own.word.sum()))
+        T.release()
+        return out
+
+    if groups[depth] == 1:
+        return asked.groupBy("node").applyInArrow(last, _ANSWERED)
+    further = span * ranges
 
-    def requests_lean(key: tuple, table: pa.Table) -> pa.Table:
-        return lean(requests)(key, table)
+    def combine(key: tuple, table: pa.Table) -> pa.Table:
+        node, own = key[0].as_py(), _Node(table)
+        group, path = divmod(node, span)
+        out = _blocks(lambda q: (group % groups[depth + 1]) * further + path * ranges + q, node, 0, own.keys, own.counts, own.word, own.tokens, _inner(path, ranges, depth + 1))
+        T.release()
+        return pa.Table.from_batches([out])
 
-    def answers_lean(table: pa.Table) -> pa.Table:
-        return lean(answers)(table)
+    def pass_down(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
+        out = _Node(table).answers(*_joined(answer))
+        T.release()
+        return out
 
-    def run_lean(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-        return lean(run)(key, table, answer)
+    above = _exchange(asked.groupBy("node").applyInArrow(combine, _ASKED), groups, ranges, depth + 1)
+    return asked.groupBy("node").cogroup(above.groupBy("child")).applyInArrow(pass_down, _ANSWERED)
 
-    asked = dealt.groupBy("chunk").applyInArrow(requests_lean, "shard int, chunk int, keys binary, counts binary, words binary, tokens long")
-    answered = asked.groupBy("shard").applyInArrow(answers_lean, "chunk int, shard int, totals binary, tokens long, vocabulary long")
-    return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run_lean, SCHEMA)
 
+def _plan(total: int, chunk_bytes: int, most_ranges: int) -> tuple[int, list[int]]:
+    """(ranges, groups of chunks at every depth): the fewest depths whose nodes hold NODE_CHUNKS chunks' n-grams."""
+    chunks, depths = total // chunk_bytes + 1, 1
+    while True:
+        ranges = max(2, -(-round(chunks ** (1 / depths)) // NODE_CHUNKS))
+        if ranges <= most_ranges:
+            break
+        depths += 1
+    size = NODE_CHUNKS * ranges
+    return ranges, [max(1, -(-chunks // size ** (d + 1))) for d in range(depths - 1)] + [1]
 
-def _bounds(n: int) -> np.ndarray:
-    """Lower ends of n equal ranges of 64-bit keys, and the upper end of the last."""
-    return np.array([(i << 64) // n for i in range(n)] + [(1 << 64) - 1], np.uint64)
 
+def score(docs: DataFrame, *, order: int = 3, priors: Sequence[float] = PRIORS, chunk_bytes: int = CHUNK_BYTES, most_ranges: int = MOST_RANGES, rescan: bool = False) -> DataFrame:
+    """SCHEMA for every row of docs; the model learns from rows that aren't held out.
+
+    Tokens are lower-cased words, then one end.  base_score sums log10 of
+    add-one unigram probabilities, score is the automaton's log10 probability;
+    both are rounded to six decimals.  Every row is read twice: rescan says
+    that docs gives the same rows in the same order then, as a scan of files
+    does; else docs is written first.  A null or blank text is its end alone.
+    A null doc_id counts as the empty text for the split and is trained on;
+    repeated rows count as often as they occur; a very long text is one chunk,
+    traversed in pieces; other columns are ignored, whatever their names; an
+    empty table gives an empty result.
+    """
+    if len(priors) != order - 1:
+        raise ValueError("a prior for every length of history")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % MODULUS == HELD_OUT
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
+    if not rescan:
+        slim = Scratch(docs.sparkSession, "lm").put("texts", slim)
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges, groups = _plan(total, chunk_bytes, most_ranges)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for child, table in _chunks(batches, chunk_bytes):
+            own = Grams(table.column("text"), order)
+            train = ~np.array(table.column("held"), bool)
+            use = np.repeat(train, np.diff(own.first))
+            word = np.zeros(len(own.keys), bool)
+            word[own.place[0][use]] = True
+            group = int(T.mix(np.array([child], np.uint64))[0]) % groups[0]
+            yield _blocks(lambda q: group * ranges + q, child, own.mark, own.keys, own.counts(train), word, int(use.sum()), _inner(0, ranges, 0))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for child, table in _chunks(batches, chunk_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([child], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["child", "rows"])
+
+    def run(key: tuple, sent: pa.Table, answer: pa.Table) -> pa.Table:
+        (rows,) = sent.column("rows").to_pylist()
+        table = pa.ipc.open_stream(rows).read_all()
+        own = Grams(table.column("text"), order)
+        totals, n_train, vocabulary = _joined(answer)
+        if set(answer.column("mark").to_pylist()) != {own.mark}:
+            raise ValueError("the rows came in another order when read again: write them first")
+        model = Automaton(own, totals, n_train, vocabulary, priors)
+        known, ends = totals[own.place[0]], own.first[:-1]
+        start, doc = model.lanes(own.first)
+        base = np.add.reduceat(np.log10((known + 1) / (n_train + vocabulary + 1)), start)
+        columns = [
+            table.column("doc_id"), table.column("held"), np.diff(own.first), np.add.reduceat((known > 0).astype(np.int64), ends), [n_train] * len(table),
+            np.add.reduceat(base, np.searchsorted(doc, np.arange(len(ends)))).round(6), model.traverse(own.place[0], own.first).round(6),
+        ]
+        del own, model
+        T.release()
+        return pa.table({n: c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for n, c, t in zip(_NAMES, columns, _TYPES)})
+
+    answers = _exchange(slim.mapInArrow(T.lean(ask), _ASKED), groups, ranges)
+    return slim.mapInArrow(T.lean(send), "child long, rows binary").groupBy("child").cogroup(answers.groupBy("child")).applyInArrow(run, SCHEMA)

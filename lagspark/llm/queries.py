@@ -111,7 +111,29 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"))
+    return lm.score(_table(spark, sf_dir, "documents"), rescan=True)
+
+
+#: '' is the end and ' ' the beginning, neither being a word.
+LM_SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w,
+    xor(4294967295, list_reduce([4294967295] || list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda c: case when c = '' then null else ascii(c)::bigint end),
+      lambda a, b: case when b is null then a else list_reduce([xor(a, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) end)) % {lm.MODULUS} = {lm.HELD_OUT} as held from documents),
+i as (select rid, held, w, unnest(range(1, len(w) + 2)) as i from d),
+t as (select rid, held, case when i <= len(w) then w[i] else '' end as x, case when i = 1 then ' ' else w[i - 1] end as h1, case when i = 2 then ' ' when i > 2 then w[i - 2] end as h2 from i),
+u as (select x, count(*) as c1 from t where not held group by 1),
+n as (select sum(c1) as n, count(*) as v from u),
+b as (select h1, x, count(*) as c2 from t where not held group by 1, 2),
+bh as (select h1, sum(c2) as s1 from b group by 1),
+g as (select h2, h1, x, count(*) as c3 from t where not held and h2 is not null group by 1, 2, 3),
+gh as (select h2, h1, sum(c3) as s2 from g group by 1, 2),
+p as (select rid, c1, (coalesce(c1, 0) + 1) / (n + v + 1)::double as p1, coalesce(c2, 0) as c2, coalesce(s1, 0) as s1, coalesce(c3, 0) as c3, coalesce(s2, 0) as s2, t.h2 from t cross join n
+  left join u on u.x = t.x left join b on b.h1 = t.h1 and b.x = t.x left join bh on bh.h1 = t.h1
+  left join g on g.h2 = t.h2 and g.h1 = t.h1 and g.x = t.x left join gh on gh.h2 = t.h2 and gh.h1 = t.h1),
+q as (select *, (c2 + {lm.PRIORS[0]}::double * p1) / (s1 + {lm.PRIORS[0]}::double) as p2 from p),
+s as (select rid, count(*) as n_tokens, count(c1) as n_known, fsum(log10(p1)) as base, fsum(log10(case when h2 is null then p2 else (c3 + {lm.PRIORS[1]}::double * p2) / (s2 + {lm.PRIORS[1]}::double) end)) as score from q group by 1)
+select doc_id, held as held_out, n_tokens, n_known, n::bigint as train_tokens, round(base, 6) as base_score, round(score, 6) as score from d join s using (rid) cross join n
+"""
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,4 +167,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dup": NEAR_SQL, "op2_warc": WARC_SQL, "op3_exact_dup": EXACT_SQL, "op6_quality": QUALITY_SQL, "op10_mixing": MIX_SQL}
+    return {"op1_near_dup": NEAR_SQL, "op2_warc": WARC_SQL, "op3_exact_dup": EXACT_SQL, "op6_quality": QUALITY_SQL, "op9_lm_score": LM_SQL, "op10_mixing": MIX_SQL}

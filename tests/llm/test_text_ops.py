@@ -439,35 +439,95 @@ def test_chats(spark, block_rows):
 # 9
 
 
-def test_lm_scores(docs, rows):
-    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in lm.score(docs, prior=5.0, chunk_bytes=20_000).collect()), key=key)
+def brute_scores(rows, priors):
+    """(doc_id, held out, tokens, known, training tokens, base, score) by counting n-grams of every order."""
     toks = [(d, WORD.findall(lower(t)) + [None], zlib.crc32(str(d).encode() if d is not None else b"") % 7 == 2) for d, t, *_ in rows]
-    uni, bi, ctx = Counter(), Counter(), Counter()
+    count, after, order = Counter(), Counter(), len(priors) + 1
     for _, w, held in toks:
         if not held:
-            uni.update(w)
-            for a, b in zip(["<s>", *w], w):
-                bi[a, b] += 1
-                ctx[a] += 1
-    n, v = sum(uni.values()), len(uni)
-    want = []
+            w = ["<s>", *w]
+            for i in range(1, len(w)):
+                for k in range(1, order + 1):
+                    if i - k >= -1:
+                        count[tuple(w[max(0, i - k + 1) : i + 1]), k] += 1
+                        after[tuple(w[max(0, i - k + 1) : i]), k - 1] += 1
+    n, v = sum(c for (g, k), c in count.items() if k == 1), sum(k == 1 for _, k in count)
+
+    def p(h, x):
+        if not h:
+            return (count[(x,), 1] + 1) / (n + v + 1)
+        return (count[(*h, x), len(h) + 1] + priors[len(h) - 1] * p(h[1:], x)) / (after[h, len(h)] + priors[len(h) - 1])
+
+    out = []
     for d, w, held in toks:
-        base = sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w)
-        s = sum(math.log10((bi[a, b] + 5 * (uni[b] + 1) / (n + v + 1)) / (ctx[a] + 5)) for a, b in zip(["<s>", *w], w))
-        want.append((d, held, len(w), sum(uni[x] > 0 for x in w), n, round(base, 5), round(s, 5)))
-    for a, b in zip(got, sorted(want, key=key)):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-6, abs=2e-5)
-    third = lm.score(docs, order=3).agg(F.min("score"), F.max("score")).first()
-    assert math.isfinite(third[0]) and third[1] < 0
+        s = ["<s>", *w]
+        base = sum(math.log10((count[(x,), 1] + 1) / (n + v + 1)) for x in w)
+        out.append((d, held, len(w), sum(count[(x,), 1] > 0 for x in w), n, base, sum(math.log10(p(tuple(s[max(0, i - order + 1) : i]), s[i])) for i in range(1, len(s)))))
+    return out
 
 
-def test_lm_states_sum_to_one_and_blocks_round_trip():
+@pytest.mark.parametrize("priors, options", [((5.0,), {}), ((5.0, 2.0), {"rescan": True}), ((9.0, 4.0, 2.0), {"chunk_bytes": 3000, "most_ranges": 3}), ((5.0, 2.0), {"chunk_bytes": 20_000})])
+def test_lm_scores(docs, rows, priors, options):
+    found = lm.score(docs, order=len(priors) + 1, priors=priors, **options).collect()
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), key=lambda r: key((*r[:5], round(r[6], 3))))
+    want = sorted(brute_scores(rows, priors), key=lambda r: key((*r[:5], round(r[6], 3))))
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=2e-6)
+
+
+def test_lm_plans_are_linear():
+    for total in (0, 10**6, 10**9, 10**12, 10**14):
+        ranges, groups = lm._plan(total, lm.CHUNK_BYTES, lm.MOST_RANGES)
+        chunks = total // lm.CHUNK_BYTES + 1
+        assert ranges <= lm.MOST_RANGES and groups[-1] == 1
+        assert chunks <= (lm.NODE_CHUNKS * ranges) ** len(groups)
+    assert len(lm._plan(10**14, lm.CHUNK_BYTES, lm.MOST_RANGES)[1]) == 2 and lm._plan(10**14, 100, 4)[1][-2] > 1
+
+
+def test_lm_states_sum_to_one():
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(0, 30), 12) for _ in range(60)] + [""]
+    g = lm.Grams(pa.array(texts), 3)
+    train = np.arange(len(texts)) % 3 > 0
+    totals = g.counts(train)
+    words = np.unique(g.place[0])
+    known = words[totals[words] > 0]
+    m = lm.Automaton(g, totals, int(np.repeat(train, np.diff(g.first)).sum()), len(known), (5.0, 2.0))
+    states = len(m.fail_to)
+    assert states > 50 and m.start > 0 and len(m.arc_keys) > states
+    state, word = np.repeat(np.arange(states), len(known)), np.tile(known.astype(np.int64), states)
+    to, gain = m.step(state, word)
+    unknown = m.step(np.arange(states), np.full(states, g.begin))[1]  # no text has the beginning as a word
+    assert np.allclose((10**gain).reshape(states, -1).sum(1) + 10**unknown, 1, atol=1e-12)
+    assert to.max() < states and (m.fail_to < states).all() and (m.fail_weight[1:] < 0).all()
+    assert m.traverse(g.place[0], g.first).shape == (len(texts),)
+
+
+def test_lm_lanes_score_like_one_traversal(monkeypatch):
+    rng = random.Random(13)
+    g = lm.Grams(pa.array([prose(rng, n, 40) for n in (700, 0, 1, 90, 8, 7)]), 3)
+    m = lm.Automaton(g, g.counts(np.ones(6, bool)), int(g.first[-1]), len(np.unique(g.place[0])), (5.0, 2.0))
+    whole = []
+    for a, b in zip(g.first[:-1], g.first[1:]):
+        state, total = np.array([m.start]), 0.0
+        for w in g.place[0][a:b]:
+            state, gain = m.step(state, np.array([w], np.int64))
+            total += gain[0]
+        whole.append(total)
+    for lane in (2, 3, 8, 10_000):
+        monkeypatch.setattr(lm, "LANE", lane)
+        assert np.allclose(m.traverse(g.place[0], g.first), whole, rtol=1e-12)
+
+
+def test_lm_blocks_round_trip():
     keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     for k in (keys, keys[:1], keys[:0], np.array([0, (1 << 64) - 1], np.uint64)):
         assert (lm.unpack_keys(lm.pack_keys(k)) == k).all() and len(lm.unpack_keys(lm.pack_keys(k))) == len(k)
-    for top in (1, 300, 70_000, 1 << 40):
-        c = np.array([0, 1, top])
+    for top in (1, 254, 255, 256, 70_000, 1 << 40):
+        c = np.array([0, top, 1, top, 255])
         assert lm.unpack_counts(lm.pack_counts(c)).tolist() == c.tolist()
+    assert lm.unpack_counts(lm.pack_counts(np.zeros(0))).tolist() == []
 
 
 # 10
