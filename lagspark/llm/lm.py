@@ -6,8 +6,8 @@ state which ends the history hw, and a failure arc to the shorter history h',
 weighted log10(m / (c(h) + m)); so every state's probabilities sum to one.
 
 No model of the whole corpus is ever in one place.  Tasks cut their rows into
-chunks.  A chunk sends its distinct n-grams, as sorted 64-bit hashes with counts,
-in one block per hash range; the node that owns a range adds up the blocks of a
+chunks.  A chunk sends its distinct n-grams, as sorted hashes with counts,
+in one block per range of hashes; the node that owns a range adds up the blocks of a
 group of chunks.  One group answers them at once; with more groups, nodes send
 what they have combined on to the nodes of finer ranges, and answers come back
 the same way.  The number of ranges is bounded, so blocks, rows and bytes grow
@@ -18,6 +18,7 @@ reach, and traverses each text from left to right.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -37,6 +38,8 @@ NODE_CHUNKS, MOST_RANGES = 2, 4096
 #: Prior weights of the shorter history, by length of the longer one from one word on: near the
 #: best of a grid for the held-out documents at sf0.1 (3.36 decimal digits a token; 3.64 at 20, 5).
 PRIORS = (2000.0, 3.0)
+#: Bits that name an n-gram: of 10**12 different ones, one in 70,000 shares its name with another.
+KEY_BITS = 56
 #: Tokens that one lane of a traversal scores.
 LANE = 512
 #: Documents whose crc32 leaves this remainder are held out.
@@ -73,15 +76,17 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte per count; counts from 255 on follow as 64-bit integers, in order."""
+    """A byte per count, compressed after their number; counts from 255 on follow as 64-bit integers, in order."""
     counts = np.asarray(counts, np.int64)
-    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    return struct.pack("<qq", len(counts), len(raw)) + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
-    out[out == 255] = np.frombuffer(data[8 + n :], "<i8")
+    n, size = struct.unpack_from("<qq", data)
+    raw = pa.decompress(data[16:], size, "zstd", asbytes=True)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[n:], "<i8")
     return out
 
 
@@ -89,7 +94,7 @@ def unpack_counts(data: bytes) -> np.ndarray:
 def _inner(path: int, ranges: int, depth: int) -> np.ndarray:
     """Bounds between the ranges that a node's range is cut into; path numbers it among ranges**depth."""
     whole = ranges ** (depth + 1)
-    return np.array([((path * ranges + q) << 64) // whole for q in range(1, ranges)], np.uint64)
+    return np.array([((path * ranges + q) << KEY_BITS) // whole for q in range(1, ranges)], np.uint64)
 
 
 def _cut(keys: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -135,7 +140,7 @@ class Grams:
                 gram = T.mix(T.mix(history + np.uint64(n)) * np.uint64(3) + tokens)
                 parts.append(gram[real[n - 1]])
                 history[1:] = gram[:-1]
-        every = np.concatenate(parts)
+        every = np.concatenate(parts) >> np.uint64(64 - KEY_BITS)
         cut = np.cumsum([0] + [len(p) for p in parts])
         del parts, history
         by = np.argsort(every)
@@ -173,7 +178,7 @@ class Automaton:
     def __init__(self, grams: Grams, totals: np.ndarray, n_train: int, vocabulary: int, priors: Sequence[float] = PRIORS):
         n, order = len(grams.keys), grams.order
         self.words, self.size = n, grams.order
-        rep, length = np.zeros(n, np.int64), np.zeros(n, np.int8)
+        rep, length = np.zeros(n, np.int32), np.zeros(n, np.int8)
         for k, place in enumerate(grams.place):
             at = np.flatnonzero(place >= 0)
             rep[place[at]] = at
@@ -182,14 +187,14 @@ class Automaton:
         ends = grams.is_end[rep] if len(grams.is_end) else np.zeros(n, bool)
         known = totals > 0
         is_state = known & (length < order) & ~(ends & (length > 0))
-        state = np.zeros(n, np.int64)
-        state[is_state] = np.arange(1, int(is_state.sum()) + 1)
+        state = np.zeros(n, np.int32)
+        state[is_state] = np.arange(1, int(is_state.sum()) + 1, dtype=np.int32)
         self.state_of, self.start = state, int(state[grams.begin])
 
         p = np.zeros(n)
         self.unknown = -np.log10(n_train + vocabulary + 1)
         heads, words, to = [], [], []
-        self.fail_to, self.fail_weight = np.zeros(int(is_state.sum()) + 1, np.int64), np.zeros(int(is_state.sum()) + 1)
+        self.fail_to, self.fail_weight = np.zeros(int(is_state.sum()) + 1, np.int32), np.zeros(int(is_state.sum()) + 1)
 
         def fail(g: np.ndarray, shorter: np.ndarray | int, prior: float) -> None:
             self.fail_to[state[g]] = shorter
@@ -202,12 +207,12 @@ class Automaton:
             g = np.flatnonzero(known & (length == k))
             at = rep[g]
             arcs.append(g)
-            words.append(grams.place[0][at].astype(np.int64))
+            words.append(grams.place[0][at])
             if k == 1:
                 p[g] = (totals[g] + 1) / (n_train + vocabulary + 1)
-                heads.append(np.zeros(len(g), np.int64))
+                heads.append(np.zeros(len(g), np.int32))
                 to.append(state[g])
-                shorter = np.zeros(len(g), np.int64)
+                shorter = np.zeros(len(g), np.int32)
             else:
                 before = np.where(grams.room[at] == 0, grams.begin, grams.place[k - 2][at - 1])
                 ending = grams.place[k - 2][at]
@@ -219,7 +224,7 @@ class Automaton:
             own = is_state[g]
             if own.any():
                 fail(g[own], shorter[own], priors[k - 1])
-        keys = np.concatenate(heads) * np.int64(n) + np.concatenate(words)
+        keys = np.concatenate(heads).astype(np.int64) * n + np.concatenate(words)
         by = np.argsort(keys)
         self.arc_keys = np.append(keys[by], np.iinfo(np.int64).max)
         self.arc_to = np.append(np.concatenate(to)[by], 0)
@@ -230,7 +235,7 @@ class Automaton:
         state, out = state.copy(), np.zeros(len(state))
         todo = np.arange(len(state))
         while len(todo):
-            key = state[todo] * np.int64(self.words) + word[todo]
+            key = state[todo].astype(np.int64) * self.words + word[todo]
             arc = np.searchsorted(self.arc_keys, key)
             hit = self.arc_keys[arc] == key
             done, arc = todo[hit], arc[hit]
@@ -264,10 +269,10 @@ class Automaton:
         steps = np.minimum(start + LANE, first[doc + 1]) - begin
         by = np.argsort(-steps, kind="stable")
         begin, steps, warm = begin[by], steps[by], warm[by]
-        state, total = np.where(inside[by], 0, self.start), np.zeros(len(by))
+        state, total = np.where(inside[by], 0, self.start).astype(np.int32), np.zeros(len(by))
         for k in range(int(steps[0]) if len(steps) else 0):
             m = int(np.searchsorted(-steps, -k, "left"))
-            state[:m], gain = self.step(state[:m], words[begin[:m] + k].astype(np.int64))
+            state[:m], gain = self.step(state[:m], words[begin[:m] + k])
             total[:m] += np.where(k >= warm[:m], gain, 0.0)
         back = np.empty(len(by))
         back[by] = total
@@ -431,7 +436,7 @@ def score(docs: DataFrame, *, order: int = 3, priors: Sequence[float] = PRIORS,
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for child, table in _chunks(batches, chunk_bytes):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
                 out.write_table(table.combine_chunks())
             yield pa.RecordBatch.from_arrays([pa.array([child], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["child", "rows"])
 

@@ -80,6 +80,10 @@ def test_words_hash_and_split_within_documents():
         assert len(set(seen.values())) == len(seen)
     sliced = pa.array(["aa", "bb cc", None, "dd"])[1:]
     assert T.flat(sliced)[1].tolist() == [0, 5, 5, 7]
+    long = ["x" * n + y for n in (7, 8, 9, 127, 128, 129, 300, 5000) for y in ("", "a", "\0b", "ab")] + ["X" * 5000]
+    for lower in (True, False):
+        buf, offs = T.flat(pa.array(long))
+        assert len(set(T.split(buf, offs).hashes(lower).tolist())) == len(long) - lower
 
 
 # 1
