@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import Scratch
+from .shared import Scratch, partitions
 
 #: Text bytes at which a chunk is closed.
 CHUNK_BYTES = 6 << 20
@@ -171,8 +171,9 @@ class Grams:
 class Automaton:
     """States, arcs and failure arcs of the n-grams of some texts.
 
-    State 0 is the empty history; its arcs are the words seen in training, and
-    unknown is the weight of any other.  Arcs are sorted by state and word.
+    State 0 is the empty history; its arcs are an array by word, with the weight
+    of an unknown one where a word has no arc.  Other arcs are sorted by state
+    and word.
     """
 
     def __init__(self, grams: Grams, totals: np.ndarray, n_train: int, vocabulary: int, priors: Sequence[float] = PRIORS):
@@ -192,8 +193,8 @@ class Automaton:
         self.state_of, self.start = state, int(state[grams.begin])
 
         p = np.zeros(n)
-        self.unknown = -np.log10(n_train + vocabulary + 1)
-        heads, words, to = [], [], []
+        self.root_weight, self.root_to = np.full(n, -np.log10(n_train + vocabulary + 1)), np.zeros(n, np.int32)
+        heads, words, to, arcs = [], [], [], []
         self.fail_to, self.fail_weight = np.zeros(int(is_state.sum()) + 1, np.int32), np.zeros(int(is_state.sum()) + 1)
 
         def fail(g: np.ndarray, shorter: np.ndarray | int, prior: float) -> None:
@@ -202,18 +203,16 @@ class Automaton:
 
         if self.start:
             fail(np.array([grams.begin]), 0, priors[0])
-        arcs = []
         for k in range(1, order + 1):
             g = np.flatnonzero(known & (length == k))
             at = rep[g]
-            arcs.append(g)
-            words.append(grams.place[0][at])
             if k == 1:
                 p[g] = (totals[g] + 1) / (n_train + vocabulary + 1)
-                heads.append(np.zeros(len(g), np.int32))
-                to.append(state[g])
+                self.root_weight[g], self.root_to[g] = np.log10(p[g]), state[g]
                 shorter = np.zeros(len(g), np.int32)
             else:
+                arcs.append(g)
+                words.append(grams.place[0][at])
                 before = np.where(grams.room[at] == 0, grams.begin, grams.place[k - 2][at - 1])
                 ending = grams.place[k - 2][at]
                 prior = priors[k - 2]
@@ -233,7 +232,8 @@ class Automaton:
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next states, log10 probabilities) of reading a word in each state."""
         state, out = state.copy(), np.zeros(len(state))
-        todo = np.arange(len(state))
+        at_root = state == 0
+        todo = np.flatnonzero(~at_root)
         while len(todo):
             key = state[todo].astype(np.int64) * self.words + word[todo]
             arc = np.searchsorted(self.arc_keys, key)
@@ -242,11 +242,14 @@ class Automaton:
             out[done] += self.arc_weight[arc]
             state[done] = self.arc_to[arc]
             todo = todo[~hit]
-            lost = todo[state[todo] == 0]
-            out[lost] += self.unknown
-            todo = todo[state[todo] > 0]
             out[todo] += self.fail_weight[state[todo]]
             state[todo] = self.fail_to[state[todo]]
+            fell = state[todo] == 0
+            at_root[todo[fell]] = True
+            todo = todo[~fell]
+        root = np.flatnonzero(at_root)
+        out[root] += self.root_weight[word[root]]
+        state[root] = self.root_to[word[root]]
         return state, out
 
     def lanes(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -421,6 +424,7 @@ def score(docs: DataFrame, *, order: int = 3, priors: Sequence[float] = PRIORS,
     if not rescan:
         slim = Scratch(docs.sparkSession, "lm").put("texts", slim)
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk_bytes = max(min(chunk_bytes, total // (2 * partitions(docs.sparkSession))), chunk_bytes // 6)  # no fewer chunks than tasks
     ranges, groups = _plan(total, chunk_bytes, most_ranges)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,12 @@
 The writer makes one string per record and lets the sink end it with the blank
 lines that close a WARC record.  The reader splits files of any size at the
 record magic, which payloads may contain too.  Tasks parse every candidate and
-emit where its record would end; they also say where the chain that starts at a
-candidate leaves their block.  Pointer jumping over these exits, from the start
-of each file, finds the candidates that are records; the others are payload.
+emit the offset of its successor, where its record would end.  A file is cut
+into parts of fixed size by offset; within a part, every candidate's chain is
+followed to where it leaves the part.  Pointer jumping over these exits, from
+the start of each file, finds the candidates at which the chain of real records
+enters a part, in as many rounds as the number of parts has binary digits; from
+there the records of a part are found.  All other candidates are payload.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of a file within which one task follows chains.
+PART_BYTES = 4 << 20
 
 
 def base32_sha1(column: Column) -> Column:
@@ -40,14 +45,17 @@ def base32_sha1(column: Column) -> Column:
     return F.concat(*letters)
 
 
-def write(pages: DataFrame, path: str, *, least: int = 0, compression: str = "gzip", date: str = DATE) -> None:
+def write(pages: DataFrame, path: str, *, least: int = 0, compression: str = "none", date: str = DATE) -> None:
     """Write a record per row of pages (page_id, url, html) as WARC files under path.
 
     Payload is html in UTF-8, null being empty.  Of records with equal payloads
     of at least `least` bytes the one with the largest page_id is a response
     and the others revisit it; rows that repeat this page_id are responses too,
     and so are all where every page_id is null.  Line ends in a url are
-    percent-encoded; a null url or page_id leaves its header out.
+    percent-encoded; a null url or page_id leaves its header out.  Other columns
+    are ignored, whatever their names; no rows make no records; a payload may
+    be as long as a string.  Files that aren't compressed are read in splits;
+    of gzip, a file is one task.
     """
     scratch = Scratch(pages.sparkSession, "warc-write")
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -128,113 +136,123 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A row per candidate: file, block, place within the block, at (offset of its
     magic from the block's first byte), ends (of its record, on the same scale),
-    whole (the record has no magic inside), block_size, and the record."""
+    whole (the record has no magic inside), and the record; and a row per block
+    with place -1, whose ends is the block's size."""
+
+    names = ["file", "block", "place", "at", "ends", "whole", *_NAMES]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *_TYPES]
+    none = (None,) * len(_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, rows, offset = None, [], 0
+        where, place, offset = None, 0, 0
 
-        def out() -> pa.RecordBatch:
-            names = ["file", "block", "place", "at", "ends", "whole", "block_size", *_NAMES]
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *_TYPES]
-            done = [(*where, *r[:4], offset, *r[4]) for r in rows]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], names)
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
         for batch in batches:
+            rows = []
             for value, file, block in zip(batch.column("value"), batch.column("file").to_pylist(), batch.column("block").to_pylist()):
                 if (file, block) != where:
-                    if rows:
-                        yield out()
-                    where, rows, offset = (file, block), [], 0
+                    if where:
+                        rows.append((*where, -1, None, offset, None, *none))
+                    where, place, offset = (file, block), 0, 0
                 data = value.as_py()
                 found, at = parse(data), offset - len(MAGIC)
                 if found is None:
-                    rows.append((len(rows), at, None, False, (None,) * 6))
+                    rows.append((*where, place, at, None, False, *none))
                 else:
                     fields, start = found
-                    ends = offset + start + int(fields["content-length"]) + len(END)
-                    whole = start + int(fields["content-length"]) + len(END) == len(data)
-                    rows.append((len(rows), at, ends, whole, record(fields, data[start : len(data) - len(END)]) if whole else (None,) * 6))
+                    size = start + int(fields["content-length"]) + len(END)
+                    whole = size == len(data)
+                    rows.append((*where, place, at, offset + size, whole, *(record(fields, data[start : len(data) - len(END)]) if whole else none)))
                 offset += len(data) + len(MAGIC)
-        if rows:
-            yield out()
+                place += 1
+            yield out(rows)
+        if where:
+            yield out([(*where, -1, None, offset, None, *none)])
 
-    schema = f"file string, block long, place long, at long, ends long, whole boolean, block_size long, {RECORD}"
+    schema = f"file string, block long, place long, at long, ends long, whole boolean, {RECORD}"
     return _lines(spark, path).mapInArrow(T.lean(run), schema)
 
 
-def _exits(found: DataFrame) -> DataFrame:
-    """found with `leaves`: where the chain from a candidate first ends outside its block, or at no candidate."""
+def _exits(links: DataFrame) -> DataFrame:
+    """(file, part, at, leaves): where the chain from a candidate first is outside its part."""
 
-    def run(groups: pa.Table) -> pa.Table:
-        t = groups.sort_by("at")
+    def run(group: pa.Table) -> pa.Table:
+        t = group.sort_by("at")
         at, ends = t.column("at").to_pylist(), t.column("ends").to_pylist()
-        leave: dict[int, int | None] = {}
+        leave: dict[int, int] = {}
         for a, e in zip(at[::-1], ends[::-1]):
-            leave[a] = leave.get(e, e) if e is not None else None
-        return pa.table({"file": t.column("file"), "block": t.column("block"), "at": t.column("at"), "leaves": pa.array([leave[a] for a in at], pa.int64())})
+            leave[a] = leave.get(e, e)
+        return pa.table({"file": t.column("file"), "part": t.column("part"), "at": t.column("at"), "leaves": pa.array([leave[a] for a in at], pa.int64())})
 
-    return found.groupBy("file", "block").applyInArrow(run, "file string, block long, at long, leaves long")
+    return links.groupBy("file", "part").applyInArrow(run, "file string, part long, at long, leaves long")
 
 
-def _reached(found: DataFrame, entries: DataFrame) -> DataFrame:
-    """(file, at) of candidates on the chain from an entry of their block."""
+def _entries(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(file, part, at) of the candidates where the chain from a file's start enters its parts.
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    Only candidates at a file's start, and those that some exit leads to, take
+    part in the jumping: a few per part, whatever the payloads hold.
+    """
+    exits = scratch.put("exits", _exits(links))
+    led = exits.select("file", F.col("leaves").alias("at")).distinct()
+    doors = scratch.put("doors", exits.join(led, ["file", "at"], "left_semi").unionByName(exits.where("at = 0")))
+    parts = doors.groupBy("file").agg(F.countDistinct("part").alias("c")).agg(F.max("c")).first()[0] or 1
+    jump = doors.select("file", "at", F.col("leaves").alias("to"), (F.col("at") == 0).alias("seen"))
+    for _ in range((parts - 1).bit_length()):
+        # Mark what 2**k jumps reach, then make jumps twice as long; a chain that has left its file leads to no door.
+        onward = jump.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
+        marks = jump.where("seen").select("file", F.col("to").alias("at"), F.lit(True).alias("mark")).distinct()
+        longer = jump.join(onward, ["file", "to"], "left").join(marks, ["file", "at"], "left")
+        jump = scratch.put("jump", longer.select("file", "at", F.col("then").alias("to"), F.coalesce("mark", "seen").alias("seen")))
+    return doors.join(jump.where("seen"), ["file", "at"], "left_semi").select("file", "part", "at")
+
+
+def _reached(links: DataFrame, entries: DataFrame) -> DataFrame:
+    """(file, at) of candidates on the chain from an entry of their part."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ends = dict(zip(left.column("at").to_pylist(), left.column("ends").to_pylist()))
         good = set()
         for a in right.column("at").to_pylist():
             while a in ends and a not in good:
                 good.add(a)
                 a = ends[a]
-        file = left.column("file")[0].as_py() if len(left) else ""
-        block = left.column("block")[0].as_py() if len(left) else 0
-        return pa.table({"file": pa.array([file] * len(good), pa.string()), "block": pa.array([block] * len(good), pa.int64()), "at": pa.array(sorted(good), pa.int64())})
+        return pa.table({"file": pa.array([key[0].as_py()] * len(good), pa.string()), "at": pa.array(sorted(good), pa.int64())})
 
-    return found.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInArrow(run, "file string, block long, at long")
+    return links.groupBy("file", "part").cogroup(entries.groupBy("file", "part")).applyInArrow(run, "file string, at long")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, *, part_bytes: int = PART_BYTES) -> DataFrame:
     """The records of all WARC files under path (RECORD).
 
     intact tells whether a response's payload has the digest of its header.
     Bytes after a record that isn't followed by another are ignored, as are
     files that don't start with a record.  An empty folder of Spark gives no
-    rows.
+    rows.  Payloads of any number of magics are read; one record is held at a
+    time, so its size is bounded by a task's memory.
     """
     scratch = Scratch(spark, "warc-read")
     found = scratch.put("candidates", candidates(spark, path))
-    blocks = found.groupBy("file", "block").agg(F.max("block_size").alias("block_size"))
-    before = W.Window.partitionBy("file").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
-    blocks = scratch.put("blocks", blocks.select("file", "block", F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("base")))
-    found = found.join(blocks, ["file", "block"]).withColumn("at", F.col("at") + F.col("base")).withColumn("ends", F.col("ends") + F.col("base"))
-
-    links = found.select("file", "block", "at", "ends")
-    exits = scratch.put("exits", _exits(links))
-    several = not exits.groupBy("file").agg(F.countDistinct("block").alias("c")).where("c > 1").isEmpty()
-    entries = exits.where("at = 0").select("file", "block", "at")
-    if several:
-        # Pointer jumping: what an entry's chain leaves to is the entry of a later block.
-        jump, seen = scratch.put("jump", exits.select("file", "at", F.col("leaves").alias("to"))), scratch.put("entries", entries)
-        while True:
-            nxt = seen.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
-            more = scratch.put("entries", nxt.join(exits.select("file", "block", "at"), ["file", "at"]).select("file", "block", "at").unionByName(seen).distinct())
-            if more.count() == seen.count():
-                break
-            seen = more
-            jump = scratch.put("jump", jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("then")), ["file", "to"], "left").select("file", "at", F.coalesce("then", "to").alias("to")))
-        entries = seen
-    reached = scratch.put("reached", _reached(links, entries))
-    real = found.join(reached.hint("merge"), ["file", "block", "at"])
+    before = W.Window.partitionBy("file").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)  # a row per input split
+    blocks = scratch.put("blocks", found.where("place = -1").select("file", "block", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("base")))
+    found = found.where("place >= 0").join(blocks, ["file", "block"]).withColumn("at", F.col("at") + F.col("base")).withColumn("ends", F.col("ends") + F.col("base"))
+    found = found.withColumn("part", F.floor(F.col("at") / part_bytes))
+
+    links = found.where("ends is not null").select("file", "part", "at", "ends")
+    reached = scratch.put("reached", _reached(links, _entries(links, scratch)))
+    real = found.join(reached.hint("merge"), ["file", "at"])
     out = real.where("whole").select(*_NAMES)
-    broken = scratch.put("broken", real.where("not whole").select("file", "block", "at", "ends"))
-    return out if broken.isEmpty() else out.unionByName(_joined(spark, path, found, broken))
+    broken = scratch.put("broken", real.where("not whole").select("file", "at", "ends"))
+    return out if broken.isEmpty() else out.unionByName(_joined(spark, path, found, broken, part_bytes))
 
 
-def _joined(spark: SparkSession, path: str, found: DataFrame, broken: DataFrame) -> DataFrame:
-    """Records with magics inside: their pieces are read again and put together."""
-    order = W.Window.partitionBy("file").orderBy("at").rowsBetween(W.Window.unboundedPreceding, 0)
-    marked = found.select("file", "block", "place", "at").join(broken.select("file", "at", F.col("at").alias("own"), F.col("ends").alias("until")), ["file", "at"], "left")
-    marked = marked.withColumn("own", F.last("own", True).over(order)).withColumn("until", F.last("until", True).over(order)).where("at < until")
+def _joined(spark: SparkSession, path: str, found: DataFrame, broken: DataFrame, part_bytes: int) -> DataFrame:
+    """Records with magics inside: their pieces, in the parts that they span, are read again and put together."""
+    spans = F.explode(F.sequence(F.floor(F.col("at") / part_bytes), F.floor((F.col("ends") - 1) / part_bytes)))
+    spanned = broken.select("file", spans.alias("part"), F.col("at").alias("own"), F.col("ends").alias("until"))
+    marked = found.select("file", "part", "block", "place", "at").join(spanned, ["file", "part"]).where("own <= at and at < until").drop("part", "until")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, place = None, 0

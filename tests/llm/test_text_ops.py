@@ -161,16 +161,17 @@ def test_components(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>x</p>"), (3, None, None), (4, "http://c/\r\nInjected: 1", ""), (5, "u", "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"), (6, "u", "tail WARC/1.0\r\n"), (7, "é", "WARC/1.0\r\n" * 40 + "\r\n\r\n"), (None, "n", "lonely"), (8, "u", "x" * 40_000), (9, "u", "y"), (9, "u", "y")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    for compression, size in (("gzip", "128m"), ("none", "2000")):
-        path = f"file://{tmp_path}/{compression}"
+    pages += [(20 + i, "u", "z" * (37 * i) + "WARC/1.0\r\nContent-Length: %d\r\n\r\n" % (i * 211)) for i in range(30)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in pages], "page_id long, url string, html string, file string, at long")
+    for compression, size, part in (("gzip", "128m", 700), ("none", "6000", 1000)):
+        path = f"file://{tmp_path}/{compression}-{size}"
         warc.write(df.coalesce(2), path, compression=compression)
         old = spark.conf.get("spark.sql.files.maxPartitionBytes")
         cost = spark.conf.get("spark.sql.files.openCostInBytes")
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
         try:
-            got = warc.read(spark, path).collect()
+            got = warc.read(spark, path, part_bytes=part).collect()
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", old)
             spark.conf.set("spark.sql.files.openCostInBytes", cost)
@@ -185,6 +186,7 @@ def test_warc_round_trip(spark, tmp_path):
         assert all(r.intact for r in got)
     path = f"file://{tmp_path}/least"
     warc.write(df, path, least=5)
+    assert warc.read(spark, path).count() == len(pages)
     assert {r.page_id for r in warc.read(spark, path).collect() if r.record_type == "revisit"} == {1}
 
 
