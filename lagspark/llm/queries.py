@@ -71,8 +71,30 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    models = secrets.Models.train(secrets.labelled_samples(docs, _table(spark, sf_dir, "labels")))
-    return secrets.scan(docs, models)
+    return secrets.scan(docs, secrets.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def _either(word: str) -> str:
+    """A pattern of ASCII letters in either case."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(" + "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: Matches and what is between them alternate, which gives every match its place.
+SECRETS_SQL = " union all ".join(f"select rid, {k} as k, '{name}' as kind, {least} as least, regexp_extract_all(t, '{pattern}') as f, regexp_extract_all(t, '{pattern}', {group}) as v, string_split_regex(t, '{pattern}') as g from d" for k, (name, least, group, pattern) in enumerate((("assign", secrets.ASSIGN_LEAST, 2, _ASSIGN), ("access", secrets.ACCESS_LEAST, 0, "AKIA[A-Z0-9]+"), ("hex", secrets.HEX_LEAST, 0, "[0-9a-f]+"))))
+SECRETS_SQL = f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+m as ({SECRETS_SQL}),
+s as (select *, unnest(range(1, len(f) + 1)) as i from m where len(f) > 0),
+p as (select rid, k, kind, list_sum(list_transform(g[1:i::int], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:(i - 1)::int], lambda x: length(x))), 0) as a, length(f[i]) as n from s where length(v[i]) >= least),
+c as (select rid, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, string_agg(kind || ':' || a::bigint || ':' || (a + n)::bigint, ',' order by a, k) as spans from p group by 1)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(spans, '')) as base_sha256 from d left join c using (rid)
+"""
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_secrets that SQL can express."""
+    return op4_secrets(spark, sf_dir).drop("spans")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +185,8 @@ select doc_id, size, source_size, target, (size * case when size > 0 then epochs
 
 
 def queries() -> dict:
-    return {"op1_near_dup": op1_near_dup, "op2_warc": op2_warc, "op3_exact_dup": op3_exact_dup, "op4_secrets": op4_secrets, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_lm_score": op9_lm_score, "op10_mixing": op10_mixing}
+    return {"op1_near_dup": op1_near_dup, "op2_warc": op2_warc, "op3_exact_dup": op3_exact_dup, "op4_secrets": op4_secrets, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_lm_score": op9_lm_score, "op10_mixing": op10_mixing, "secrets_base": secrets_base}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dup": NEAR_SQL, "op2_warc": WARC_SQL, "op3_exact_dup": EXACT_SQL, "op6_quality": QUALITY_SQL, "op9_lm_score": LM_SQL, "op10_mixing": MIX_SQL}
+    return {"op1_near_dup": NEAR_SQL, "op2_warc": WARC_SQL, "op3_exact_dup": EXACT_SQL, "op6_quality": QUALITY_SQL, "op9_lm_score": LM_SQL, "op10_mixing": MIX_SQL, "secrets_base": SECRETS_SQL}
