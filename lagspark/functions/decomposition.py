@@ -95,24 +95,27 @@ def _common_change(x, cov, a, b, t, base) -> np.ndarray:
     return np.where((np.sign(one) == s) & (np.sign(two) == s) & (np.sign(both) == s), common, 0.0)
 
 
-def _white(cov, a, b) -> np.ndarray:
-    la, lb = L.stable_cholesky(L.sub(cov, a)), L.stable_cholesky(L.sub(cov, b))
-    return L.t(np.linalg.solve(lb, L.t(np.linalg.solve(la, L.sub(cov, a, b)))))
+def _unlinked(cov, a, b, t) -> np.ndarray:
+    """cov with a and b independent given t, and their other covariances as they are."""
+    out = np.array(cov, copy=True)
+    through = L.sub(cov, a, t) @ L.spd_solve(L.sub(cov, t), L.sub(cov, t, b))
+    out[..., np.array(a)[:, None], np.array(b)] = through
+    out[..., np.array(b)[:, None], np.array(a)] = L.t(through)
+    return out
 
 
 def _dependency(cov, a, b, t, base) -> np.ndarray:
-    """Kay and Ince's I_dep by its three Gaussian edges."""
-    p, q, r = _white(cov, a, b), _white(cov, a, t), _white(cov, b, t)
-    half = lambda m: 0.5 * L.logdet(m) / math.log(base)
-    one = lambda k: np.eye(k)
-    ix, iy = G.mutual_information_of(cov, a, t, base), G.mutual_information_of(cov, b, t, base)
-    rq = r @ L.t(q)
-    i_edge = half(one(len(b)) - rq @ L.t(rq)) - half(one(len(t)) - L.t(q) @ q) - half(one(len(t)) - L.t(r) @ r) - iy
-    eyes = [np.broadcast_to(one(len(g)), (*cov.shape[:-2], len(g), len(g))) for g in (a, b, t)]
-    joint = np.concatenate([np.concatenate(row, -1) for row in ((eyes[0], p, q), (L.t(p), eyes[1], r), (L.t(q), L.t(r), eyes[2]))], -2)
-    k_edge = half(one(len(b)) - L.t(p) @ p) - half(joint) - iy
-    out = ix - np.minimum(np.minimum(ix, i_edge), k_edge)
-    return np.where((out < 0) & (out >= -64 * np.finfo(float).eps), 0.0, out)
+    """I_dep of Kay and Ince: what a and t share less the unique information of a.
+
+    The latter is the least that the constraint on (a, t) adds to the
+    information about t, over the dependency lattice.  For Gaussians three
+    edges can be least: onto independent sources, onto (b, t) alone, and onto
+    (b, t) and (a, b), the last giving the distribution itself.
+    """
+    own, other = G.mutual_information_of(cov, a, t, base), G.mutual_information_of(cov, b, t, base)
+    whole = [G.mutual_information_of(c, [*a, *b], t, base) for c in (_unlinked(cov, a, b, t), cov)]
+    unique = np.minimum(own, np.minimum(*whole) - other)
+    return own - unique
 
 
 def redundancy(cov: np.ndarray, a, b, t, kind: str = "mmi", base: float = 2.0, points: np.ndarray | None = None) -> np.ndarray:
@@ -275,6 +278,8 @@ def emergence(gamma0: np.ndarray, gamma: np.ndarray, rows: np.ndarray, base: flo
         "gamma": macro_to_micro.max(-1),
         "macro": macro,
         "micro_to_macro": micro_to_macro.sum(-1),
+        "macro_to_micro": macro_to_micro.sum(-1),
+        "micro_to_micro": micro.sum((-2, -1)),
     }
 
 
@@ -301,4 +306,6 @@ def emergence_full_past(m: M.Innovations, rows: np.ndarray, base: float = 2.0) -
         "gamma": macro_to_micro.max(-1),
         "macro": macro,
         "micro_to_macro": micro_to_macro.sum(-1),
+        "macro_to_micro": macro_to_micro.sum(-1),
+        "micro_to_micro": micro.sum((-2, -1)),
     }

@@ -12,6 +12,7 @@ import numpy as np
 
 from . import linalg as L
 from . import models as M
+from . import systems
 
 
 def lagged(x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,12 +229,21 @@ def innovations(y: np.ndarray, m: M.Innovations) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def simulate_var(coef: np.ndarray, sigma: np.ndarray, times: int, *, burn: int = 500, seed: int = 0, intercept: np.ndarray | None = None) -> np.ndarray:
-    """(batch, times, n) Gaussian trajectories; the stream depends on seed and model only."""
+def simulate_var(coef: np.ndarray, sigma: np.ndarray, times: int, *, burn: int | None = 500, seed: int = 0, intercept: np.ndarray | None = None, keys=None, shocks: bool = False):
+    """(batch, times, n) Gaussian trajectories, and with shocks their innovations.
+
+    Every item has a stream of its own, by seed and its key (its number if
+    none).  burn None takes as many steps as a model needs to forget its start.
+    """
     b, p, n, _ = coef.shape
     low = L.stable_cholesky(np.broadcast_to(sigma, (b, n, n)))
-    noise = np.stack([np.random.Generator(np.random.Philox(key=[seed, i])).standard_normal((times + burn, n)) for i in range(b)])
-    return run_var(coef, np.zeros((b, p, n)), noise @ L.t(low), intercept)[:, p + burn :]
+    x, e = np.empty((b, times, n)), np.empty((b, times, n))
+    for i, key in enumerate(range(b) if keys is None else keys):
+        first = systems.automatic_burnin(coef[i : i + 1]) if burn is None else burn
+        noise = np.random.Generator(np.random.Philox(key=[seed, key])).standard_normal((1, times + first, n)) @ L.t(low[i])
+        x[i] = run_var(coef[i : i + 1], np.zeros((1, p, n)), noise, None if intercept is None else intercept[i])[0, p + first :]
+        e[i] = noise[0, first:]
+    return (x, e) if shocks else x
 
 
 def run_var(coef: np.ndarray, start: np.ndarray, shocks: np.ndarray, intercept: np.ndarray | None = None) -> np.ndarray:

@@ -69,8 +69,14 @@ def spectral_radius(x: np.ndarray) -> np.ndarray:
     return np.abs(np.linalg.eigvals(x)).max(-1)
 
 
+def _small(step: np.ndarray, x: np.ndarray, rtol: float, atol: float) -> np.ndarray:
+    """Which items of a batch a step has changed by no more than the tolerance."""
+    size = lambda m: np.linalg.norm(m, axis=(-2, -1))
+    return size(step) <= atol + rtol * np.maximum(1, size(x))
+
+
 def lyapunov(a: np.ndarray, q: np.ndarray, *, method: str = "doubling", rtol: float = 1e-10, atol: float = 1e-12, max_iter: int = 100) -> np.ndarray:
-    """P = A P A' + Q; rows with a spectral radius of one or more are NaN."""
+    """P = A P A' + Q; items with a spectral radius of one or more, or that don't converge, are NaN."""
     a, q = np.asarray(a, float), np.asarray(q, float)
     bad = spectral_radius(a) >= 1
     if method == "direct":
@@ -83,9 +89,12 @@ def lyapunov(a: np.ndarray, q: np.ndarray, *, method: str = "doubling", rtol: fl
         for _ in range(max_iter):
             step = m @ p @ t(m)
             p = p + step
-            if np.all(np.linalg.norm(step, axis=(-2, -1)) <= atol + rtol * np.maximum(1, np.linalg.norm(p, axis=(-2, -1)))):
+            done = _small(step, p, rtol, atol)
+            if done.all():
                 break
             m = m @ m
+        else:
+            bad = bad | ~done
     return np.where(bad[..., None, None], np.nan, symmetrise(p))
 
 
@@ -93,7 +102,8 @@ def dare(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarr
     """Filtering Riccati solution P = APA' + Q - (APC' + S)(CPC' + R)^-1(APC' + S)'.
 
     A cross-covariance S is first decorrelated; then structure-preserving
-    doubling, which also converges for unstable A that can be detected.
+    doubling, which also converges for unstable A that can be detected.  Items
+    that don't converge are NaN.
     """
     a, c, q, r = (np.asarray(x, float) for x in (a, c, q, r))
     r_c = spd_solve(r, c)
@@ -110,11 +120,10 @@ def dare(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarr
         new = symmetrise(x + t(f) @ x @ w)
         g = symmetrise(g + f @ g @ z)
         f = f @ w
-        step = np.linalg.norm(new - x, axis=(-2, -1))
-        x = new
-        if np.all(step <= atol + rtol * np.maximum(1, np.linalg.norm(new, axis=(-2, -1)))):
-            break
-    return x
+        done, x = _small(new - x, new, rtol, atol), new
+        if done.all():
+            return x
+    return np.where(done[..., None, None], x, np.nan)
 
 
 def sub(x: np.ndarray, rows, cols=None) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -25,13 +25,12 @@ def durbin_watson(rows: DataFrame, error: str, block: int = lags_.BLOCK) -> Data
 
 
 def ljung_box(rows: DataFrame, error: str, max_lag: int, block: int = lags_.BLOCK) -> DataFrame:
-    """series_id, n, q and p-value of an error column; autocorrelations are native aggregates."""
+    """series_id, n, q and p-value of an error column; one windowed pass gives all autocorrelations."""
     base = rows.groupBy("series_id").agg(F.avg(error).alias("m"), F.var_pop(error).alias("v"), F.count("*").alias("n"))
-    out = base
-    for k in range(1, max_lag + 1):
-        own = lags_.lagged(rows.select("series_id", "t", error), [error], k, block).join(base, "series_id")
-        rho = own.groupBy("series_id").agg((F.sum((F.col(error) - F.col("m")) * (F.col(f"{error}_l{k}") - F.col("m"))) / F.first("n") / F.first("v")).alias(f"r{k}"))
-        out = out.join(rho, "series_id")
+    own = lags_.lagged(rows.select("series_id", "t", error), [error], max_lag, block, depth="depth").join(base, "series_id")
+    e = F.col(error) - F.col("m")
+    rho = [(F.sum(F.when(F.col("depth") >= k, e * (F.col(f"{error}_l{k}") - F.col("m")))) / F.first("n") / F.first("v")).alias(f"r{k}") for k in range(1, max_lag + 1)]
+    out = own.groupBy("series_id").agg(F.first("n").alias("n"), *rho)
     q = F.col("n") * (F.col("n") + 2) * sum((F.pow(f"r{k}", 2) / (F.col("n") - k) for k in range(1, max_lag + 1)), F.lit(0.0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,17 +42,25 @@ def ljung_box(rows: DataFrame, error: str, max_lag: int, block: int = lags_.BLOC
     return out.select("series_id", "n", q.alias("q")).mapInPandas(run, "series_id string, n long, q double, pvalue double")
 
 
-def significance(rows: DataFrame, p: str = "p", alpha: float = 0.05, method: str = "fdr_bh", by: Sequence[str] = ()) -> DataFrame:
+def _p_bin(p: str, bins: int) -> Column:
+    """Bins that rise with p: `bins` of equal width above 1/64, and as many in all for each halving below."""
+    even = F.floor(F.col(p) * bins)
+    halvings = F.floor(F.log2(F.greatest(F.col(p), F.lit(5e-324))) * (bins // 16)) - 2 * bins  # below every even bin
+    return F.when(F.col(p) >= 1 / 64, F.least(even, F.lit(bins))).otherwise(halvings).cast("long")
+
+
+def significance(rows: DataFrame, p: str = "p", alpha: float = 0.05, method: str = "fdr_bh", by: Sequence[str] = (), bins: int = 1024) -> DataFrame:
     """rows with `significant`; Benjamini-Hochberg per group, null and NaN never significant.
 
     Only the threshold needs an order, so ranks are taken within ranges of p:
-    counts of coarse bins give each bin's first rank, and rows rank within theirs.
+    counts of bins give each bin's first rank, and rows rank within theirs.
+    Small p-values, the usual crowd, have bins by their logarithm; bins is the
+    number for the others, to grow with the rows.
     """
     finite = F.col(p).isNotNull() & ~F.isnan(p)
     if method == "none":
         return rows.withColumn("significant", finite & (F.col(p) <= alpha))
-    bins = 1024
-    own = rows.where(finite).select(*by, F.col(p).alias("__p"), F.least(F.lit(bins - 1), F.floor(F.col(p) * bins)).alias("__bin"))
+    own = rows.where(finite).select(*by, F.col(p).alias("__p"), _p_bin(p, bins).alias("__bin"))
     counts = own.groupBy(*by, "__bin").agg(F.count("*").alias("__c"))
     before = W.Window.partitionBy(*by).orderBy("__bin").rowsBetween(W.Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).withColumn("__m", F.sum("__c").over(W.Window.partitionBy(*by)))
@@ -63,12 +70,12 @@ def significance(rows: DataFrame, p: str = "p", alpha: float = 0.05, method: str
     return out.withColumn("significant", F.coalesce(finite & (F.col(p) <= F.col("__limit")), F.lit(False))).drop("__limit")
 
 
-def mvgc_pvalues(stats: DataFrame, **sizes) -> DataFrame:
-    """stats (.., value) with a p-value column by testing.mvgc_pvalue."""
+def mvgc_pvalues(stats: DataFrame, groups: tuple[int, int, int], order: int, rows: int, law: str = "f") -> DataFrame:
+    """stats (.., value) with a p-value column by testing.causality_pvalue."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(p=testing.mvgc_pvalue(pdf["value"].to_numpy(float), **sizes) if len(pdf) else [])
+            yield pdf.assign(p=testing.causality_pvalue(pdf["value"].to_numpy(float), groups, order, rows, law) if len(pdf) else [])
 
     return stats.mapInPandas(run, ", ".join(f"{c} {k}" for c, k in stats.dtypes) + ", p double")
 
@@ -90,39 +97,50 @@ def fit_summary(predicted: DataFrame, n: int) -> DataFrame:
     return own.select("series_id", "channel", F.sqrt("mse").alias("rmse"), (F.col("mse") / F.col("var")).alias("nmse"), (1 - F.col("mse") / F.col("var")).alias("r2"))
 
 
-def select_by_criteria(scores: DataFrame, criterion: str = "bic", by: Sequence[str] = ()) -> DataFrame:
-    """scores (order, loglik, k, n) with aic, bic, hqc, their difference to the least, and the chosen one."""
+def select_by_criteria(scores: DataFrame, criterion: str = "bic", by: Sequence[str] = (), small_sample: bool = False) -> DataFrame:
+    """scores (order, loglik, k, n) with aic, bic, hqc, their difference to the least, and the chosen one; small_sample corrects aic."""
     l, k, n = F.col("loglik"), F.col("k"), F.col("n")
-    out = scores.withColumn("aic", -2 * l + 2 * k).withColumn("bic", -2 * l + k * F.ln(n)).withColumn("hqc", -2 * l + 2 * k * F.ln(F.ln(n)))
+    aic = -2 * l + 2 * k
+    if small_sample:
+        aic = aic + F.when(n - k > 1, 2 * k * (k + 1) / (n - k - 1))
+    out = scores.withColumn("aic", aic).withColumn("bic", -2 * l + k * F.ln(n)).withColumn("hqc", -2 * l + 2 * k * F.ln(F.ln(n)))
     w = W.Window.partitionBy(*by)  # as many rows as candidate orders
     out = out.withColumn("delta", F.col(criterion) - F.min(criterion).over(w))
     return out.withColumn("chosen", F.row_number().over(w.orderBy(F.col(criterion), "order")) == 1)
 
 
-def var_criteria(wide: DataFrame, channels: Sequence[str], orders: Sequence[int], criterion: str = "bic", pooled: bool = True, per_observation: bool = False) -> DataFrame:
-    """model_id, order, loglik, k, n and criteria; each order's moments are one native pass.
+def var_criteria(wide: DataFrame, channels: Sequence[str], orders: Sequence[int], criterion: str = "bic", pooled: bool = True, per_observation: bool = False, covariance: bool = False, small_sample: bool = False) -> DataFrame:
+    """model_id, order, loglik, k, n and criteria; one native pass serves all orders.
 
-    The log-likelihood is that of the unbiased residual covariance, k = order * n^2,
-    and every order has the rows its own lags leave.
+    The log-likelihood is that of the unbiased residual covariance, k = order *
+    n^2, with covariance also its n (n + 1) / 2 numbers, and every order has the
+    rows its own lags leave.
     """
-    n, parts = len(channels), []
-    for p in orders:
-        m = models_.fit_var(wide, channels, p, pooled=pooled)
-
-        def run(batches: Iterator[pd.DataFrame], p: int = p) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                pdf = pdf[pdf["status"] == "ok"]
-                if len(pdf):
-                    ld = np.linalg.slogdet(models_.stack(pdf["sigma"], n, n))[1]
-                    each = -0.5 * (n * math.log(2 * math.pi) + ld + n)
-                    rows = pdf["rows"].to_numpy(float)
-                    yield pd.DataFrame({"model_id": pdf["model_id"], "order": p, "loglik": each * rows, "k": p * n * n, "n": pdf["rows"]})
-
-        parts.append(m.mapInPandas(run, "model_id string, order int, loglik double, k long, n long"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    out = select_by_criteria(out, criterion, ["model_id"])
+    n, most = len(channels), max(orders)
+    d = n * (most + 1)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(int(u), int(r), np.array([np.nan if v is None else v for v in m], float), np.array([np.nan if v is None else v for v in c], float).reshape(d, d)) for u, r, m, c in zip(pdf["depth"], pdf["rows"], pdf["mean"], pdf["cov"])]
+        out = []
+        for p in orders:
+            use = [x[1:] for x in parts if x[0] >= p]
+            free = sum(x[0] for x in use) - n * p - 1
+            if free <= 0:
+                continue
+            rows, _, cov = lags_.merge([(r, m[: n * (p + 1)], c[: n * (p + 1), : n * (p + 1)]) for r, m, c in use])
+            spread = cov * (rows - 1)
+            try:
+                left = spread[:n, :n] - spread[:n, n:] @ np.linalg.solve(spread[n:, n:], spread[n:, :n])
+                sign, ld = np.linalg.slogdet(left / free)
+            except np.linalg.LinAlgError:
+                continue
+            if sign > 0:
+                out.append((key[0], p, -0.5 * rows * (n * math.log(2 * math.pi) + ld + n), testing.var_parameters(n, p, covariance), rows))
+        return pd.DataFrame(out, columns=["model_id", "order", "loglik", "k", "n"])
+
+    moments = lags_.depth_moments(wide, channels, most, pooled=pooled)
+    out = moments.groupBy("model_id").applyInPandas(run, "model_id string, order int, loglik double, k long, n long")  # a row per depth
+    out = select_by_criteria(out, criterion, ["model_id"], small_sample)
     return out if not per_observation else out.select("model_id", "order", "loglik", "k", "n", *[(F.col(c) / F.col("n")).alias(c) for c in ("aic", "bic", "hqc", "delta")], "chosen")
 
 

@@ -96,28 +96,86 @@ def empirical_spectral_mvgc(wide: DataFrame, order: int, source: Sequence[str],
     return b.crossJoin(F.broadcast(a)).mapInPandas(run, "model_id string, f double, value double")  # one row each
 
 
-def whiteness(wide: DataFrame, channels: Sequence[str], order: int) -> DataFrame:
-    """series_id, channel, dw, pvalue of a VAR's residuals, one task per series."""
+def _product(a: Sequence, b: Sequence, name: str, where=None) -> list:
+    """Native sums of products of two lists of columns, as name_i_j."""
+    keep = (lambda e: e) if where is None else (lambda e: F.when(where, e))
+    return [F.sum(keep(x * y)).alias(f"{name}_{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(b)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")[list(channels)].to_numpy(float)[None]
-        dw, p = testing.durbin_watson_pvalues(x, ident.fit_var(x, order)["residuals"], order)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "channel": list(channels), "dw": dw, "pvalue": p})
 
-    return wide.select("series_id", "t", *channels).groupBy("series_id").applyInPandas(run, "series_id string, channel string, dw double, pvalue double")
+def _square(row, name: str, n: int) -> np.ndarray:
+    return np.array([[row[f"{name}_{i}_{j}"] for j in range(n)] for i in range(n)], float)
 
 
-def innovation_diagnostics(predicted: DataFrame, n: int, max_lag: int = 10) -> DataFrame:
-    """series_id, measure, value: summaries of one-step errors of prediction rows, one task per series."""
+def whiteness(wide: DataFrame, channels: Sequence[str], order: int, block: int = lags_.BLOCK) -> DataFrame:
+    """series_id, channel, dw, pvalue of a VAR's residuals.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("t")
-        x, e = models_.stack(own["x"], n)[None], models_.stack(own["residual"], n)[None]
-        d = testing.innovation_diagnostics(x, e, models_.stack(own["sigma"].iloc[:1], n, n)[0], x[0].mean(0), max_lag)
-        rows = [(f"{k}[{i}]" if np.size(v) > 1 else k, float(z)) for k, v in d.items() for i, z in enumerate(np.ravel(v))]
-        return pd.DataFrame({"series_id": own["series_id"].iloc[0], "measure": [r[0] for r in rows], "value": [r[1] for r in rows]})
+    Everything follows from sums over consecutive rows, which native windows
+    and aggregates give: no task holds a series.
+    """
+    n = len(channels)
+    model = models_.fit_var(wide, channels, order, block=block)
+    own = models_.predictions(wide, model, channels, order, block=block)
+    x, e = [f"x{i}" for i in range(n)], [f"e{i}" for i in range(n)]
+    own = own.select("series_id", "t", *[F.col("x")[i].alias(c) for i, c in enumerate(x)], *[F.col("residual")[i].alias(c) for i, c in enumerate(e)])
+    rows = lags_.lagged(own, [*x, *e], 2, block, depth="depth")
+    mean = wide.groupBy("series_id").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(channels)])
+    rows = rows.join(mean, "series_id")
+    level = [F.col(c) - F.col(f"m{i}") for i, c in enumerate(x)]
+    step = lambda c: F.col(c) - F.col(f"{c}_l1")
+    before = lambda c: F.col(f"{c}_l1") - F.col(f"{c}_l2")
+    second, third = F.col("depth") >= 1, F.col("depth") >= 2
+    sums = _product(level, level, "levels") + _product([step(c) for c in x], [step(c) for c in x], "steps", second) + _product([step(c) for c in x], [before(c) for c in x], "turns", third)
+    sums += [F.sum(F.when(second, step(c) * step(c))).alias(f"up{i}") for i, c in enumerate(e)] + [F.sum(F.col(c) * F.col(c)).alias(f"down{i}") for i, c in enumerate(e)]
+    found = rows.groupBy("series_id").agg(F.count("*").alias("rows"), *sums)
 
-    return predicted.select("series_id", "t", "x", "residual", "sigma").groupBy("series_id").applyInPandas(run, "series_id string, measure string, value double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, r in pdf.iterrows():  # a series each
+                dw = np.array([r[f"up{i}"] / r[f"down{i}"] for i in range(n)], float)
+                try:
+                    p = testing.two_sided(dw, *testing.durbin_watson_law(_square(r, "levels", n), _square(r, "steps", n), _square(r, "turns", n), int(r["rows"])))
+                except (np.linalg.LinAlgError, ZeroDivisionError):
+                    p = np.full(n, np.nan)
+                yield pd.DataFrame({"series_id": r["series_id"], "channel": list(channels), "dw": dw, "pvalue": p})
+
+    return found.mapInPandas(run, "series_id string, channel string, dw double, pvalue double")
+
+
+def innovation_diagnostics(predicted: DataFrame, n: int, max_lag: int = 10, block: int = lags_.BLOCK) -> DataFrame:
+    """series_id, measure, value: summaries of one-step errors of prediction rows, from native sums.
+
+    Errors are standardised by the model's covariance after the sums, which
+    are of plain errors.
+    """
+    x, e = [f"x{i}" for i in range(n)], [f"e{i}" for i in range(n)]
+    own = predicted.select("series_id", "t", "sigma", *[F.col("x")[i].alias(c) for i, c in enumerate(x)], *[F.col("residual")[i].alias(c) for i, c in enumerate(e)])
+    rows = lags_.lagged(own, e, max_lag, block, depth="depth")
+    now, model = [F.col(c) for c in e], [F.col(a) - F.col(b) for a, b in zip(x, e)]
+    value = [F.col(c) for c in x]
+    sums = [F.count("*").alias("rows"), F.first("sigma").alias("sigma")]
+    for name, cols in (("e", now), ("x", value), ("p", model)):
+        sums += [F.avg(c).alias(f"{name}mean_{i}") for i, c in enumerate(cols)]
+        sums += [F.covar_pop(a, b).alias(f"{name}cov_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    for k in range(1, max_lag + 1):
+        there = F.col("depth") >= k
+        late = [F.col(f"{c}_l{k}") for c in e]
+        sums += [F.covar_pop(F.when(there, a), F.when(there, b)).alias(f"lag{k}_{i}_{j}") for i, a in enumerate(now) for j, b in enumerate(late)]
+        sums.append(F.count_if(there).alias(f"rows{k}"))
+    sums += [F.sum(F.when(F.col("depth") >= 1, F.pow(F.col(c) - F.col(f"{c}_l1"), 2))).alias(f"up{i}") for i, c in enumerate(e)]
+    found = rows.groupBy("series_id").agg(*sums)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, r in pdf.iterrows():  # a series each
+                mean = lambda name: np.array([r[f"{name}mean_{i}"] for i in range(n)], float)
+                d = testing.innovation_summary(
+                    int(r["rows"]), np.asarray(r["sigma"], float).reshape(n, n), (mean("e"), _square(r, "ecov", n)), (mean("x"), _square(r, "xcov", n)), (mean("p"), _square(r, "pcov", n)),
+                    [(_square(r, f"lag{k}", n), int(r[f"rows{k}"])) for k in range(1, max_lag + 1)], np.array([r[f"up{i}"] for i in range(n)], float),
+                )
+                out = [(f"{k}[{i}]" if np.size(v) > 1 else k, float(z)) for k, v in d.items() for i, z in enumerate(np.ravel(v))]
+                yield pd.DataFrame({"series_id": r["series_id"], "measure": [o[0] for o in out], "value": [o[1] for o in out]})
+
+    return found.mapInPandas(run, "series_id string, measure string, value double")
 
 
 def larimore_cross_validation(wide: DataFrame, channels: Sequence[str], orders: Sequence[int], past: int, fold_table: DataFrame, rule: str = "best") -> DataFrame:

@@ -6,6 +6,7 @@ by seed and number, so results don't depend on partitions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,7 +21,7 @@ from ..functions import models as M
 from ..functions import systems
 from ..plans import measures as plan
 
-#: Rows of a series that a bootstrap ships to its members.
+#: Rows of a series that a residual bootstrap ships to its members.
 MOST_ROWS = 1_000_000
 
 
@@ -38,7 +39,11 @@ def _one_series(dense: DataFrame) -> np.ndarray:
 
 
 def bootstrap(dense: DataFrame, n: int, order: int, names: Sequence[str] | str, config: plan.Config = plan.Config(), *, members: int = 1000, method: str = "residual", seed: int = 0) -> DataFrame:
-    """model_id (member), stable, and measures of refitted resamples of one series of at most MOST_ROWS rows."""
+    """MEASURES of refitted resamples of one series of at most MOST_ROWS rows, model_id being the member.
+
+    A member that isn't stable has one row, of family status.  Longer series,
+    and several, take block_bootstrap.
+    """
     x = _one_series(dense)
     fit = ident.fit_var(x[None], order)
     coef, const, sigma, res = fit["coef"], fit["intercept"], fit["sigma"], fit["residuals"][0]
@@ -63,6 +68,8 @@ def bootstrap(dense: DataFrame, n: int, order: int, names: Sequence[str] | str,
                     for name in names:
                         if plan.REGISTRY[name].needs(n, config) is None:
                             yield plan.long_rows([str(k) for k in own[ok]], name, np.asarray(plan.REGISTRY[name].run(c)), c)
+                if not ok.all():
+                    yield plan.status_rows([str(k) for k in own[~ok]], ["unstable"] * int((~ok).sum()))
 
     return dense.sparkSession.range(members).mapInPandas(run, plan.MEASURES)
 
@@ -87,15 +94,62 @@ def bootstrap_state_space(dense: DataFrame, n: int, states: int, past: int, name
                     for name in names:
                         if plan.REGISTRY[name].needs(n, config) is None:
                             yield plan.long_rows([str(k)], name, np.asarray(plan.REGISTRY[name].run(c)), c)
+                else:
+                    yield plan.status_rows([str(k)], ["unstable"])
 
     return dense.sparkSession.range(members).mapInPandas(run, plan.MEASURES)
 
 
+def block_bootstrap(wide: DataFrame, channels: Sequence[str], order: int, names: Sequence[str] | str, config: plan.Config = plan.Config(), *, members: int = 1000, block: int = 256, pooled: bool = True, seed: int = 0) -> DataFrame:
+    """MEASURES of VARs refitted to resampled blocks of rows, for series of any number and length.
+
+    A block is `block` steps of one series; its lag moments are one row.  Each
+    member draws every block a Poisson(1) number of times, from a stream keyed
+    by seed, member and block, so a member is a weighted sum of block moments,
+    added up where the blocks are.  model_id is the member, with "series#" before
+    it unless pooled; members without a stable fit have one row, of family status.
+    """
+    from . import lags as lags_
+    from .models import to_innovations, var_from_moments
+
+    n, d = len(channels), len(channels) * (order + 1)
+    rows = lags_.lagged(wide, channels, order)
+    piece = F.concat_ws("#", "series_id", F.floor(F.col("t") / block).cast("string"))
+    moments = lags_._moments(rows.withColumn("__series", F.lit("all") if pooled else F.col("series_id")), piece, [F.col(c) for c in lags_.design_columns(channels, order)], "__series")
+    schema = "model_id string, v array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for name, series, r, mean, cov in zip(pdf["model_id"], pdf["__series"], pdf["rows"], pdf["mean"], pdf["cov"]):
+                key = int.from_bytes(hashlib.blake2b(str(name).encode(), digest_size=8).digest(), "little")
+                times = np.random.Generator(np.random.Philox(key=[seed, key])).poisson(1.0, members)
+                mean = np.asarray(mean, float)
+                second = np.nan_to_num(np.array([np.nan if c is None else c for c in cov], float)).reshape(d, d) * (r - 1) + r * np.outer(mean, mean)
+                own = np.concatenate(([r], r * mean, second.ravel()))
+                total[series] = total.get(series, 0) + times[:, None] * own
+        for series, sums in total.items():
+            yield pd.DataFrame({"model_id": [str(k) if pooled else f"{series}#{k}" for k in range(members)], "v": list(sums)})
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v = np.stack([np.asarray(x, float) for x in pdf["v"]]) if len(pdf) else np.zeros((0, 1 + d + d * d))
+            r = v[:, 0]
+            mean = v[:, 1 : 1 + d] / np.maximum(r, 1)[:, None]
+            cov = (v[:, 1 + d :].reshape(-1, d, d) - r[:, None, None] * mean[:, :, None] * mean[:, None, :]) / np.maximum(r - 1, 1)[:, None, None]
+            yield pd.DataFrame({"model_id": pdf["model_id"], "rows": r.astype(int), "mean": list(mean), "cov": list(cov.reshape(-1, d * d))})
+
+    size = 1 + d + d * d
+    sums = moments.mapInPandas(run, schema).groupBy("model_id").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(size)]).alias("v"))
+    again = sums.mapInPandas(finish, "model_id string, rows long, mean array<double>, cov array<double>")
+    return plan.measures(to_innovations(var_from_moments(again, n, order)), names, config)
+
+
 def intervals(samples: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Percentile intervals of every number in a table of resampled measures; exact, interpolated."""
     tail = (1 - confidence) / 2
     keys = ["family", "measure", "i", "j", "lag", "f", "atom"]
-    own = samples.groupBy(*keys).agg(F.count("*").alias("members"), F.avg("value").alias("mean"), F.expr(f"percentile(value, array({tail}, {1 - tail}))").alias("q"))
+    own = samples.where("family <> 'status'").groupBy(*keys).agg(F.count("*").alias("members"), F.avg("value").alias("mean"), F.expr(f"percentile(value, array({tail}, {1 - tail}))").alias("q"))
     return own.select(*keys, "members", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
@@ -167,16 +221,21 @@ def candidate_search(spark: SparkSession, model: M.Innovations, m: int, *, candi
     return got.agg(pick(F.struct("run", "rows", "value"), F.struct("value", "run")).alias("b")).select("b.*")
 
 
-def simulate(models: DataFrame, times: int, *, burn: int = 500, seed: int = 0) -> DataFrame:
-    """series_id, t, x trajectories of VAR rows, one task per model."""
-    from .models import kernel, read_var, stack
+def simulate(models: DataFrame, times: int, *, burn: int | None = None, seed: int = 0) -> DataFrame:
+    """series_id, t, x, innovation: trajectories of VAR rows from streams keyed by seed and model_id.
+
+    burn None takes as many steps as a model needs to forget its start.
+    """
+    from .models import kernel, read_var
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         coef, sigma = read_var(pdf)
-        x = ident.simulate_var(coef, sigma, times, burn=burn, seed=seed)
-        return pd.DataFrame({"series_id": np.repeat(pdf["model_id"].to_numpy(), times), "t": np.tile(np.arange(times), len(pdf)), "x": list(x.reshape(-1, x.shape[-1]))})
+        keys = [int.from_bytes(hashlib.blake2b(str(m).encode(), digest_size=8).digest(), "little") for m in pdf["model_id"]]
+        x, e = ident.simulate_var(coef, sigma, times, burn=burn, seed=seed, keys=keys, shocks=True)
+        n = x.shape[-1]
+        return pd.DataFrame({"series_id": np.repeat(pdf["model_id"].to_numpy(), times), "t": np.tile(np.arange(times), len(pdf)), "x": list(x.reshape(-1, n)), "innovation": list(e.reshape(-1, n))})
 
-    return kernel(models, "series_id string, t long, x array<double>", run)
+    return kernel(models, "series_id string, t long, x array<double>, innovation array<double>", run)
 
 
 def synthetic_catalogue(spark: SparkSession, n: int = 5, radii: Sequence[float] = (0.5, 0.8), correlations: Sequence[float] = (0.0, 0.3)) -> DataFrame:

@@ -85,16 +85,38 @@ def var_from_moments(moments: DataFrame, n: int, order: int, *, alpha: float = 0
     return moments.select("model_id", "rows", "mean", "cov").mapInPandas(run, VAR)
 
 
-def kernel(models: DataFrame, schema: str, run: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """A numpy kernel over model rows with status ok, by shape, in Arrow batches; no shuffle."""
+def kernel(models: DataFrame, schema: str, run: Callable[[pd.DataFrame], pd.DataFrame], failed: Callable[[pd.DataFrame, list], pd.DataFrame] | None = None) -> DataFrame:
+    """A numpy kernel over model rows with status ok, by shape, in Arrow batches; no shuffle.
+
+    Other rows pass with their status where the schema has one; so does a row
+    that the kernel fails on, which is found by running the batch row by row.
+    failed: rows for models and their statuses, for schemas without a status.
+    """
     keys = [c for c in ("n", "p", "r") if c in models.columns]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def lost(pdf: pd.DataFrame, statuses: list) -> list[pd.DataFrame]:
+        if len(pdf) and failed is not None:
+            return [failed(pdf, statuses)]
+        if not len(pdf) or "status" not in names:
+            return []
+        return [pd.DataFrame({c: statuses if c == "status" else pdf[c] if c in ("model_id", "n") else [None] * len(pdf) for c in names})]
+
+    def each(own: pd.DataFrame) -> list[pd.DataFrame]:
+        try:
+            return [run(own)]
+        except (np.linalg.LinAlgError, ValueError) as e:
+            if len(own) == 1:
+                return lost(own, [str(e)[:200] or type(e).__name__])
+            return [x for i in range(len(own)) for x in each(own.iloc[i : i + 1].reset_index(drop=True))]
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for own in by_shape(pdf[pdf["status"] == "ok"].reset_index(drop=True), *keys):
-                out = run(own.reset_index(drop=True))
-                if len(out):
-                    yield out
+            ok = pdf["status"] == "ok"
+            parts = lost(pdf[~ok].reset_index(drop=True), pdf.loc[~ok, "status"].tolist())
+            for own in by_shape(pdf[ok], *keys):
+                parts += each(own.reset_index(drop=True))
+            yield from (x for x in parts if len(x))
 
     return models.mapInPandas(over, schema)
 

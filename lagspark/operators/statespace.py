@@ -96,13 +96,19 @@ def larimore_from_moments(moments: DataFrame, n: int, states: int, past: int, fu
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for mid, cov in zip(pdf["model_id"], stack(pdf["cov"], n * (past + future), n * (past + future)) if len(pdf) else []):
-                m, _ = _larimore(cov, n, states, past, future, ridge)
-                yield write_innovations([mid], m)
+            for mid, cov in zip(pdf["model_id"], _covariances(pdf, n * (past + future))):
+                try:
+                    yield write_innovations([mid], _larimore(cov, n, states, past, future, ridge)[0])
+                except (np.linalg.LinAlgError, ValueError) as e:
+                    yield pd.DataFrame({"model_id": [mid], "n": n, "r": states, "a": [None], "c": [None], "k": [None], "v": [None], "status": [str(e)[:200] or "failed"]})
 
     return moments.select("model_id", "cov").mapInPandas(run, INNOVATIONS)
 
 
+def _covariances(pdf: pd.DataFrame, d: int) -> list[np.ndarray]:
+    return [np.array([np.nan if v is None else v for v in c], float).reshape(d, d) for c in pdf["cov"]]
+
+
 def _larimore(cov: np.ndarray, n: int, states: int, past: int, future: int, ridge: float) -> tuple[M.Innovations, np.ndarray]:
     """The window is x_{t+future-1}, .., x_t, .., x_{t-past}, newest first."""
     block = lambda k: list(range(k * n, (k + 1) * n))
@@ -129,17 +135,24 @@ def larimore(wide: DataFrame, channels: Sequence[str], states: int, past: int, f
     return larimore_from_moments(lags_.lag_moments(wide, channels, past + future - 1, pooled=pooled), len(channels), states, past, future)
 
 
-def bauer_order(wide: DataFrame, channels: Sequence[str], past: int, future: int | None = None, least: int = 0) -> DataFrame:
-    """model_id, order, svc, chosen by Bauer's criterion over canonical correlations."""
+def bauer_order(wide: DataFrame, channels: Sequence[str], past: int, future: int | None = None, least: int = 1, pooled: bool = True) -> DataFrame:
+    """model_id, order, svc, chosen by Bauer's criterion over canonical correlations, from order `least` on.
+
+    A model whose windows have no positive definite covariance has one row without an order.
+    """
     from ..functions import testing
 
     future, n = future or past, len(channels)
-    moments = lags_.lag_moments(wide, channels, past + future - 1, pooled=True)
+    moments = lags_.lag_moments(wide, channels, past + future - 1, pooled=pooled)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for mid, rows, cov in zip(pdf["model_id"], pdf["rows"], stack(pdf["cov"], n * (past + future), n * (past + future)) if len(pdf) else []):
-                _, rho = _larimore(cov, n, 1, past, future, 1e-12)
+            for mid, rows, cov in zip(pdf["model_id"], pdf["rows"], _covariances(pdf, n * (past + future))):
+                try:
+                    _, rho = _larimore(cov, n, 1, past, future, 1e-12)
+                except (np.linalg.LinAlgError, ValueError):
+                    yield pd.DataFrame({"model_id": [mid], "order": None, "svc": np.nan, "chosen": False}).astype({"order": "Int32"})
+                    continue
                 best, svc = testing.bauer_order(rho, n, int(rows), least)
                 yield pd.DataFrame({"model_id": mid, "order": np.arange(len(svc)), "svc": svc, "chosen": np.arange(len(svc)) == best})
 

@@ -43,6 +43,7 @@ class Config:
     target: tuple[int, ...] = (1,)
     conditional: tuple[int, ...] | None = None
     groups: tuple[tuple[int, ...], ...] | None = None
+    group: int = 0
     macro: tuple[tuple[float, ...], ...] | None = None
     sources: tuple[tuple[int, ...], ...] | None = None
     phi_channels: tuple[int, int] = (0, 1)
@@ -128,6 +129,21 @@ def _few_sources(n: int, c: Config) -> str | None:
     return None if 2 <= len(_sources(c, n)) <= 3 and max(c.target) < n else "not two or three sources"
 
 
+def _complex(x: np.ndarray) -> np.ndarray:
+    return np.stack([x.real, x.imag], -1)
+
+
+def _pairwise_spectral(x: Context) -> np.ndarray:
+    """Bivariate causality of every source i about every target j."""
+    n, freqs = x.model.n, x.config.freqs / x.config.fs
+    out = np.zeros((len(x.model.a), len(freqs), n, n))
+    for i in range(n):
+        for j in range(n):
+            if i != j:
+                out[..., i, j] = R.pairwise_spectral_gc(x.model, [i], [j], freqs, x.config.nats())
+    return out
+
+
 # Static.
 measure("covariance", "gaussian", ("i", "j"))(lambda x: x.gamma0)
 measure("gaussian_entropy", "gaussian")(lambda x: G.entropy(x.gamma0, x.config.bits()))
@@ -162,6 +178,10 @@ measure("cmem3_decomposition", "cmem", ("lag1",), lags=lambda c: c.memory_lag)(l
 measure("temporal_mvgc", "mvgc", needs=_pair)(lambda x: R.temporal_mvgc(x.model, x.config.source, x.config.target, x.config.conditional, x.config.nats()))
 measure("pairwise_temporal_mvgc", "mvgc", ("i", "j"), needs=_more(2))(lambda x: R.pairwise_temporal_mvgc(x.model, x.config.nats()))
 measure("maximum_temporal_mvgc", "mvgc", needs=_more(2))(lambda x: R.maximum_temporal_mvgc(x.model, x.config.nats()))
+measure("integrated_spectral_mvgc", "mvgc", needs=_pair)(lambda x: x.mean(R.spectral_mvgc(x.model, x.config.source, x.config.target, x.config.freqs / x.config.fs, x.config.conditional, x.config.nats())))
+measure("pairwise_spectral_gc", "mvgc", ("f", "i", "j"), needs=_more(2))(_pairwise_spectral)
+measure("inverse_transfer", "spectral", ("f", "i", "j", "atom"), atoms=lambda x: ("real", "imaginary"))(lambda x: _complex(M.inverse_transfer(x.model, x.config.freqs / x.config.fs)))
+measure("cross_spectrum", "spectral", ("f", "i", "j", "atom"), atoms=lambda x: ("real", "imaginary"))(lambda x: _complex(x.spectrum))
 measure("spectral_mvgc", "mvgc", ("f",), needs=_pair)(lambda x: R.spectral_mvgc(x.model, x.config.source, x.config.target, x.config.freqs / x.config.fs, x.config.conditional, x.config.nats()))
 measure("mutual_information_rate", "rates", needs=_pair)(lambda x: R.mutual_information_rate(x.model, x.config.source, x.config.target, x.config.nats()))
 measure("transfer_entropy_rate", "rates", needs=_pair)(lambda x: R.transfer_entropy_rate(x.model, x.config.source, x.config.target, x.config.nats()))
@@ -173,8 +193,8 @@ measure("pairwise_mutual_information_rate", "rates", ("i", "j"), needs=_more(2))
 measure("mean_pairwise_rate", "rates", needs=_more(2))(lambda x: R.mean_pairwise_rate(R.pairwise_mutual_information_rate(x.model, x.config.nats())))
 measure("o_information_rate", "oir", needs=_more(2))(lambda x: R.o_information_rate(x.model, x.config.groups, x.config.nats()))
 measure("spectral_o_information_rate", "oir", ("f",), needs=_more(2))(lambda x: R.spectral_o_information_rate(x.spectrum, x.config.groups, x.config.nats()))
-measure("delta_o_information_rate", "oir", needs=_more(3))(lambda x: R.delta_o_information_rate(x.model, 0, x.config.groups, x.config.nats()))
-measure("spectral_delta_o_information_rate", "oir", ("f",), needs=_more(3))(lambda x: R.spectral_delta_o_information_rate(x.spectrum, 0, x.config.groups, x.config.nats()))
+measure("delta_o_information_rate", "oir", needs=_more(3))(lambda x: R.delta_o_information_rate(x.model, x.config.group, x.config.groups, x.config.nats()))
+measure("spectral_delta_o_information_rate", "oir", ("f",), needs=_more(3))(lambda x: R.spectral_delta_o_information_rate(x.spectrum, x.config.group, x.config.groups, x.config.nats()))
 measure("stochastic_interaction", "integration", needs=_more(2))(lambda x: R.stochastic_interaction(x.model, x.config.groups, x.config.bits()))
 measure("dynamical_dependence", "dependence", needs=_macro)(lambda x: R.dynamical_dependence(x.model, x.config.macro, x.config.bits()))
 
@@ -200,10 +220,10 @@ measure("spectral_pdgc", "pdgc", ("f", "atom"), atoms=_rate_atoms, needs=_few_so
 measure("pdgc", "pdgc", ("atom",), atoms=_rate_atoms, needs=_few_sources)(lambda x: x.mean(_spectral_pdgc(x), axis=1))
 
 
-def _coarse(values: Callable, names=("Rd", "Sy", "delta")):
+def _coarse(values: Callable, integrated: bool = True):
     def run(x: Context) -> np.ndarray:
         of = P.lattice(len(_sources(x.config, x.model.n)))
-        parts = P.coarse(x.mean(values(x), axis=1), of)
+        parts = P.coarse(x.mean(values(x), axis=1) if integrated else values(x), of)
         return np.stack([parts[k] for k in sorted(parts)], -1)
 
     return run
@@ -215,6 +235,8 @@ def _coarse_names(x: Context) -> Sequence[str]:
 
 measure("pird_parts", "hop", ("atom",), atoms=_coarse_names, needs=_few_sources)(_coarse(_spectral_pird))
 measure("pdgc_parts", "hop", ("atom",), atoms=_coarse_names, needs=_few_sources)(_coarse(_spectral_pdgc))
+measure("spectral_pird_parts", "hop", ("f", "atom"), atoms=_coarse_names, needs=_few_sources)(_coarse(_spectral_pird, False))
+measure("spectral_pdgc_parts", "hop", ("f", "atom"), atoms=_coarse_names, needs=_few_sources)(_coarse(_spectral_pdgc, False))
 
 
 @measure("pird_extrema", "pird", ("atom",), atoms=lambda x: ["redundancy", "redundancy_triple", "synergy", "synergy_triple"], needs=_more(3))
@@ -248,7 +270,7 @@ def _emergence(x: Context, full: bool) -> np.ndarray:
     return np.stack([e[k] for k in _EMERGENCE], -1)
 
 
-_EMERGENCE = ("psi", "delta", "gamma", "macro", "micro_to_macro")
+_EMERGENCE = ("psi", "delta", "gamma", "macro", "micro_to_macro", "macro_to_micro", "micro_to_micro")
 measure("emergence", "emergence", ("atom",), atoms=lambda x: _EMERGENCE, lags=lambda c: c.max_lag, needs=_macro)(lambda x: _emergence(x, False))
 measure("emergence_full_past", "emergence", ("atom",), atoms=lambda x: _EMERGENCE, needs=_macro)(lambda x: _emergence(x, True))
 
@@ -292,8 +314,16 @@ def long_rows(ids: Sequence[str], name: str, values: np.ndarray, context: Contex
     return pdf.astype({"i": "Int32", "j": "Int32", "lag": "Int32", "f": "Float64"})
 
 
+def status_rows(ids: Sequence[str], statuses: Sequence[str]) -> pd.DataFrame:
+    out = pd.DataFrame({"model_id": list(ids), "family": "status", "measure": list(statuses), "i": None, "j": None, "lag": None, "f": None, "atom": None, "value": np.nan})
+    return out.astype({"i": "Int32", "j": "Int32", "lag": "Int32", "f": "Float64"})
+
+
 def measures(models: DataFrame, names: Sequence[str] | str = "all", config: Config = Config()) -> DataFrame:
-    """Long table (MEASURES) of every named measure that applies; narrow, one pass over the models."""
+    """Long table (MEASURES) of every named measure that applies; narrow, one pass over the models.
+
+    A model that can't be used has one row, of family status, whose measure is the status.
+    """
     names = resolve(names)
     lags = required_lag(names, config)
 
@@ -302,7 +332,7 @@ def measures(models: DataFrame, names: Sequence[str] | str = "all", config: Conf
         parts = [long_rows(pdf["model_id"], n, np.asarray(REGISTRY[n].run(x)), x) for n in names if REGISTRY[n].needs(x.model.n, config) is None]
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
 
-    return kernel(models, MEASURES, run)
+    return kernel(models, MEASURES, run, lambda pdf, statuses: status_rows(pdf["model_id"], statuses))
 
 
 def not_available(n: int, names: Sequence[str] | str = "all", config: Config = Config()) -> dict[str, str]:

@@ -515,7 +515,7 @@ def var_cv(spark, d):
 @query("mvgc_pvalues")
 def mvgc_pvalues(spark, d):
     m = plan.measures(model2(spark, d), ["pairwise_temporal_mvgc"]).where("i <> j").select("i", "j", "value")
-    return rounded(checks.significance(checks.mvgc_pvalues(m, n_target=1, n_source=1, n_conditional=0, order=1, n_times=steps(hourly(spark, d)))), 8)
+    return rounded(checks.significance(checks.mvgc_pvalues(m, (1, 1, 0), 1, steps(hourly(spark, d)) - 1)), 8)
 
 
 # State space.
@@ -619,8 +619,8 @@ def var_cv_nll(spark, d):
 
 @query("numit_n2")
 def numit(spark, d):
-    coef, sigma = np.array([[[0.38, 0.12], [0.07, 0.31]]]), np.array([[1, 0.15], [0.15, 0.9]])
-    return rounded(ensembles.numit(ship(spark), coef, sigma, [0], [1], members=32, seed=2))
+    fit = models.fit_var(hourly(spark, d), TYPES2).select("coef", "sigma").first()  # one model
+    return rounded(ensembles.numit(spark, np.reshape(fit.coef, (1, 2, 2)), np.reshape(fit.sigma, (2, 2)), [0], [1], members=32, seed=2))
 
 
 @query("dependence_search_n5")
