@@ -149,6 +149,28 @@ def to_innovations(models: DataFrame) -> DataFrame:
     return kernel(models, INNOVATIONS, run)
 
 
+def varma_to_innovations(rows: DataFrame) -> DataFrame:
+    """Rows (model_id, n, p, q, ar, ma, sigma, status) of VARMA models, row-major by lag, to innovations rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for (n, p, q), own in pdf.groupby(["n", "p", "q"], sort=False):
+            parts.append(write_innovations(own["model_id"], M.varma_to_innovations(stack(own["ar"], int(p), int(n), int(n)), stack(own["ma"], int(q), int(n), int(n)), stack(own["sigma"], int(n), int(n)))))
+        return pd.concat(parts, ignore_index=True)
+
+    return kernel(rows, INNOVATIONS, run)
+
+
+def to_state_space(models: DataFrame) -> DataFrame:
+    """VAR rows to general systems (model_id, n, r, a, c, q, rr, status) without observation noise."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [x.reshape(len(pdf), -1) for x in M.var_to_state_space(*read_var(pdf))]
+        return pd.DataFrame({"model_id": pdf["model_id"], "n": pdf["n"], "r": pdf["n"] * pdf["p"], **{k: list(v) for k, v in zip(("a", "c", "q", "rr"), parts)}, "status": "ok"})
+
+    return kernel(models, "model_id string, n int, r int, a array<double>, c array<double>, q array<double>, rr array<double>, status string", run)
+
+
 def state_space_to_innovations(systems: DataFrame) -> DataFrame:
     """Rows (model_id, n, r, a, c, q, rr, status) of general state-space models to innovations rows by the Riccati equation."""
 

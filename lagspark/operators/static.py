@@ -139,7 +139,7 @@ def lagged_emergence(wide: DataFrame, channels: Sequence[str], rows: Sequence[Se
     far = lags_.lagged(wide, channels, lag)
     mean = wide.groupBy("series_id").agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(channels)])
     cross = far.join(mean, "series_id").groupBy("series_id").agg(F.array(*[F.sum((F.col(a) - F.col(f"__m{i}")) * (F.col(f"{b}_l{lag}") - F.col(f"__m{j}"))) / (F.count("*") - 1) for i, a in enumerate(channels) for j, b in enumerate(channels)]).alias("cross"))
-    names = ("psi", "delta", "gamma", "macro", "micro_to_macro")
+    names = ("psi", "delta", "gamma", "macro", "micro_to_macro", "macro_to_micro", "micro_to_micro")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -184,7 +184,7 @@ def var1_pooled(spark, d):
 
 @query("var2_n3")
 def var2(spark, d):
-    return rounded(models.fit_var(hourly(spark, d, TYPES3), TYPES3, 2).select("model_id", "rows", "radius", F.posexplode("coef").alias("k", "value")))
+    return rounded(models.fit_var(hourly(spark, d, TYPES3), TYPES3, 2).select("model_id", "rows", F.posexplode("coef").alias("k", "value")))
 
 
 _RES = BASE + ", res as (select l.series_id, l.t, purchase, click, c1 + a11*purchase_l1 + a12*click_l1 as p1, c2 + a21*purchase_l1 + a22*click_l1 as p2, v.* from lagged l, var1 v)"
@@ -693,3 +693,9 @@ def entry(spark: SparkSession, d: str = "/root/testdata/sf0.001") -> DataFrame:
     names = F.array(*[F.lit(c) for c in types])
     got = plan.measures(m, ["pairwise_temporal_mvgc"]).where("i <> j")
     return got.select(F.element_at(names, F.col("i") + 1).alias("source"), F.element_at(names, F.col("j") + 1).alias("target"), r("value").alias("value"))
+
+
+from . import identities, sql  # noqa: E402  They need the queries above.
+
+sql.attach(SQL, BASE, LYAPUNOV, SPECTRUM, _RES)
+identities.register(query)
