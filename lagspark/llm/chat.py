@@ -5,9 +5,9 @@ after an assistant.  A turn may be relabelled, merged into the one before, or
 preceded by empty turns; a dynamic program over the automaton's states chooses.
 One input turn is a small matrix of least costs from state to state, and these
 compose, so a conversation of any length is cut into blocks: blocks sum up
-their part as one matrix, the driver joins the matrices of the few parts that
-are cut by a block's edge, and every block then repairs its own turns between
-known states.
+their part as one matrix, matrices of many consecutive parts are composed in
+turn, and a route through these, then through the parts of each, gives every
+block the states between which it repairs its own turns.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ TURN = 1
 COST = 1 << 40
 NEVER = 1 << 60
 BLOCK_ROWS = 20_000
+#: Consecutive parts of one conversation that are composed before a route is chosen.
+SPAN = 1024
 SCHEMA = "conv_id long, seq long, turn_no long, role string, action string, source_turn long, text string, rendered string"
 
 
@@ -100,6 +102,21 @@ def repair(roles: list[int], entry: int = START, leave: int | None = None) -> tu
     return out[::-1], end
 
 
+def route(matrices: list[np.ndarray], entry: int = START, leave: int | None = None) -> list[int]:
+    """States before, between and after matrices along the cheapest way; leave None: to the state that is cheapest to close."""
+    cost = [np.where(np.arange(4) == entry, 0, NEVER)]
+    for m in matrices:
+        cost.append(np.minimum((cost[-1][:, None] + m).min(axis=0), NEVER))
+    states = [leave if leave is not None else min(range(4), key=lambda s: (cost[-1][s] + closing(s), s))]
+    for c, m in zip(cost[-2::-1], matrices[::-1]):
+        states.append(int(np.argmin(c + m[:, states[-1]])))
+    return states[::-1]
+
+
+def _turns(m: np.ndarray, a: int, b: int) -> int:
+    return int(m[a, b] % COST)
+
+
 def _parts(t: pa.Table) -> list[tuple[int, int]]:
     """Ranges of rows of one conversation, in a sorted block."""
     ids, out, at = t.column("conv_id").to_pylist(), [], 0
@@ -114,14 +131,77 @@ _ORDER = [("conv_id", "ascending"), ("turn", "ascending"), ("role", "ascending")
 
 
 def _sorted(t: pa.Table) -> pa.Table:
-    return t.take(pa.compute.sort_indices(t, sort_keys=_ORDER, null_placement="at_start"))
+    keys = [k for k in _ORDER if k[0] in t.column_names]
+    return t.take(pa.compute.sort_indices(t, sort_keys=keys, null_placement="at_start"))
 
 
 def _codes(t: pa.Table) -> list[int]:
     return [ROLES.get((r or "").strip().lower(), START) for r in t.column("role").to_pylist()]
 
 
-def format_chats(conversations: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _matrices(t: pa.Table) -> list[np.ndarray]:
+    return [np.array(m).reshape(4, 4) for m in t.column("m").to_pylist()]
+
+
+def _plans(blocks: DataFrame, span: int) -> DataFrame:
+    """(block, part, entry, leave, turns, first, last) of the parts of conversations that a block's edge cuts.
+
+    first is the block in which the conversation begins, turns the legal turns
+    before the part; leave is null at the end.  Only roles are read.
+    """
+
+    def edges(key: tuple, t: pa.Table) -> pa.Table:
+        t = _sorted(t)
+        parts, codes = _parts(t), _codes(t)
+        rows = []
+        for k in dict.fromkeys((0, len(parts) - 1)):
+            m = _UNIT
+            for r in codes[slice(*parts[k])]:
+                m = compose(m, _MATRIX[r])
+            conv = t.column("conv_id")[parts[k][0]].as_py()
+            rows.append(("null" if conv is None else str(conv), key[0].as_py(), k, m.ravel().tolist()))
+        types = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), types)], ["conv", "block", "part", "m"])
+
+    def fold(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        m = _UNIT
+        for x in _matrices(t):
+            m = compose(m, x)
+        return pa.table({"conv": pa.array([key[0].as_py()], pa.string()), "chunk": pa.array([key[1].as_py()], pa.int64()), "parts": pa.array([len(t)], pa.int64()), "block": pa.array([t.column("block")[0].as_py()], pa.int32()), "m": pa.array([m.ravel().tolist()], pa.list_(pa.int64()))})
+
+    def top(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk")
+        ms = _matrices(t)
+        own = sum(t.column("parts").to_pylist()) > 1
+        states, before = route(ms) if own else [], 0
+        rows = []
+        for k, chunk in enumerate(t.column("chunk").to_pylist() if own else []):
+            rows.append((key[0].as_py(), chunk, states[k], states[k + 1], before, t.column("block")[0].as_py(), k == len(ms) - 1))
+            before += _turns(ms[k], states[k], states[k + 1])
+        types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, types)], ["conv", "chunk", "entry", "leave", "turns", "first", "last"])
+
+    def within(key: tuple, t: pa.Table, plan: pa.Table) -> pa.Table:
+        rows = []
+        if len(plan) and len(t):
+            t, (p,) = t.sort_by("block"), plan.to_pylist()
+            ms, before = _matrices(t), p["turns"]
+            states = route(ms, p["entry"], p["leave"])
+            for k, (block, part) in enumerate(zip(t.column("block").to_pylist(), t.column("part").to_pylist())):
+                rows.append((block, part, states[k], states[k + 1], before, p["first"], p["last"] and k == len(ms) - 1))
+                before += _turns(ms[k], states[k], states[k + 1])
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, types)], ["block", "part", "entry", "leave", "turns", "first", "last"])
+
+    found = blocks.select("conv_id", "turn", "role", "block").groupBy("block").applyInArrow(edges, "conv string, block int, part int, m array<long>")
+    found = found.withColumn("chunk", F.floor(F.col("block") / span))
+    chunks = found.groupBy("conv", "chunk").applyInArrow(fold, "conv string, chunk long, parts long, block int, m array<long>")
+    ways = chunks.groupBy("conv").applyInArrow(top, "conv string, chunk long, entry int, leave int, turns long, first int, last boolean")
+    return found.groupBy("conv", "chunk").cogroup(ways.groupBy("conv", "chunk")).applyInArrow(within, "block int, part int, entry int, leave int, turns long, first int, last boolean")
+
+
+def format_chats(conversations: DataFrame, *, block_rows: int = BLOCK_ROWS, span: int = SPAN) -> DataFrame:
     """One row per turn of the repaired conversations that came in or was put in (SCHEMA).
 
     Rows of a conversation in the order of seq are its repaired form; turn_no
@@ -130,8 +210,9 @@ def format_chats(conversations: DataFrame, *, block_rows: int = BLOCK_ROWS) -> D
     turn opens with <|role|>, the one before it being closed with <|end|>.
     Turns are taken by turn, then role and text, nulls first; unknown or null
     roles are relabelled; null texts are empty; rows that repeat are turns of
-    their own; rows with a null conv_id form one conversation.  Other columns
-    are ignored.  No rows give no rows.
+    their own; rows with a null conv_id form one conversation.  A very long
+    conversation is cut into blocks, a very long text is one turn.  Other
+    columns are ignored, whatever their names.  No rows give no rows.
     """
     spark = conversations.sparkSession
     scratch = Scratch(spark, "chat")
@@ -140,26 +221,14 @@ def format_chats(conversations: DataFrame, *, block_rows: int = BLOCK_ROWS) -> D
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text", "tie")]
     blocks = scratch.put("blocks", slim.repartitionByRange(n, *order).select("*", F.spark_partition_id().alias("block")).drop("tie"))
 
-    def edges(key: tuple, t: pa.Table) -> pa.Table:
-        t = _sorted(t)
-        parts, codes = _parts(t), _codes(t)
-        rows = []
-        for k in dict.fromkeys((0, len(parts) - 1)):
-            m = _UNIT
-            for r in codes[slice(*parts[k])]:
-                m = compose(m, _MATRIX[r])
-            rows.append((key[0].as_py(), k, t.column("conv_id")[parts[k][0]].as_py(), m.ravel().tolist()))
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "conv_id": pa.array([r[2] for r in rows], pa.int64()), "m": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
-
-    found = blocks.groupBy("block").applyInArrow(edges, "block int, part int, conv_id long, m array<long>").collect()  # two rows a block at most
-    plan = _plan(sorted((r.block, r.part, r.conv_id, np.array(r.m).reshape(4, 4)) for r in found))
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
+    def run(key: tuple, t: pa.Table, plans: pa.Table) -> pa.Table:
         t, block = _sorted(t), key[0].as_py()
+        plan = {p["part"]: p for p in plans.to_pylist()}
         codes, texts, turns, ids = _codes(t), t.column("text").to_pylist(), t.column("turn").to_pylist(), t.column("conv_id").to_pylist()
         out: list[tuple] = []
         for k, (i, j) in enumerate(_parts(t)):
-            entry, leave, turn_no, seq, last = plan.get((block, k), (START, None, 0, 0, True))
+            p = plan.get(k, {"entry": START, "leave": None, "turns": 0, "first": block, "last": True})
+            entry, leave, turn_no, seq, last = p["entry"], p["leave"], p["turns"], (block - p["first"]) << 40, p["last"]
             path, end = repair(codes[i:j], entry, leave)
             open_ = entry != START
 
@@ -185,28 +254,5 @@ def format_chats(conversations: DataFrame, *, block_rows: int = BLOCK_ROWS) -> D
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
         return pa.table({c.split()[0]: pa.array(list(v), k) for c, v, k in zip(SCHEMA.split(", "), zip(*out), types)})
 
-    return blocks.groupBy("block").applyInArrow(run, SCHEMA)
-
-
-def _plan(edges: list[tuple]) -> dict:
-    """(block, part) -> (entry state, leaving state or None, turns before, rows before, whether it ends)."""
-    plan, i = {}, 0
-    while i < len(edges):
-        j = i + 1
-        while j < len(edges) and edges[j][2] == edges[i][2] and edges[j][0] != edges[j - 1][0] and edges[j][1] == 0:
-            j += 1
-        own = edges[i:j]
-        if len(own) > 1:
-            cost = [np.where(np.arange(4) == START, 0, NEVER)]
-            for e in own:
-                cost.append(np.minimum((cost[-1][:, None] + e[3]).min(axis=0), NEVER))
-            states = [min(range(4), key=lambda s: (cost[-1][s] + closing(s), s))]
-            for c, e in zip(cost[-2::-1], own[::-1]):
-                states.append(int(np.argmin(c + e[3][:, states[-1]])))
-            states = states[::-1]
-            turns = 0
-            for k, e in enumerate(own):
-                plan[e[0], e[1]] = (states[k], states[k + 1], turns, k << 40, k == len(own) - 1)
-                turns += int(e[3][states[k], states[k + 1]] % COST)
-        i = j
-    return plan
+    plans = _plans(blocks, span)
+    return blocks.groupBy("block").cogroup(plans.groupBy("block")).applyInArrow(run, SCHEMA)

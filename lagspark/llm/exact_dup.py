@@ -2,11 +2,13 @@
 
 Tasks first write segments: every row with the hash key of its text without
 white space; the text itself travels once per run of equal texts in a task (its
-carrier), so copies are combined before any shuffle.  A histogram of keys grows
-the directory: while a bucket holds more bytes than its capacity it is split,
-and the directory doubles when the bucket is as deep as the directory.  Each
-owner task then reads the key range of its buckets in key order, keeps a chain
-of the different texts under one key, and compares bytes along it.
+carrier), so copies are combined before any shuffle.  Of a text that very many
+tasks carry, groups of carriers are compared first, so that a few of each group
+reach the owner.  A histogram of keys grows the directory: while a bucket holds
+more bytes than its capacity it is split, and the directory doubles when the
+bucket is as deep as the directory.  Each owner task then reads the key range of
+its buckets in key order, keeps a chain of the different texts under one key,
+and compares bytes along it.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import Scratch
+from .shared import Scratch, partitions, whole
 
 #: Bytes of text that a bucket holds before it is split.
 CAPACITY = 32 << 20
 #: Bytes of different texts that a task remembers; beyond, it starts a new run.
 REMEMBER = 16 << 20
 MAX_DEPTH = 20
+#: Carriers of one key from which they are compared in groups first.
+MANY = 64
 _DELETE = T.WHITE.encode()
 
 
@@ -126,19 +130,34 @@ def _owners(carriers: DataFrame, buckets: int) -> DataFrame:
     return carriers.repartitionById(buckets, "bucket").sortWithinPartitions("key", "carrier").select("key", "carrier", "plain").mapInArrow(T.lean(run), "carrier long, leader long")
 
 
-def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def _thinned(carriers: DataFrame, scratch: Scratch, many: int) -> tuple[DataFrame, DataFrame | None]:
+    """(carriers, (carrier, stands)): of keys with over `many` carriers, groups of them are compared, and one of equal bytes stands for each group."""
+    count = carriers.groupBy("key").agg(F.count("*").alias("c")).where(f"c > {many}")
+    count = scratch.put("many", count)
+    if count.isEmpty():
+        return carriers, None
+    groups = F.ceil(F.sqrt("c"))
+    hot = carriers.join(count.hint("merge"), "key").withColumn("bucket", F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("carrier"), groups)), F.lit(1 << 30)))
+    tasks = partitions(scratch.spark)
+    owned = _owners(hot.withColumn("bucket", F.pmod("bucket", F.lit(tasks)).cast("int")).select("bucket", F.xxhash64("key", "bucket").alias("key"), "carrier", "plain"), tasks)
+    stands = scratch.put("stands", owned.select("carrier", F.col("leader").alias("stands")))
+    fewer = carriers.join(stands.where("carrier <> stands").select("carrier"), "carrier", "left_anti")
+    return scratch.put("carriers", fewer.select("key", "carrier", "plain")), stands
+
+
+def decisions(docs: DataFrame, capacity: int = CAPACITY, many: int = MANY) -> DataFrame:
     """One row per row of docs: doc_id, h, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space; null counts as empty.
     Of equal texts the row with the most code points stays, then the smallest
     doc_id, nulls last; of rows that repeat both, exactly one stays.  h is the
-    xxhash64 of the original text.  Other columns are ignored; an empty table
-    gives an empty result.
+    xxhash64 of the original text.  A very long text is held whole by its owner.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dup")
     seg = scratch.put("segments", _segments(docs))
-    carriers = seg.where("carrier = row_id")
+    carriers, stands = _thinned(seg.where("carrier = row_id"), scratch, many)
     total = carriers.agg(F.sum(F.octet_length("plain") + 64)).first()[0] or 0
     d = min(MAX_DEPTH, max(4, int(np.ceil(np.log2(max(1, total / capacity)))) + 4))
     weights = np.zeros(1 << d)
@@ -151,6 +170,9 @@ def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     else:
         placed = carriers.withColumn("bucket", F.lit(0))
     index = scratch.put("index", _owners(placed.select("bucket", "key", "carrier", "plain"), len(directory.buckets)))
+    if stands is not None:
+        rest = stands.where("carrier <> stands").join(index.withColumnRenamed("carrier", "stands"), "stands").select("carrier", "leader")
+        index = scratch.put("index", index.unionByName(rest))
 
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("low"), F.bitwise_not("row_id").alias("row")))
     own = seg.groupBy("carrier").agg(best.alias("best"), F.count("*").alias("size"), F.max("sha").alias("sha")).join(index, "carrier")
@@ -164,13 +186,18 @@ def decisions(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    every = Scratch(docs.sparkSession, "exact-dup").put("decisions", decisions(docs, capacity).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "kept"))
-    cols, marked = docs.columns, docs.withColumn("__h2", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h"))
-    out = marked.join(every.where("kept").drop("kept"), same, "left_semi")
-    # Rows that repeat doc_id and text pass together; of these one is kept.
-    again = every.groupBy("__id", "__h").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    """The rows of docs that stay, with all their columns, whatever their names: one of each group of equal texts.
+
+    Null, empty and blank texts are equal to each other; ties go to the
+    smallest doc_id, nulls last.  Of rows that repeat both doc_id and text, the
+    one with the least hash of all its columns stays.  An empty table stays empty.
+    """
+    every = Scratch(docs.sparkSession, "exact-dup").put("decisions", decisions(docs, capacity).select(F.col("doc_id").alias("id2"), F.col("h").alias("h2"), "kept"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), whole(docs))
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
+    out = rows.join(every.where("kept").select("id2", "h2").distinct(), same, "left_semi")
+    again = every.groupBy("id2", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     if not again.isEmpty():
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__h2"]))
-    return out.select(*cols)
+        one = out.join(again, same, "left_semi").groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.join(again, same, "left_anti").unionByName(one)
+    return out.select("row.*")

@@ -27,12 +27,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e1 = scratch.put("large", large)
-        low = e1.groupBy("a").agg(F.min("b").alias("m"))
-        small = e1.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e2 = scratch.put("small", small)
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        e2 = scratch.put("edges", small)
         now = _digest(e2)
-        scratch.drop(e, e1)
+        scratch.drop(e)
         e = e2
         if now == seen:
             break

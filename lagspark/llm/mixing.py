@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from . import text as T
-from .shared import Scratch
+from .shared import Scratch, whole
 
-BUCKETS = 1024
+#: Buckets of keys: one for so many rows, and at least as many.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 1024
+#: Sources that one window holds; more are ordered in ranges.
+TASK_SOURCES = 1_000_000
 
 
 def n_words(column: str = "text") -> Column:
@@ -27,31 +30,47 @@ def n_words(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(T.WORD_RE)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: Sequence[float], most: int = 3) -> DataFrame:
+def _before(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column], most: int) -> DataFrame:
+    """rows with running sums of what comes before each in the order; over `most` rows in two levels, by ranges."""
+    n = rows.count()
+    if n <= most:
+        w = W.Window.orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
+        return rows.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(k) for k, c in sums.items()])
+    ranged = rows.repartitionByRange(-(-n // most), *order).withColumn("part", F.spark_partition_id())
+    ranged = Scratch(rows.sparkSession, "mixing").put("ranged", ranged)
+    parts = ranged.groupBy("part").agg(*[F.sum(c).alias(f"{k}_part") for k, c in sums.items()])  # a row for `most` rows
+    w = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    parts = parts.select("part", *[F.coalesce(F.sum(f"{k}_part").over(w), F.lit(0)).alias(f"{k}_part") for k in sums])
+    w = W.Window.partitionBy("part").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
+    own = ranged.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(k) for k, c in sums.items()])
+    return own.join(parts, "part").select(*rows.columns, *[(F.col(k) + F.col(f"{k}_part")).alias(k) for k in sums])
+
+
+def targets(sizes: DataFrame, weights: Sequence[float], most: int = 3, task_sources: int = TASK_SOURCES) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     Sources in code point order, null last, take the weights in turn and share
     the sum of all sizes; none gets more than `most` times its size, and the
     excess is shared again by weight.  That fixed point is water filling:
     sources in order of capacity by weight are capped until one isn't.
-    One row per source passes through a single window partition.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    order = W.Window.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("w", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    everything = W.Window.partitionBy()
-    s = s.withColumn("cap", F.col("source_size") * most).withColumn("total", F.sum("source_size").over(everything)).withColumn("all_w", F.sum("w").over(everything))
-    before = W.Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(W.Window.unboundedPreceding, -1)
-    s = s.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("left_w", F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    s = _before(sizes, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, task_sources)
+    s = s.select("source", "source_size", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")).alias("w"), (F.col("source_size") * most).alias("cap"))
+    s = _before(s, [F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()], {"cap_before": F.col("cap"), "w_before": F.col("w")}, task_sources)
+    all_size, all_w = s.agg(F.sum("source_size"), F.sum("w")).first()
+    if all_w is None:
+        return s.select("source", "source_size", F.lit(0.0).alias("target"))
+    s = s.withColumn("left", F.lit(all_size) - F.col("cap_before")).withColumn("left_w", F.lit(all_w) - F.col("w_before"))
     s = s.withColumn("full", F.col("cap") * F.col("left_w") < F.col("w") * F.col("left"))
     # The first source that isn't full sets the level of all that follow.
-    level = F.min_by(F.struct("left", "left_w"), F.when(~F.col("full"), F.col("cap") / F.col("w"))).over(everything)
-    s = s.withColumn("level", level)
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("level.left") / F.col("level.left_w"))
+    level = s.where("not full").agg(F.min_by(F.struct("left", "left_w"), F.struct(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")).alias("v")).select("v.*").first()
+    share = F.lit(None).cast("double") if level[0] is None else F.col("w") * F.lit(float(level[0])) / F.lit(float(level[1]))
+    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share)
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, *, row: Column | None = None, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "", buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, *, row: Column | None = None, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "", buckets: int | None = None, task_sources: int = TASK_SOURCES) -> DataFrame:
     """(row, doc_id, size, source_size, target, taken, copies) of every row of docs.
 
     `row` is what is carried along of an input row: by default all of it, as a
@@ -60,9 +79,12 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, row: Column | None
     counts.  taken = size * copies is at most `most` times the size.  Null or
     blank texts have size 0 and are never taken; a null source is a source; a
     null doc_id draws like the text 'null'; rows that repeat a doc_id draw
-    alike and are ordered by size.  An empty table gives an empty result.
+    alike and are ordered by size; a very long text is taken whole or not.  An
+    empty table gives an empty result.
     """
-    base = docs.select((F.struct(*docs.columns) if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, docs.count() // BUCKET_ROWS)
+    base = docs.select(whole(docs) if row is None else row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
     weight = F.lit(1.0)
     if quality is not None:
         label = quality.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("q_id")).agg(F.max("quality").alias("q"))
@@ -76,7 +98,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, row: Column | None
     cells = base.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
     by_source = W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("cell").over(by_source), F.lit(0)))
-    goals = targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")), weights, most)
+    sizes = Scratch(docs.sparkSession, "mixing").put("sizes", cells.groupBy("source").agg(F.sum("cell").alias("source_size")))
+    goals = targets(sizes, weights, most, task_sources)
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goals = goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     cells = cells.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before", "source_size", "target", "epochs", "rest")
@@ -90,22 +113,22 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, row: Column | None
 
 
 def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it.
+    """The rows of docs with all their columns, whatever their names, each as often as the mix takes it.
 
     The mix is made on ids and hashes of the texts; texts are shuffled once, to
-    meet their numbers of copies.
+    meet their numbers of copies.  Null, empty and blank texts are never taken;
+    rows that repeat an id, text and source share their copies out, in the order
+    of the hashes of all their columns.  An empty table stays empty.
     """
     same = lambda: F.xxhash64("text", "source")
     named = F.struct(F.col("doc_id").cast("long").alias("id"), same().alias("h"))
     taken = mix(docs, quality, row=named, **options).groupBy("row.id", "row.h").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
-    taken = Scratch(docs.sparkSession, "mixing").put("copies", taken.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("all").alias("__all"), F.col("rows").alias("__rows")))
-    rows = docs.withColumn("__own", same())
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h"))
-    copies = F.col("__all")
-    rows = rows.join(taken.where("__all > 0"), match)
-    if not taken.where("__rows > 1").isEmpty():  # rows that repeat an id and text share their copies out
-        nth = F.row_number().over(W.Window.partitionBy("__id", "__h").orderBy(F.lit(1)))
-        rows = rows.withColumn("__n", nth)
-        copies = F.floor(F.col("__all") / F.col("__rows")) + (F.col("__n") <= F.col("__all") % F.col("__rows")).cast("long")
-    rows = rows.withColumn("__copies", copies).where("__copies > 0")
-    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    taken = Scratch(docs.sparkSession, "mixing").put("copies", taken.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "all", "rows"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), same().alias("h"), whole(docs))
+    rows = rows.join(taken.where("all > 0"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
+    copies = F.col("all")
+    if not taken.where("rows > 1").isEmpty():
+        rows = rows.withColumn("nth", F.row_number().over(W.Window.partitionBy("id2", "h2").orderBy(F.xxhash64("row"))))
+        copies = F.floor(F.col("all") / F.col("rows")) + (F.col("nth") <= F.col("all") % F.col("rows")).cast("long")
+    rows = rows.withColumn("copies", copies).where("copies > 0")
+    return rows.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "row").select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .graph import components
-from .shared import Scratch, partitions
+from .shared import Scratch, partitions, whole
 
 CIRCLE_BITS = 20
 #: Members of one comparison chunk; a centre's text is repeated once per chunk.
@@ -163,31 +163,42 @@ def _star(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     ranked = rows.join(degree, "rep")
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("neg"), "n", "m", "label")).alias("c")).select("key", (-F.col("c.neg")).alias("a"), F.col("c.n").alias("an"), F.col("c.m").alias("am"), F.col("c.label").alias("al"))
     centre = scratch.put("centres", centre)
-    return rows.join(centre, "key").where(f"label <> al and {_possible(percent, '', 'a')}").select("a", F.col("rep").alias("b")).distinct()
+    return rows.join(centre.hint("merge"), "key").where(f"label <> al and {_possible(percent, '', 'a')}").select("a", F.col("rep").alias("b")).distinct()
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
-    """rows with the count of their key, for keys that have two or more."""
+    """rows with the count of their key, for keys that have two or more.
+
+    Here and below, joins by key are merge joins, even with small tables: a
+    crowd of near copies makes hot keys, and a merge join can be split.
+    """
     count = rows.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    return rows.join(count, "key")
+    return rows.join(count.hint("merge"), "key")
 
 
 def _unresolved(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with labels, of buckets whose members are in several components."""
     own = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return own.join(mixed, "key")
+    return own.join(mixed.hint("merge"), "key")
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of members in different components of a bucket that often-shared
-    shingles alone could link; each pair by the first of the buckets it shares."""
+    shingles alone could link; each pair by the first of the buckets it shares.
+
+    Most members of a crowd's bucket are in one component.  Only the others are
+    paired, with members of other components.
+    """
     rows = rows.where(f"100 * often >= {percent} * n")
     keys = rows.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most one key a band
     rows = rows.join(keys, "rep")
-    x, y = rows.alias("x"), rows.alias("y")
-    near = f"x.rep < y.rep and x.label <> y.label and {_possible(percent, 'x.', 'y.', 'often')} and array_min(array_intersect(x.keys, y.keys)) = x.key"
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(near)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    major = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most")).select("key", F.col("most.label").alias("major"))
+    x, y = rows.join(major.hint("merge"), "key").where("label <> major").alias("x"), rows.alias("y")
+    once = "(y.label = x.major or x.rep < y.rep)"
+    near = f"x.label <> y.label and {once} and {_possible(percent, 'x.', 'y.', 'often')} and array_min(array_intersect(x.keys, y.keys)) = x.key"
+    return x.hint("merge").join(y, (F.col("x.key") == F.col("y.key")) & F.expr(near)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
 
 
 def _beside(pairs: DataFrame, shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +219,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
     of docs are ignored, whatever their names.  A null or blank text has no
     shingles and is linked with nothing (class_id null).  A null doc_id is never linked: its component_id
     is null and it is kept.  Rows that repeat a doc_id stand for one document
-    and share its component.  An empty table gives an empty result.
+    and share its component; of documents that tie, the smallest doc_id names
+    the component.  A very long text is one set of shingles in one task.  An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "near-dup"), partitions(spark)
@@ -219,14 +232,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
 
     # A doc_id that repeats with different texts links its classes.
     again = scratch.put("repeated", real.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
-    named = real.join(again, "doc_id", "left_semi").join(classes.select("fa", "fb", "rep"), ["fa", "fb"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = [scratch.put("same-id", named)]
+    unique, edges = again.isEmpty(), []
+    if not unique:
+        named = real.join(again, "doc_id", "left_semi").join(classes.select("fa", "fb", "rep"), ["fa", "fb"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        edges.append(scratch.put("same-id", named))
 
     # Texts of representatives that meet any other in a bucket.
     meet = buckets.select(F.col("rep").alias("doc_id")).distinct()
     keyed = classes.join(meet, classes.rep == meet.doc_id, "left_semi").select(F.col("rep").alias("doc_id"), "fa", "fb", "n")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(keyed, "doc_id")
-    texts = scratch.put("texts", texts if again.isEmpty() else _first_of(texts, words))
+    texts = scratch.put("texts", texts if unique else _first_of(texts, words))
     rare = scratch.put("rare", _rare(texts, words))
     shared = scratch.put("shared", _shared(texts, rare))
     buckets = scratch.put("buckets", _bucketed(buckets.drop("cnt").join(shared.where(f"100 * m >= {percent} * n").drop("n"), "rep")))
@@ -271,9 +286,11 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one document of each component.
+    """The rows of docs that stay, with all their columns, whatever their names: one document of each component.
 
-    Rows without words stay; where rows repeat the doc_id that stays, so do they.
+    Rows with null or blank texts stay, and so do null doc_ids; where rows
+    repeat the doc_id that stays, so do they.  An empty table stays empty.
     """
-    drop = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
+    drop = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("drop")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole(docs))
+    return rows.join(drop, F.col("id") == F.col("drop"), "left_anti").select("row.*")

@@ -25,6 +25,7 @@ MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 50, 3, 50
 #: Repeats of fewer words don't count; limits on the repeated part and on the longest repeat.
 MIN_REPEAT, COVERED_PERCENT, LONGEST_WORDS = 5, 40, 100
 
+_POWER = T.stream(1, 404)[0]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long"
@@ -36,11 +37,13 @@ def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def longest_repeats(ids: np.ndarray) -> np.ndarray:
-    """For each suffix of ids, the length of its longest prefix that another suffix starts with.
+    """For each suffix of ids (64-bit hashes), the length of its longest prefix that another suffix starts with.
 
-    Prefix doubling keeps, per level k, ranks by the first 2**k ids; only
-    suffixes that still tie are sorted again.  Neighbours' common prefixes come
-    from descending through the levels.
+    Prefix doubling ranks suffixes by their first 1, 2, 4, .. ids; only those
+    that still tie are sorted again.  The common prefixes of neighbours, which
+    bound the LCP intervals, come from halving steps over prefix sums of the
+    ids times powers.  Memory is a few numbers per word, however repetitive
+    the text is.
     """
     n = len(ids)
     out = np.zeros(n, np.int64)
@@ -49,17 +52,16 @@ def longest_repeats(ids: np.ndarray) -> np.ndarray:
     order = np.argsort(ids, kind="stable")
     own = ids[order]
     fresh = np.concatenate(([True], own[1:] != own[:-1]))
-    rank = np.empty(n, np.int64)
+    rank = np.full(n + 1, -1, np.int64)
     rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    levels = [np.concatenate((rank, [-1]))]
     tied = np.concatenate((~fresh, [False]))
     active = order[tied[:-1] | tied[1:]]
-    span = 1
-    tie0 = active
+    del order, own, fresh, tied
+    tie0, span = active, 1
     while len(active):
         ahead = active + span
-        second = np.where(ahead < n, levels[-1][np.minimum(ahead, n)] + 1, 0)
-        group = levels[-1][active]
+        second = np.where(ahead < n, rank[np.minimum(ahead, n)] + 1, 0)
+        group = rank[active]
         key = group * np.int64(n + 2) + second
         o = np.argsort(key, kind="stable")
         active, group, key = active[o], group[o], key[o]
@@ -67,21 +69,24 @@ def longest_repeats(ids: np.ndarray) -> np.ndarray:
         top = np.concatenate(([True], group[1:] != group[:-1]))
         j = np.arange(len(active))
         place = group + j - np.maximum.accumulate(np.where(top, j, 0))
-        rank = levels[-1].copy()
         rank[active] = place[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        levels.append(rank)
         tied = np.concatenate((~fresh, [False]))
         active = active[tied[:-1] | tied[1:]]
         span *= 2
     # Suffix array of the suffixes that share a first id, and common prefixes of neighbours.
-    sa = tie0[np.argsort(levels[-1][tie0], kind="stable")]
-    a, b = sa[:-1].copy(), sa[1:].copy()
-    common = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        same = (levels[k][a] == levels[k][b]) & (a < n) & (b < n)
-        step = same.astype(np.int64) << k
-        common += step
-        a, b = np.minimum(a + step, n), np.minimum(b + step, n)
+    sa = tie0[np.argsort(rank[tie0], kind="stable")]
+    del rank
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, _POWER))))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * power[:n], dtype=np.uint64)))
+        a, b = sa[:-1], sa[1:]
+        common = np.zeros(len(a), np.int64)
+        for k in range(span.bit_length() - 1, -1, -1):
+            x, y = a + common, b + common
+            at = np.flatnonzero(np.maximum(x, y) + (1 << k) <= n)
+            x, y = x[at], y[at]
+            same = (sums[x + (1 << k)] - sums[x]) * power[n - x] == (sums[y + (1 << k)] - sums[y]) * power[n - y]
+            common[at[same]] += 1 << k
     best = np.zeros(len(sa), np.int64)
     best[:-1] = common
     best[1:] = np.maximum(best[1:], common)
@@ -158,13 +163,20 @@ def rules(docs: DataFrame, *, covered_percent: int = COVERED_PERCENT, longest_wo
 
 
 def kept_rows(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that pass, with all their columns; judged in place, without a shuffle."""
-    cols = docs.columns
+    """The rows of docs that pass, with all their columns, whatever their names; judged in place, without a shuffle.
+
+    Null, empty and blank texts have no words and go; repeated rows pass or go
+    together; a very long text is judged whole, in memory that grows with its
+    words only.  An empty table stays empty.
+    """
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # a dot in a name would be read as a field
+    text = f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         covered, longest = limits.get("covered_percent", COVERED_PERCENT), limits.get("longest_words", LONGEST_WORDS)
         for batch in batches:
-            buf, offs = T.flat(batch.column("text"))
+            buf, offs = T.flat(batch.column(text).cast(pa.large_string()))
             good = [np.zeros(0, bool)]
             for i, j in T.passes(offs):
                 own = offs[i : j + 1] - offs[i]
@@ -172,4 +184,4 @@ def kept_rows(docs: DataFrame, **limits) -> DataFrame:
                 good.append((m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= REPEAT_PERCENT * m["n_words"]) & (100 * m["covered_words"] <= covered * m["n_words"]) & (m["longest_repeat"] <= longest))
             yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.select(*cols).mapInArrow(T.lean(run), docs.schema)
+    return plain.mapInArrow(T.lean(run), plain.schema).toDF(*docs.columns)

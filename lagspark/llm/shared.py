@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names the folder.  Where it is unset, as in tests on
-one machine, a temporary folder is made and set.  Tables are Parquet files that
-Spark itself writes and reads, so a lost executor takes nothing with it.
+``spark.checkpoint.dir`` names the folder.  Where it is unset and all runs on
+one machine, as in tests, a temporary folder is made and set; on a cluster that
+is an error.  Tables are Parquet files that Spark itself writes and reads, so a
+lost executor takes nothing with it.
 """
 
 from __future__ import annotations
@@ -12,13 +13,17 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
     """The shared folder; set to a temporary one where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="lagspark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -58,5 +63,10 @@ class Scratch:
         self.kept = [p for p in self.kept if p in own]
 
 
+def whole(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of a table as one struct, so that no other column can clash with theirs."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -408,15 +408,15 @@ def cheapest(roles):
                 heapq.heappush(queue, (c, j, q))
 
 
-@pytest.mark.parametrize("block_rows", [20_000, 3])
-def test_chats(spark, block_rows):
+@pytest.mark.parametrize("block_rows, span", [(20_000, 1024), (3, 1024), (3, 2)])
+def test_chats(spark, block_rows, span):
     rng = random.Random(8)
     kinds = ["user", "assistant", "system", "tool", None, " User "]
     rows = [(c, t, rng.choice(kinds), f"{c}.{t}" if t % 5 else None) for c in range(12) for t in range(rng.randrange(1, 9))]
-    rows += [(77, t, rng.choice(kinds[:3]), str(t)) for t in range(60)] + [(None, 1, "user", "n"), (99, None, "assistant", "a"), (98, 1, "user", "tie"), (98, 1, "user", "tie")]
+    rows += [(77, t, rng.choice(kinds[:3]), str(t)) for t in range(60)] + [(None, 1, "user", "n"), (99, None, "assistant", "a"), (98, 1, "user", "tie"), (98, 1, "user", "tie"), (97, 1, "user", "long " * 200_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, seq string")
     got = {}
-    for r in chat.format_chats(df, block_rows=block_rows).collect():
+    for r in chat.format_chats(df, block_rows=block_rows, span=span).collect():
         got.setdefault(r.conv_id, []).append(r)
     convs = {}
     for r in rows:
@@ -583,6 +583,61 @@ def test_quality_weights_shift_the_draw(spark):
     assert p[1] > p[0] + 0.2
 
 
+def test_mixing_orders_many_sources_in_ranges(docs):
+    pick = lambda df: sorted(key((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken)) for r in df.collect())
+    assert pick(mixing.mix(docs, task_sources=2)) == pick(mixing.mix(docs))
+
+
+def test_exact_duplicates_of_a_text_in_very_many_tasks(spark):
+    rows = [(i, ("same  text" if i % 3 else "same text") if i % 2 else f"own {i}") for i in range(400)] + [(1000 + i, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    few, plain = exact_dup.decisions(df, many=4), exact_dup.decisions(df, many=10**9)
+    pick = lambda d: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in d.collect())
+    assert pick(few) == pick(plain) and sum(r[3] for r in pick(few)) == 202
+    assert {r[1:3] for r in pick(few) if r[0] % 2 and r[0] < 1000} == {(1, 200)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the operators use themselves, in rows with ties, repeats and nulls."""
+    names = ["id", "h", "id2", "h2", "row", "all", "rows", "copies", "nth", "drop", "__id", "__h", "__drop", "__all", "__own", "a.b", "col", "kept", "bucket", "key", "label", "size"]
+    rng = random.Random(14)
+    text = prose(rng, 80, 5000)
+    rows = [(i, t, "en", "s", 1, *[f"{i}{n}" for n in names]) for i, t in enumerate([text, text, prose(rng, 80, 5000), None, "", prose(rng, 90, 5000)])]
+    rows += [rows[2], (2, rows[2][1], "en", "s", 1, *["other"] * len(names)), (None, text, None, None, None, *[None] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for stage, n in ((exact_dup.deduplicate, 4), (near_dup.deduplicate, 8), (quality.kept_rows, 7)):
+        out = stage(df)
+        assert out.columns == df.columns and out.count() == n and set(map(tuple, out.collect())) <= set(map(tuple, df.collect()))
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == df.columns and set(map(tuple, mixed.collect())) <= set(map(tuple, df.collect()))
+    assert exact_dup.deduplicate(df.repartition(7)).exceptAll(exact_dup.deduplicate(df.coalesce(1))).count() == 0
+
+
+def test_very_long_repetitive_texts():
+    import tracemalloc
+
+    tracemalloc.start()
+    got = quality.longest_repeats(np.full(300_000, 77, np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == np.maximum(np.arange(300_000)[::-1], np.arange(300_000)[::-1] + 1 - (np.arange(300_000) == 0))).all() and peak < 300_000 * 150
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    from lagspark.llm import shared
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Session.conf)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.folder(Session)
+
+
 def test_empty_tables(spark, empty, tmp_path):
     assert near_dup.near_duplicates(empty).count() == 0 and near_dup.deduplicate(empty).count() == 0
     assert exact_dup.decisions(empty).count() == 0 and exact_dup.deduplicate(empty).count() == 0
