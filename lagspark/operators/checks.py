@@ -150,20 +150,34 @@ def folds(n_times: int, spark, *, k: int = 5, test: int | None = None, min_train
     return spark.createDataFrame(rows, "fold int, train_end long, test_start long, test_end long")
 
 
+def _fold_rows(wide: DataFrame, channels: Sequence[str], fold_table: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """(training, test) rows of every fold, as series named series#fold; a range join with a parameter table."""
+    first = wide.groupBy("series_id").agg(F.min("t").alias("__t0"))
+    rows = wide.join(first, "series_id").withColumn("__u", F.col("t") - F.col("__t0"))
+    f = F.broadcast(fold_table)  # k rows
+    name = F.concat_ws("#", "series_id", F.col("fold").cast("string")).alias("series_id")
+    train = rows.join(f, F.col("__u") < F.col("train_end")).select(name, "t", *channels)
+    test = rows.join(f, (F.col("__u") >= F.col("test_start") - order) & (F.col("__u") < F.col("test_end"))).select(name, "t", *channels)
+    return train, test
+
+
+def out_of_sample(wide: DataFrame, channels: Sequence[str], order: int, fold_table: DataFrame) -> DataFrame:
+    """series_id, fold, channel, rmse, nmse, r2 of one-step errors on each fold's test rows, by the VAR of its training rows."""
+    train, test = _fold_rows(wide, channels, fold_table, order)
+    got = fit_summary(models_.predictions(test, models_.fit_var(train, channels, order), channels, order), len(channels))
+    parts = F.regexp_extract("series_id", "^(.*)#([0-9]+)$", 1), F.regexp_extract("series_id", "^(.*)#([0-9]+)$", 2).cast("int")
+    return got.select(parts[0].alias("series_id"), parts[1].alias("fold"), "channel", "rmse", "nmse", "r2")
+
+
 def var_cross_validation(wide: DataFrame, channels: Sequence[str], orders: Sequence[int], fold_table: DataFrame, rule: str = "best", scoring: str = "rmse") -> DataFrame:
     """order, fold, score (rmse or nll) of rolling one-step predictions, with each order's mean and the choice.
 
     Rows join the folds as a range join with a parameter table; all folds of an
     order are fitted in one pass, as series named by the fold.
     """
-    first = wide.groupBy("series_id").agg(F.min("t").alias("__t0"))
-    rows = wide.join(first, "series_id").withColumn("__u", F.col("t") - F.col("__t0"))
-    f = F.broadcast(fold_table)  # k rows
-    name = F.concat_ws("#", "series_id", F.col("fold").cast("string")).alias("series_id")
     parts = []
     for p in orders:
-        train = rows.join(f, F.col("__u") < F.col("train_end")).select(name, "t", *channels)
-        test = rows.join(f, (F.col("__u") >= F.col("test_start") - p) & (F.col("__u") < F.col("test_end"))).select(name, "t", *channels)
+        train, test = _fold_rows(wide, channels, fold_table, p)
         got = models_.predictions(test, models_.fit_var(train, channels, p), channels, p)
         if scoring == "nll":
             got, score = models_.negative_log_likelihood(got, len(channels)), F.avg("nll")

@@ -21,12 +21,13 @@ def entropies(rows: DataFrame, sets: Sequence[Sequence[str]], by: Sequence[str]
     One aggregation with grouping sets counts all code combinations at once.
     """
     cols = list(dict.fromkeys(c for s in sets for c in s))
-    parts = []
-    for k, s in enumerate(sets):
-        key = F.struct(*[(F.col(c) if c in s else F.lit(None)).alias(c) for c in cols])
-        parts.append(F.struct(F.lit(k).alias("set"), key.alias("code")))
-    each = rows.select(*by, F.explode(F.array(*parts)).alias("p")).select(*by, "p.set", "p.code")
-    counts = each.groupBy(*by, "set", "code").agg(F.count("*").alias("c"))
+    distinct = list(dict.fromkeys(frozenset(s) for s in sets))
+    grouped = rows.groupingSets([[*by, *[c for c in cols if c in s]] for s in distinct], *by, *cols)
+    counts = grouped.agg(F.count("*").alias("c"), F.grouping_id().alias("gid"))
+    # grouping_id has a bit for every column that a set leaves out, the first column's the highest.
+    gid = lambda s: sum(1 << (len(cols) - 1 - k) for k, c in enumerate(cols) if c not in s)
+    names = rows.sparkSession.createDataFrame([(gid(set(s)), k) for k, s in enumerate(sets)], "gid long, set int")
+    counts = counts.join(F.broadcast(names), "gid")  # a row per set
     total = counts.groupBy(*by, "set").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("s"))
     return total.select(*by, "set", "n", ((F.ln("n") - F.col("s") / F.col("n")) / math.log(base)).alias("entropy"))
 

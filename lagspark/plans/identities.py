@@ -194,6 +194,15 @@ def estimators(spark, d):
     return out
 
 
+def out_of_sample(spark, d):
+    """The mean square over channels of each fold's test errors is the square of its cross-validation score."""
+    w = Qs.hourly(spark, d)
+    own = checks.out_of_sample(w, Qs.TYPES2, 1, Qs.folds_of(w)).groupBy("fold").agg(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))).alias("own"), F.max(F.abs(1 - F.col("nmse") - F.col("r2"))).alias("r2"))
+    score = checks.var_cross_validation(w, Qs.TYPES2, [1], Qs.folds_of(w)).select("fold", "rmse")
+    got = own.join(score, "fold").agg((F.round(F.max(F.abs(F.col("own") - F.col("rmse"))), 6) + 0.0).alias("score"), (F.round(F.max("r2"), 6) + 0.0).alias("shares"), (F.count("*") - 3.0).alias("folds"))
+    return got.unpivot([], ["score", "shares", "folds"], "identity", "value")
+
+
 def empirical_spectrum(spark, d):
     """A VAR with causality: the empirical spectral form integrates to the temporal one."""
     w = Qs.hourly(spark, d, Qs.TYPES3)
@@ -273,6 +282,7 @@ QUERIES = {
     "transformations": (transformations, "marginal rows third still same general same_variance"),
     "moving_averages": (moving_averages, "ma_variance ma_first ma_second ar_row arma_variance arma_second"),
     "estimators": (estimators, "normal_equations likelihood_falls unstable_lattice unstable_states small_sample one_order one_state_order one_rank"),
+    "out_of_sample": (out_of_sample, "score shares folds"),
     "empirical_spectrum": (empirical_spectrum, "integral"),
     "ensembles": (ensembles_, "partitions shared_noise block_intervals residual_intervals state_space_intervals null_quantiles"),
     "dependence": (dependence, "exact_adaptive exact_armijo symmetric_distance own_distance more_candidates loadings"),

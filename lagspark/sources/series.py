@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+#: Steps that one array or window holds.
+BLOCK = 1 << 16
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -16,7 +18,18 @@ def grid_step(time: str, unit: str) -> Column:
     return F.expr(f"timestampdiff({unit}, {EPOCH}, {time})")
 
 
-def regularise(events: DataFrame, *, time: str, unit: str, value: Column | str, channels: Sequence[str], channel: Column | str, series: Column | None = None, how: str = "sum", fill: float | str | None = 0.0) -> DataFrame:
+def _carried(rows: DataFrame, channels: Sequence[str], block: int) -> DataFrame:
+    """Last values carried on: within blocks of steps, and from the blocks before."""
+    rows = rows.withColumn("__block", F.floor(F.col("t") / block))
+    ends = rows.groupBy("series_id", "__block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("t"))).alias(f"__{c}") for c in channels])
+    earlier = W.Window.partitionBy("series_id").orderBy("__block").rowsBetween(W.Window.unboundedPreceding, -1)  # a row per block
+    ends = ends.select("series_id", "__block", *[F.last(f"__{c}", True).over(earlier).alias(f"__{c}") for c in channels])
+    within = W.Window.partitionBy("series_id", "__block").orderBy("t").rowsBetween(W.Window.unboundedPreceding, 0)
+    own = rows.select("series_id", "t", "__block", *[F.last(c, True).over(within).alias(c) for c in channels])
+    return own.join(ends, ["series_id", "__block"]).select("series_id", "t", *[F.coalesce(c, f"__{c}").alias(c) for c in channels])
+
+
+def regularise(events: DataFrame, *, time: str, unit: str, value: Column | str, channels: Sequence[str], channel: Column | str, series: Column | None = None, how: str = "sum", fill: float | str | None = 0.0, block: int = BLOCK) -> DataFrame:
     """Wide series on a gap-free grid: one row per series and step between its first and last.
 
     how: sum, avg, count, min or max of value within a step.  fill: a number
@@ -28,11 +41,11 @@ def regularise(events: DataFrame, *, time: str, unit: str, value: Column | str,
     agg = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max}[how]
     cells = own.groupBy("series_id", "t").agg(*[agg(F.when(F.col("channel") == c, F.col("v"))).cast("double").alias(c) for c in channels])
     span = cells.groupBy("series_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    grid = span.select("series_id", F.explode(F.sequence("lo", "hi")).alias("t"))
+    pieces = span.select("series_id", "hi", F.explode(F.sequence("lo", "hi", F.lit(block))).alias("from"))  # an array holds one block at most
+    grid = pieces.select("series_id", F.explode(F.sequence("from", F.least("hi", F.col("from") + block - 1))).alias("t"))
     out = grid.join(cells, ["series_id", "t"], "left")
     if fill == "locf":
-        before = W.Window.partitionBy("series_id").orderBy("t").rowsBetween(W.Window.unboundedPreceding, 0)
-        return out.select("series_id", "t", *[F.last(c, True).over(before).alias(c) for c in channels])
+        return _carried(out, channels, block)
     return out if fill is None else out.fillna(float(fill), list(channels))
 
 

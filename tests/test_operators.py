@@ -167,6 +167,8 @@ def test_regularise_fills_gaps(spark):
     long = S.to_long(S.regularise(ev, **args), ["a", "b"])
     assert S.to_wide(S.from_channel_major(S.to_channel_major(long)), ["a", "b"]).count() == 4
     assert S.regularise(ev.where("false"), **args).count() == 0
+    for fill in (0.0, "locf"):
+        assert sorted(map(tuple, S.regularise(ev, **args, fill=fill, block=2).collect()), key=str) == sorted(map(tuple, S.regularise(ev, **args, fill=fill).collect()), key=str)
 
 
 def test_hankel(wide, series):
@@ -199,6 +201,10 @@ def test_entropies_and_significance(spark):
     assert static.discrete_entropy(df, ["x"]).first().entropy == pytest.approx(1)
     assert static.discrete_mutual_information(df, ["x"], ["y"]).first().mutual_information == pytest.approx(0, abs=1e-12)
     assert static.discrete_total_correlation(df.select("x", F.col("x").alias("z")), ["x", "z"]).first().total_correlation == pytest.approx(1)
+    nulls = spark.createDataFrame([(None, 1), (None, 2), (1, 1), (1, None)], "x int, y int")
+    assert [round(r.entropy, 6) for r in static.entropies(nulls, [["x"], ["x", "y"], ["y"], ["x"]]).orderBy("set").collect()] == [1.0, 2.0, 1.5, 1.0]
+    many = spark.range(3000).select((F.pow(F.col("id") / 3000.0, 6) + 1e-12).alias("p"))
+    assert checks.significance(many, bins=64).where("significant").count() == checks.significance(many, bins=4096).where("significant").count() > 1000
     p = spark.createDataFrame([(0.001,), (0.01,), (0.03,), (0.20,), (float("nan"),), (None,)], "p double")
     assert [r.significant for r in checks.significance(p).orderBy(F.col("p").asc_nulls_last()).collect()] == [True, True, True, False, False, False]
 
