@@ -74,7 +74,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, row: Column | None
     """(row, doc_id, size, source_size, target, taken, copies) of every row of docs.
 
     `row` is what is carried along of an input row: by default all of it, as a
-    struct, so other columns may have any name.  quality: (doc_id, quality) with quality 0 or 1; labelled good
+    struct, so other columns may have any name; a narrow one saves a pass.  quality: (doc_id, quality) with quality 0 or 1; labelled good
     documents weigh 2, bad ones 1/2, others 1; of repeated labels the best
     counts.  taken = size * copies is at most `most` times the size.  Null or
     blank texts have size 0 and are never taken; a null source is a source; a
@@ -95,10 +95,13 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, row: Column | None
     # 1 - u ** (1 / weight) orders as -ln(u) / weight does, and is in (0, 1).
     base = base.withColumn("key", 1 - F.pow(u, 1 / weight)).withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(F.col("key") * buckets)).cast("int"))
 
+    scratch = Scratch(docs.sparkSession, "mixing")
+    if row is not None:  # then rows are narrow, and are read again rather than their words counted again
+        base = scratch.put("rows", base)
     cells = base.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
     by_source = W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("cell").over(by_source), F.lit(0)))
-    sizes = Scratch(docs.sparkSession, "mixing").put("sizes", cells.groupBy("source").agg(F.sum("cell").alias("source_size")))
+    sizes = scratch.put("sizes", cells.groupBy("source").agg(F.sum("cell").alias("source_size")))
     goals = targets(sizes, weights, most, task_sources)
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goals = goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))

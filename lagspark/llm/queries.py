@@ -159,7 +159,7 @@ select doc_id, held as held_out, n_tokens, n_known, n::bigint as train_tokens, r
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    out = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), row=F.lit(None).cast("int"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
