@@ -68,10 +68,11 @@ def spectral_gradient(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
     return _tangent(rows, 2 * grad)
 
 
-def adaptive(rows, objective, gradient, *, variant: int = 2, step: float = 1e-3, grow: float = 2.0, shrink: float = 0.5, tol: float = 1e-9, max_iter: int = 10_000):
+def adaptive(rows, objective, gradient, *, variant: int = 2, step: float = 1e-3, grow: float = 2.0, shrink: float = 0.5, tol: float = 1e-9, max_iter: int = 10_000, watch=None):
     """Descent whose step grows after an improvement and shrinks otherwise.
 
-    variant 1 moves only on improvement, 2 always.  Returns frames, objectives
+    variant 1 moves only on improvement, 2 always.  watch(iteration, runs,
+    objectives, steps, gradient norms) sees the starts and what follows every iteration.  Returns frames, objectives
     and codes by rising objective: 1 small step, 2 small objective, 3 small
     gradient, 0 the limit of iterations.
     """
@@ -81,7 +82,9 @@ def adaptive(rows, objective, gradient, *, variant: int = 2, step: float = 1e-3,
     norm = np.linalg.norm(g, axis=(-2, -1))
     step = np.full(len(x), step)
     code = np.where(norm < tol, 3, 0)
-    for _ in range(max_iter):
+    if watch:
+        watch(0, np.arange(len(x)), f, step, norm)
+    for iteration in range(1, max_iter + 1):
         live = np.flatnonzero(code == 0)
         if not len(live):
             break
@@ -96,15 +99,22 @@ def adaptive(rows, objective, gradient, *, variant: int = 2, step: float = 1e-3,
             norm[moved] = np.linalg.norm(g[moved], axis=(-2, -1))
         step[live] *= np.where(better, grow, shrink)
         code[live] = np.select([step[live] < tol, np.abs(f[live]) < tol, norm[live] < tol], [1, 2, 3], 0)
+        if watch:
+            watch(iteration, live, f[live], step[live], norm[live])
     order = np.argsort(f, kind="stable")
     return x[order], f[order], code[order]
 
 
-def armijo(rows, objective, gradient, *, step: float = 1.0, slope: float = 1e-4, back: float = 0.5, tries: int = 25, grad_tol: float = 1e-9, tol: float = 1e-12, max_iter: int = 1000):
-    """Descent with backtracking line search; codes 1 gradient, 2 objective, 3 no step found, 0 the limit."""
+def armijo(rows, objective, gradient, *, step: float = 1.0, slope: float = 1e-4, back: float = 0.5, tries: int = 25, grad_tol: float = 1e-9, tol: float = 1e-12, max_iter: int = 1000, watch=None):
+    """Descent with backtracking line search; codes 1 gradient, 2 objective, 3 no step found, 0 the limit.
+
+    watch is as in adaptive, with the accepted steps (0: none) and the norms before them.
+    """
     x = orthonormal(rows)
     f, code = objective(x), np.zeros(len(x), int)
-    for _ in range(max_iter):
+    if watch:
+        watch(0, np.arange(len(x)), f, np.full(len(x), step), np.linalg.norm(gradient(x), axis=(-2, -1)))
+    for iteration in range(1, max_iter + 1):
         live = np.flatnonzero(code == 0)
         if not len(live):
             break
@@ -125,6 +135,8 @@ def armijo(rows, objective, gradient, *, step: float = 1.0, slope: float = 1e-4,
             todo[at[good]] = False
             size[at[~good]] *= back
         code[live[todo]] = 3
+        if watch:
+            watch(iteration, live, f[live], np.where(todo | (code[live] == 1), 0.0, size), np.sqrt(square))
     order = np.argsort(f, kind="stable")
     return x[order], f[order], code[order]
 
@@ -166,11 +178,12 @@ def whiten(model: M.Innovations) -> tuple[M.Innovations, np.ndarray]:
     return M.Innovations(model.a, np.linalg.solve(low, model.c), model.k @ low, np.broadcast_to(np.eye(model.n), model.v.shape)), low[0]
 
 
-def search(model: M.Innovations, m: int, *, runs: int = 32, seed: int = 0, initial: np.ndarray | None = None, objective: str | None = None, optimizer: str = "adaptive", lags: int | None = None, points: int = 513, tolerance: float = 0.01, max_iter: int = 10_000, var_coef: np.ndarray | None = None) -> dict:
+def search(model: M.Innovations, m: int, *, runs: int = 32, seed: int = 0, initial: np.ndarray | None = None, objective: str | None = None, optimizer: str = "adaptive", lags: int | None = None, points: int = 513, tolerance: float = 0.01, max_iter: int = 10_000, var_coef: np.ndarray | None = None, options: dict | None = None) -> dict:
     """Many starts on the proxy, clusters, and spectral refinement of their representatives.
 
     objective: proxy or spectral runs that stage alone.  var_coef: a VAR's own
-    coefficients serve as the proxy sequence of the staged search.
+    coefficients serve as the proxy sequence of the staged search.  options:
+    further arguments of the optimizer.
     """
     white, low = whiten(model)
     start = random_frames(runs, m, model.n, seed) if initial is None else np.asarray(initial, float)
@@ -179,10 +192,10 @@ def search(model: M.Innovations, m: int, *, runs: int = 32, seed: int = 0, initi
     seq = proxy_sequence(white, lags) if var_coef is None or objective else np.linalg.solve(low, var_coef @ low)[:lags]
     h = M.transfer(white, np.linspace(0, 0.5, points))[0]
     stages = {"proxy": (lambda x: proxy(x, seq), lambda x: proxy_gradient(x, seq)), "spectral": (lambda x: spectral(x, h), lambda x: spectral_gradient(x, h))}
-    x, f, code = run(start, *stages[objective or "proxy"], max_iter=max_iter)
+    x, f, code = run(start, *stages[objective or "proxy"], max_iter=max_iter, **(options or {}))
     sizes = [1] * len(x)
     if objective is None:
         reps, sizes = cluster(grassmann_distances(x), tolerance)
-        x, f, code = run(x[reps], *stages["spectral"], max_iter=max_iter)
+        x, f, code = run(x[reps], *stages["spectral"], max_iter=max_iter, **(options or {}))
     back = orthonormal(np.linalg.solve(low.T, L.t(x)).swapaxes(-1, -2))
     return {"rows": back, "white_rows": x, "objective": f, "code": code, "size": sizes}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 
 import numpy as np
@@ -49,9 +50,9 @@ def _random(n, density, seed, symmetric):
     return (a | a.T if symmetric else a).astype(float)
 
 
-def _hub(n, broadcast):
+def _hub(n, broadcast, hub=0):
     a = np.zeros((n, n))
-    a[1:, 0] = 1
+    a[:, hub] = np.arange(n) != hub
     return a if broadcast else a.T
 
 
@@ -72,17 +73,69 @@ _BUILD = {
     "planted_modular": lambda n, **k: _modular(n, between_coupling=0.0, **k),
     "erdos_renyi": lambda n, density=0.3, seed=0, **k: _weighted(_random(n, density, seed, True), **k),
     "random_directed": lambda n, density=0.3, seed=0, **k: _weighted(_random(n, density, seed, False), **k),
-    "hub_broadcast": lambda n, **k: _weighted(_hub(n, True), **k),
-    "hub_convergent": lambda n, **k: _weighted(_hub(n, False), **k),
+    "hub_broadcast": lambda n, hub=0, **k: _weighted(_hub(n, True, hub), **k),
+    "hub_convergent": lambda n, hub=0, **k: _weighted(_hub(n, False, hub), **k),
 }
 SYSTEMS = tuple(_BUILD)
 
+# Other names of the systems above, the parameters of the modular
+# ones, and the connections (row: target, column: source) of two published
+# demonstration networks.
+ALIASES = {
+    "chain": "directed_chain",
+    "feedforward": "nonnormal_feedforward",
+    "ring": "directed_ring",
+    "cycle": "directed_ring",
+    "signed_ring": "frustrated_ring",
+    "random_network": "random_directed",
+    "star_broadcast": "hub_broadcast",
+    "star_convergent": "hub_convergent",
+}
+MODULAR = ("n_modules", "self_coupling", "within_coupling", "between_coupling")
+TNET5 = """
+1 0 0 0 0
+1 1 0 0 0
+1 0 1 0 0
+1 0 0 1 1
+0 0 0 1 1
+"""
+TNET9 = """
+1 0 1 1 0 0 0 0 0
+0 1 0 1 0 0 0 0 0
+0 0 1 1 0 0 0 0 0
+0 1 0 1 0 0 0 0 0
+0 0 1 0 1 0 0 0 0
+0 0 0 0 1 1 0 0 0
+0 0 0 0 0 1 1 0 0
+0 0 0 0 0 0 0 1 1
+0 0 0 0 0 0 1 0 1
+"""
+
+
+def named(system: str) -> str:
+    """The system's own name, from any spelling or another name of it."""
+    name = system.lower().replace("-", "_").replace(" ", "_")
+    name = ALIASES.get(name, name)
+    if name not in _BUILD:
+        raise ValueError(f"no system {system!r}; there are {', '.join(SYSTEMS)}")
+    return name
+
+
+def parameters(system: str) -> tuple[str, ...]:
+    """Names of what a topology takes besides its size: its builder's own, and the couplings that it passes on."""
+    name = named(system)
+    if "modular" in name:
+        return MODULAR if name == "modular" else MODULAR[:-1]
+    own = list(inspect.signature(_BUILD[name]).parameters.values())[1:]
+    couplings = ("self_coupling", "coupling") if any(p.kind == p.VAR_KEYWORD for p in own) else ()
+    return tuple(p.name for p in own if p.kind != p.VAR_KEYWORD) + couplings
+
 
 def transition(system: str, n: int, **parameters) -> np.ndarray:
     """The named topology with a spectral radius of one."""
     if n < 2:
         raise ValueError("at least two channels")
-    a = _BUILD[system.lower().replace("-", "_").replace(" ", "_")](n, **parameters)
+    a = _BUILD[named(system)](n, **parameters)
     return a / L.spectral_radius(a)
 
 
@@ -101,11 +154,44 @@ def module_projection(n: int, k: int = 2) -> np.ndarray:
     return own / np.linalg.norm(own, axis=1, keepdims=True)
 
 
-def masked_model(mask: np.ndarray, radius: float = 0.72, gain: float = 0.16) -> M.Innovations:
-    """An innovations model from a directed mask (target, source), scaled to a radius."""
+def network(name: str) -> np.ndarray:
+    """Mask (target, source) of a published demonstration network: tnet5 or tnet9."""
+    text = {"tnet5": TNET5, "tnet9": TNET9}[name]
+    return np.array([line.split() for line in text.strip().splitlines()], float)
+
+
+def random_mask(n: int, density: float, seed: int = 0) -> np.ndarray:
+    """A directed mask whose connections are drawn singly; every channel has its own past."""
+    mask = (_rng(seed).random((n, n)) < density).astype(float)
+    np.fill_diagonal(mask, 1)
+    return mask
+
+
+def modular_mask(modules: int, size: int, within: float, between: float, seed: int = 0) -> np.ndarray:
+    """A directed mask of blocks, with one density inside blocks and another between them."""
+    m = _modules(modules * size, modules)
+    mask = (_rng(seed).random((len(m), len(m))) < np.where(m[:, None] == m[None], within, between)).astype(float)
+    np.fill_diagonal(mask, 1)
+    return mask
+
+
+def masked_model(mask: np.ndarray, radius: float = 0.72, gain: float = 0.16, seed: int | None = None) -> M.Innovations:
+    """An innovations model from a directed mask (target, source), scaled to a radius; with a seed, its weights are normal."""
     a = np.asarray(mask, float)
     n = len(a)
-    return M.Innovations((radius * a / L.spectral_radius(a))[None], np.eye(n)[None], gain * np.eye(n)[None], np.eye(n)[None])
+    if seed is not None:
+        a = a * _rng(seed, 1).standard_normal((n, n))
+    size = L.spectral_radius(a)
+    if not size > 0:
+        raise ValueError("the mask leaves no feedback")
+    return M.Innovations((radius * a / size)[None], np.eye(n)[None], gain * np.eye(n)[None], np.eye(n)[None])
+
+
+def paired_modules(modules: int = 3, within: float = 0.15, own: float = 0.45, gain: float = 0.12) -> tuple[M.Innovations, np.ndarray]:
+    """Pairs of channels that drive each other alike, and the projection on the pairs' means, which is closed under the dynamics."""
+    n = 2 * modules
+    a = own * np.eye(n) + within * np.kron(np.eye(modules), np.eye(2)[::-1])
+    return M.Innovations(a[None], np.eye(n)[None], gain * np.eye(n)[None], np.eye(n)[None]), module_projection(n, modules)
 
 
 def random_correlation(n: int, batch: int = 1, seed: int = 0) -> np.ndarray:

@@ -150,46 +150,133 @@ def folds(n_times: int, spark, *, k: int = 5, test: int | None = None, min_train
     return spark.createDataFrame(rows, "fold int, train_end long, test_start long, test_end long")
 
 
-def _fold_rows(wide: DataFrame, channels: Sequence[str], fold_table: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """(training, test) rows of every fold, as series named series#fold; a range join with a parameter table."""
+def fold_rows(wide: DataFrame, channels: Sequence[str], fold_table: DataFrame, past: int | None, since: str = "train_end") -> tuple[DataFrame, DataFrame]:
+    """(training, test) rows of every fold, as series named series#fold; a range join with a parameter table.
+
+    Test rows begin `past` steps before the fold's train_end or test_start
+    (None: at the series' first); their phase is past, gap or test.
+    """
     first = wide.groupBy("series_id").agg(F.min("t").alias("__t0"))
     rows = wide.join(first, "series_id").withColumn("__u", F.col("t") - F.col("__t0"))
     f = F.broadcast(fold_table)  # k rows
+    u, end = F.col("__u"), F.col("train_end")
     name = F.concat_ws("#", "series_id", F.col("fold").cast("string")).alias("series_id")
-    train = rows.join(f, F.col("__u") < F.col("train_end")).select(name, "t", *channels)
-    test = rows.join(f, (F.col("__u") >= F.col("test_start") - order) & (F.col("__u") < F.col("test_end"))).select(name, "t", *channels)
+    phase = F.when(u < end, "past").when(u < F.col("test_start"), "gap").otherwise("test").alias("phase")
+    train = rows.join(f, u < end).select(name, "t", *channels)
+    reach = u < F.col("test_end")
+    test = rows.join(f, reach if past is None else reach & (u >= F.col(since) - past)).select(name, "t", *channels, phase)
     return train, test
 
 
+def fold_of(name: str = "series_id") -> Column:
+    return F.element_at(F.split(name, "#"), -1).cast("int")
+
+
+def seen_phases(evaluation: str, gap: str) -> tuple[str, ...]:
+    """Phases whose rows update a model: rolling sees tested rows, recursive doesn't; warmup sees the gap, embargo doesn't."""
+    if evaluation not in ("rolling", "recursive") or gap not in ("warmup", "embargo"):
+        raise ValueError("evaluation is rolling or recursive, gap is warmup or embargo")
+    return ("past",) + ("gap",) * (gap == "warmup") + ("test",) * (evaluation == "rolling")
+
+
+def stream(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """Rows of series in order of t, each series after its model rows, whose t is null; the model isn't copied to every row."""
+    both = rows.unionByName(fits, allowMissingColumns=True)
+    return both.repartition("series_id").sortWithinPartitions("series_id", F.col("t").asc_nulls_first())
+
+
+def stepped(test: DataFrame, models: DataFrame, channels: Sequence[str], order: int, seen: Sequence[str]) -> DataFrame:
+    """series_id, t, x, prediction, residual, sigma of the test rows of folds, step by step.
+
+    Steps of phases not in `seen`, steps without a row and rows with a null go
+    on with their prediction.  A task streams rows and holds `order` steps.
+    """
+    n = len(channels)
+    fits = models.where("status = 'ok'").select(F.col("model_id").alias("series_id"), F.lit(None).cast("long").alias("t"), "coef", "intercept", "sigma")
+    rows = stream(test.select("series_id", "t", "phase", F.array(*channels).alias("x")), fits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, coef, const, sigma, past, last = None, None, None, None, np.empty((0, n)), None
+
+        def ahead() -> np.ndarray:
+            return const + np.einsum("kij,kj->i", coef, past[::-1])
+
+        for pdf in batches:
+            out = []
+            for sid, t, phase, x, b, c, v in zip(*(pdf[k] for k in ("series_id", "t", "phase", "x", "coef", "intercept", "sigma"))):
+                if sid != at:
+                    at, coef, past, last = sid, None, np.empty((0, n)), None
+                if b is not None:
+                    coef, const, sigma = np.reshape(np.asarray(b, float), (order, n, n)), np.asarray(c, float), v
+                    continue
+                if coef is None:
+                    continue
+                for _ in range(int(t - last - 1) if last is not None else 0):
+                    new = np.vstack([past[1:], ahead()]) if len(past) == order else np.empty((0, n))
+                    if new.shape == past.shape and np.array_equal(new, past, equal_nan=True):
+                        break
+                    past = new
+                last = t
+                x = np.array([np.nan if w is None else w for w in x], float)
+                full, whole = len(past) == order, np.isfinite(x).all()
+                guess = ahead() if full else None
+                if phase == "test" and full and whole:
+                    out.append((sid, t, x, guess, x - guess, sigma))
+                new = x if whole and phase in seen else guess
+                past = np.empty((0, n)) if new is None else np.vstack([past, new])[-order:]
+            yield pd.DataFrame(out, columns=["series_id", "t", "x", "prediction", "residual", "sigma"]).astype({"t": "int64"})
+
+    return rows.mapInPandas(run, "series_id string, t long, x array<double>, prediction array<double>, residual array<double>, sigma array<double>")
+
+
 def out_of_sample(wide: DataFrame, channels: Sequence[str], order: int, fold_table: DataFrame) -> DataFrame:
     """series_id, fold, channel, rmse, nmse, r2 of one-step errors on each fold's test rows, by the VAR of its training rows."""
-    train, test = _fold_rows(wide, channels, fold_table, order)
-    got = fit_summary(models_.predictions(test, models_.fit_var(train, channels, order), channels, order), len(channels))
-    parts = F.regexp_extract("series_id", "^(.*)#([0-9]+)$", 1), F.regexp_extract("series_id", "^(.*)#([0-9]+)$", 2).cast("int")
-    return got.select(parts[0].alias("series_id"), parts[1].alias("fold"), "channel", "rmse", "nmse", "r2")
+    train, test = fold_rows(wide, channels, fold_table, order, "test_start")
+    return by_fold(fit_summary(models_.predictions(test, models_.fit_var(train, channels, order), channels, order), len(channels)))
+
+
+def by_fold(summary: DataFrame) -> DataFrame:
+    """A fit_summary of series named series#fold, with series and fold apart."""
+    series = F.regexp_extract("series_id", "^(.*)#[0-9]+$", 1)
+    return summary.select(series.alias("series_id"), fold_of().alias("fold"), *summary.columns[1:])
+
 
+def var_cross_validation(wide: DataFrame, channels: Sequence[str], orders: Sequence[int], fold_table: DataFrame, rule: str = "best", scoring: str = "rmse", evaluation: str = "rolling", gap: str = "warmup") -> DataFrame:
+    """order, fold, score (rmse or nll) of held-out predictions, with each order's mean and the choice.
 
-def var_cross_validation(wide: DataFrame, channels: Sequence[str], orders: Sequence[int], fold_table: DataFrame, rule: str = "best", scoring: str = "rmse") -> DataFrame:
-    """order, fold, score (rmse or nll) of rolling one-step predictions, with each order's mean and the choice.
+    evaluation: rolling predicts one step from observations, recursive goes on
+    from its own predictions.  gap: warmup lets the rows between training and
+    test update the history, embargo goes on with predictions there.
 
     Rows join the folds as a range join with a parameter table; all folds of an
-    order are fitted in one pass, as series named by the fold.
+    order are fitted in one pass, as series named by the fold.  Rolling scores
+    after a warmup are a native projection over the lag design.
     """
+    seen = seen_phases(evaluation, gap)
     parts = []
     for p in orders:
-        train, test = _fold_rows(wide, channels, fold_table, p)
-        got = models_.predictions(test, models_.fit_var(train, channels, p), channels, p)
+        native = len(seen) == 3
+        train, test = fold_rows(wide, channels, fold_table, p, "test_start" if native else "train_end")
+        fits = models_.fit_var(train, channels, p)
+        got = models_.predictions(test, fits, channels, p) if native else stepped(test, fits, channels, p, seen)
         if scoring == "nll":
             got, score = models_.negative_log_likelihood(got, len(channels)), F.avg("nll")
         else:
             score = F.sqrt(F.avg(F.aggregate("residual", F.lit(0.0), lambda a, r: a + r * r) / len(channels)))
-        parts.append(got.groupBy(F.element_at(F.split("series_id", "#"), -1).cast("int").alias("fold")).agg(score.alias(scoring)).withColumn("order", F.lit(p)))
+        parts.append(got.groupBy(fold_of().alias("fold")).agg(score.alias(scoring)).withColumn("order", F.lit(p)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    w = W.Window.partitionBy("order")
-    out = out.withColumn("mean", F.avg(scoring).over(w)).withColumn("se", F.stddev_samp(scoring).over(w) / F.sqrt(F.count("*").over(w)))
-    best = out.select(F.min_by("mean", "mean").alias("bm"), F.min_by("se", "mean").alias("bs")).first()  # one row
-    limit = (best.bm or 0.0) + ((best.bs or 0.0) if rule == "one_se" else 0.0)
-    chosen = out.where(F.col("mean") <= limit).agg(F.min("order")).first()[0]
-    return out.withColumn("chosen", F.col("order") == chosen)
+    return choose(out, "order", scoring, rule)
+
+
+def choose(scores: DataFrame, order: str, scoring: str, rule: str) -> DataFrame:
+    """Scores per order and fold with mean and standard error by order, and the order that the rule takes: a row per order and fold."""
+    w, every = W.Window.partitionBy(order), W.Window.partitionBy()  # scores of candidates: few rows
+    out = scores.withColumn("mean", F.avg(scoring).over(w)).withColumn("se", F.stddev_samp(scoring).over(w) / F.sqrt(F.count("*").over(w)))
+    known = F.col("mean").isNotNull() & ~F.isnan("mean")
+    best = F.min(F.when(known, F.struct("mean", order, "se"))).over(every)
+    limit = best["mean"] + (F.coalesce(best["se"], F.lit(0.0)) if rule == "one_se" else 0.0)
+    out = out.withColumn("__limit", limit)
+    chosen = F.min(F.when(F.col("mean") <= F.col("__limit"), F.col(order))).over(every)
+    return out.withColumn("chosen", F.coalesce(F.col(order) == chosen, F.lit(False))).drop("__limit")

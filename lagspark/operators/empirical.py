@@ -178,40 +178,6 @@ def innovation_diagnostics(predicted: DataFrame, n: int, max_lag: int = 10, bloc
     return found.mapInPandas(run, "series_id string, measure string, value double")
 
 
-def larimore_cross_validation(wide: DataFrame, channels: Sequence[str], orders: Sequence[int], past: int, fold_table: DataFrame, rule: str = "best") -> DataFrame:
-    """states, fold, rmse with means and the choice; a fold's moments serve all its orders."""
-    n = len(channels)
-    first = wide.groupBy("series_id").agg(F.min("t").alias("__t0"))
-    rows = wide.join(first, "series_id").withColumn("__u", F.col("t") - F.col("__t0"))
-    f = F.broadcast(fold_table)  # k rows
-    name = F.col("fold").cast("string").alias("series_id")
-    train = rows.join(f, F.col("__u") < F.col("train_end")).select(name, "t", *channels)
-    moments = lags_.lag_moments(train, channels, 2 * past - 1)
-    means = train.groupBy("series_id").agg(F.array(*[F.avg(c) for c in channels]).alias("mean"))
-    test = rows.join(f, F.col("__u") < F.col("test_end")).select(name, "t", (F.col("__u") >= F.col("test_start")).alias("scored"), F.array(*channels).alias("x"))
-    fits = moments.withColumnRenamed("model_id", "series_id").select("series_id", "cov").join(means, "series_id")
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own, fit = left.sort_values("t"), right.iloc[0]
-        cov = models_.stack(right["cov"].iloc[:1], 2 * past * n, 2 * past * n)[0]
-        x = models_.stack(own["x"], n) - np.asarray(fit["mean"], float)
-        out = []
-        for r in orders:
-            m, _ = statespace._larimore(cov, n, r, past, past, 1e-12)
-            e = ident.innovations(x[None], m)[0][own["scored"].to_numpy()]
-            out.append((int(key[0]), r, float(np.sqrt((e**2).mean()))))
-        return pd.DataFrame(out, columns=["fold", "states", "rmse"])
-
-    got = test.groupBy("series_id").cogroup(fits.groupBy("series_id")).applyInPandas(run, "fold int, states int, rmse double")
-    from pyspark.sql import window as W
-
-    w = W.Window.partitionBy("states")
-    got = got.withColumn("mean", F.avg("rmse").over(w)).withColumn("se", F.stddev_samp("rmse").over(w) / F.sqrt(F.count("*").over(w)))
-    scores = got.select("states", "mean", "se").distinct().toPandas().sort_values("states")  # a row per order
-    best = testing.pick_order(scores["states"], scores["mean"], scores["se"].fillna(0), rule)
-    return got.withColumn("chosen", F.col("states") == best)
-
-
 def macro_sweep(spark, model: M.Innovations, *, runs: int = 16, seed: int = 0, points: int = 129, max_iter: int = 500) -> DataFrame:
     """m, run, objective, loadings of dependence searches for every macro dimension below n; tasks by (m, run)."""
     n = model.n

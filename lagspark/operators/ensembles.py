@@ -181,24 +181,37 @@ def mid_quantiles(samples: DataFrame, value: str, reference: str, by: Sequence[s
     return samples.groupBy(*by).agg((F.avg(((F.col(value) < F.col(reference)) & ~equal).cast("double")) + 0.5 * F.avg(equal.cast("double"))).alias("quantile"))
 
 
-def dependence_search(spark: SparkSession, model: M.Innovations, m: int, *, runs: int = 32, seed: int = 0, tolerance: float = 0.01, optimizer: str = "adaptive", points: int = 513, max_iter: int = 10_000, lags: int | None = None, var_coef: np.ndarray | None = None) -> DataFrame:
-    """run, rows, objective (nats), code, size: proxy starts in parallel, clusters, spectral refinement in parallel."""
+def _starts(spark: SparkSession, runs: int, m: int, n: int, seed: int) -> DataFrame:
+    frames = X.random_frames(runs, m, n, seed)
+    return spark.createDataFrame([(i, f.ravel().tolist()) for i, f in enumerate(frames)], "run long, start array<double>").repartition(min(runs, 64))
+
+
+def dependence_search(
+    spark: SparkSession, model: M.Innovations, m: int, *, runs: int = 32, seed: int = 0, tolerance: float = 0.01, optimizer: str = "adaptive", points: int = 513, max_iter: int = 10_000,
+    lags: int | None = None, var_coef: np.ndarray | None = None, objective: str | None = None, options: dict | None = None,
+) -> DataFrame:
+    """run, rows, objective (nats for the spectral one), code, size: proxy starts in parallel, clusters, spectral refinement in parallel.
+
+    objective: proxy or spectral runs that stage alone, from all starts, with a
+    size of one.  options: further arguments of functions.dependence.adaptive or armijo.
+    """
     n = model.n
     white, low = X.whiten(model)
-    opts = dict(optimizer=optimizer, lags=lags, points=points, max_iter=max_iter, var_coef=var_coef)
+    opts = dict(optimizer=optimizer, lags=lags, points=points, max_iter=max_iter, options=options)
 
-    def stage(objective: str | None):
+    def stage(kind: str):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for k, start in zip(pdf["run"], pdf["start"]):
-                    got = X.search(model, m, initial=np.asarray(start, float).reshape(1, m, n), objective=objective, **{**opts, "var_coef": None if objective == "spectral" else var_coef})
+                    got = X.search(model, m, initial=np.asarray(start, float).reshape(1, m, n), objective=kind, **opts, var_coef=None if kind == "spectral" else var_coef)
                     yield pd.DataFrame({"run": [k], "rows": [got["rows"][0].ravel()], "objective": [float(got["objective"][0])], "code": [int(got["code"][0])]})
 
         return run
 
     schema = "run long, rows array<double>, objective double, code int"
-    frames = X.random_frames(runs, m, n, seed)
-    starts = spark.createDataFrame([(i, f.ravel().tolist()) for i, f in enumerate(frames)], "run long, start array<double>").repartition(min(runs, 64))
+    starts = _starts(spark, runs, m, n, seed)
+    if objective is not None:
+        return starts.mapInPandas(stage(objective), schema).withColumn("size", F.lit(1))
     first = starts.mapInPandas(stage("proxy"), schema).toPandas().sort_values(["objective", "run"])  # one row a run
     reps, sizes = X.cluster(X.grassmann_distances(X.orthonormal(np.stack(first["rows"]).reshape(-1, m, n) @ low)), tolerance)
     chosen = first.iloc[reps]
@@ -206,6 +219,21 @@ def dependence_search(spark: SparkSession, model: M.Innovations, m: int, *, runs
     return again.select("run", "start").mapInPandas(stage("spectral"), schema).join(again.select("run", "size"), "run")
 
 
+def search_paths(spark: SparkSession, model: M.Innovations, m: int, objective: str, *, runs: int = 32, seed: int = 0, optimizer: str = "adaptive", points: int = 513, max_iter: int = 10_000, lags: int | None = None, options: dict | None = None) -> DataFrame:
+    """run, iteration, objective, step, gradient (norm) of one stage from dependence_search's starts; iteration 0 is the start."""
+    n = model.n
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, start in zip(pdf["run"], pdf["start"]):
+                seen: list[tuple] = []
+                watch = lambda i, _, f, step, norm: seen.append((i, float(f[0]), float(step[0]), float(norm[0])))
+                X.search(model, m, initial=np.asarray(start, float).reshape(1, m, n), objective=objective, optimizer=optimizer, lags=lags, points=points, max_iter=max_iter, options={**(options or {}), "watch": watch})
+                yield pd.DataFrame(seen, columns=["iteration", "objective", "step", "gradient"]).assign(run=k)[["run", "iteration", "objective", "step", "gradient"]]
+
+    return _starts(spark, runs, m, n, seed).mapInPandas(run, "run long, iteration int, objective double, step double, gradient double")
+
+
 def candidate_search(spark: SparkSession, model: M.Innovations, m: int, *, candidates: int = 256, seed: int = 0, smallest: bool = True) -> DataFrame:
     """The best of random projections by exact dependence in bits: one row (run, rows, value)."""
     from ..functions import causality as R
@@ -238,6 +266,11 @@ def simulate(models: DataFrame, times: int, *, burn: int | None = None, seed: in
     return kernel(models, "series_id string, t long, x array<double>, innovation array<double>", run)
 
 
+def system_parameters(spark: SparkSession) -> DataFrame:
+    """system, parameter: what every synthetic topology takes besides its size."""
+    return spark.createDataFrame([(s, p) for s in systems.SYSTEMS for p in systems.parameters(s)], "system string, parameter string")
+
+
 def synthetic_catalogue(spark: SparkSession, n: int = 5, radii: Sequence[float] = (0.5, 0.8), correlations: Sequence[float] = (0.0, 0.3)) -> DataFrame:
     """VAR rows of every synthetic topology over a grid of radii and noise correlations."""
     from .models import VAR

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import ident
 from ..functions import linalg as L
 from ..functions import models as M
+from . import checks
 from . import lags as lags_
-from .models import INNOVATIONS, stack, write_innovations
+from .models import INNOVATIONS, stack, state_space_to_innovations, write_innovations
 
 
 def kalman_filter(dense: DataFrame, a, c, q, r, mean=None, cov=None) -> DataFrame:
@@ -87,20 +88,22 @@ def expectation_maximisation(dense: DataFrame, system: Sequence, iterations: int
     return now, history
 
 
-def larimore_from_moments(moments: DataFrame, n: int, states: int, past: int, future: int, ridge: float = 1e-12) -> DataFrame:
-    """Innovations rows by canonical variates from lag moments of past + future windows.
+def larimore_from_moments(moments: DataFrame, n: int, states: int | Sequence[int], past: int, future: int, ridge: float = 1e-12) -> DataFrame:
+    """Innovations rows by canonical variates from lag moments of past + future windows, one for every number of states.
 
     States are a linear map of the past, so every regression of the method
     comes from the one covariance matrix that a native pass gives.
     """
+    sizes = [states] if isinstance(states, int) else list(states)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for mid, cov in zip(pdf["model_id"], _covariances(pdf, n * (past + future))):
-                try:
-                    yield write_innovations([mid], _larimore(cov, n, states, past, future, ridge)[0])
-                except (np.linalg.LinAlgError, ValueError) as e:
-                    yield pd.DataFrame({"model_id": [mid], "n": n, "r": states, "a": [None], "c": [None], "k": [None], "v": [None], "status": [str(e)[:200] or "failed"]})
+                for r in sizes:
+                    try:
+                        yield write_innovations([mid], _larimore(cov, n, r, past, future, ridge)[0])
+                    except (np.linalg.LinAlgError, ValueError) as e:
+                        yield pd.DataFrame({"model_id": [mid], "n": n, "r": r, "a": [None], "c": [None], "k": [None], "v": [None], "status": [str(e)[:200] or "failed"]})
 
     return moments.select("model_id", "cov").mapInPandas(run, INNOVATIONS)
 
@@ -159,17 +162,20 @@ def bauer_order(wide: DataFrame, channels: Sequence[str], past: int, future: int
     return moments.select("model_id", "rows", "cov").mapInPandas(run, "model_id string, order int, svc double, chosen boolean")
 
 
-def n4sid(dense: DataFrame, n: int, states: int, rows: int) -> DataFrame:
-    """Per series: (model_id, n, r, a, c, q, rr, status) of a general system; a task holds one series."""
+def n4sid(dense: DataFrame, n: int, states: int | Sequence[int], rows: int) -> DataFrame:
+    """Per series and number of states: (model_id, n, r, a, c, q, rr, status) of a general system; a task holds one series."""
+    sizes = [states] if isinstance(states, int) else list(states)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("t")
-        try:
-            a, c, q, r = ident.n4sid(stack(own["x"], n)[None], states, rows)["system"]
-            parts, status = [x.ravel() for x in (a, c, q, r)], "ok"
-        except (ValueError, np.linalg.LinAlgError) as e:
-            parts, status = [None] * 4, str(e)[:200] or "failed"
-        return pd.DataFrame({"model_id": [own["series_id"].iloc[0]], "n": n, "r": states, **{k: [v] for k, v in zip(("a", "c", "q", "rr"), parts)}, "status": status})
+        x, out = stack(own["x"], n)[None], []
+        for r in sizes:
+            try:
+                parts, status = [v.ravel() for v in ident.n4sid(x, r, rows)["system"]], "ok"
+            except (ValueError, np.linalg.LinAlgError) as e:
+                parts, status = [None] * 4, str(e)[:200] or "failed"
+            out.append((own["series_id"].iloc[0], n, r, *parts, status))
+        return pd.DataFrame(out, columns=["model_id", "n", "r", "a", "c", "q", "rr", "status"])
 
     return dense.groupBy("series_id").applyInPandas(run, "model_id string, n int, r int, a array<double>, c array<double>, q array<double>, rr array<double>, status string")
 
@@ -191,3 +197,77 @@ def innovations(dense: DataFrame, model: M.Innovations) -> DataFrame:
             yield pd.DataFrame({"series_id": pdf["series_id"], "t": pdf["t"], "innovation": out})
 
     return dense.repartition("series_id").sortWithinPartitions("series_id", "t").select("series_id", "t", "x").mapInPandas(run, "series_id string, t long, innovation array<double>")
+
+
+def filtered(rows: DataFrame, models: DataFrame, n: int, seen: Sequence[str]) -> DataFrame:
+    """series_id, t, r, x, residual of test rows: one-step errors of every innovations model of a series.
+
+    Steps of phases not in `seen`, steps without a row and rows with a null
+    move the state on without a correction.  A task streams rows and holds one
+    state per model; models are told apart by their number of states.
+    """
+    fits = models.where("status = 'ok'").select(F.col("model_id").alias("series_id"), F.lit(None).cast("long").alias("t"), "r", "a", "c", "k")
+    both = checks.stream(rows.select("series_id", "t", "phase", "x"), fits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own, last = None, {}, None
+        for pdf in batches:
+            out = []
+            for sid, t, phase, x, r, a, c, k in zip(*(pdf[v] for v in ("series_id", "t", "phase", "x", "r", "a", "c", "k"))):
+                if sid != at:
+                    at, own, last = sid, {}, None
+                if a is not None:
+                    r = int(r)
+                    own[r] = [np.reshape(a, (r, r)), np.reshape(c, (n, r)), np.reshape(k, (r, n)), np.zeros(r)]
+                    continue
+                x = np.array([np.nan if w is None else w for w in x], float)
+                whole, holes = np.isfinite(x).all(), int(t - last - 1) if last is not None else 0
+                last = t
+                for r, m in own.items():
+                    a, c, k, z = m
+                    for _ in range(holes):
+                        new = a @ z
+                        if np.array_equal(new, z, equal_nan=True):
+                            break
+                        z = new
+                    e = x - c @ z
+                    if phase == "test" and whole:
+                        out.append((sid, t, r, x, e))
+                    m[3] = a @ z + k @ e if whole and phase in seen else a @ z
+            yield pd.DataFrame(out, columns=["series_id", "t", "r", "x", "residual"]).astype({"t": "int64", "r": "int32"})
+
+    return both.mapInPandas(run, "series_id string, t long, r int, x array<double>, residual array<double>")
+
+
+def fold_errors(wide: DataFrame, channels: Sequence[str], states: Sequence[int], past: int, fold_table: DataFrame, estimator: str = "larimore", evaluation: str = "rolling", gap: str = "warmup") -> DataFrame:
+    """filtered() on the test rows of folds, by models of each fold's training rows, which also give the mean.
+
+    estimator: larimore (moments) or n4sid (a task holds a fold's training rows of one series).
+    Series are named series#fold; a fold in which a fit fails has no rows for it.
+    """
+    n = len(channels)
+    train, test = checks.fold_rows(wide, channels, fold_table, None)
+    if estimator == "larimore":
+        fits = larimore_from_moments(lags_.lag_moments(train, channels, 2 * past - 1), n, states, past, past)
+    elif estimator == "n4sid":
+        whole = train.where(" and ".join(f"`{c}` is not null" for c in channels))
+        fits = state_space_to_innovations(n4sid(whole.select("series_id", "t", F.array(*channels).alias("x")), n, states, past))
+    else:
+        raise ValueError("estimator is larimore or n4sid")
+    means = train.groupBy("series_id").agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(channels)])
+    centred = F.array(*[F.col(c) - F.col(f"__m{i}") for i, c in enumerate(channels)])
+    rows = test.join(means, "series_id").select("series_id", "t", "phase", centred.alias("x"))
+    return filtered(rows, fits, n, checks.seen_phases(evaluation, gap))
+
+
+def out_of_sample(wide: DataFrame, channels: Sequence[str], states: int, past: int, fold_table: DataFrame, estimator: str = "larimore") -> DataFrame:
+    """series_id, fold, channel, rmse, nmse, r2 of one-step errors on each fold's test rows, by the model of its training rows."""
+    return checks.by_fold(checks.fit_summary(fold_errors(wide, channels, [states], past, fold_table, estimator), len(channels)))
+
+
+def cross_validation(wide: DataFrame, channels: Sequence[str], states: Sequence[int], past: int, fold_table: DataFrame, rule: str = "best", estimator: str = "larimore", evaluation: str = "rolling", gap: str = "warmup") -> DataFrame:
+    """states, fold, rmse with means and the choice; modes as in checks.var_cross_validation, a model per series and fold."""
+    errors = fold_errors(wide, channels, states, past, fold_table, estimator, evaluation, gap)
+    square = F.aggregate("residual", F.lit(0.0), lambda a, e: a + e * e) / len(channels)
+    scores = errors.groupBy(checks.fold_of().alias("fold"), F.col("r").alias("states")).agg(F.sqrt(F.avg(square)).alias("rmse"))
+    return checks.choose(scores, "states", "rmse", rule)

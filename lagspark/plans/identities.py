@@ -186,7 +186,7 @@ def estimators(spark, d):
     small = scores.agg(F.sum(F.col("aic") - F.col("plain") - 2 * F.col("k") * (F.col("k") + 1) / (F.col("n") - F.col("k") - 1)).alias("v"))
     row = lambda name, df: df.select(F.lit(name).alias("identity"), (F.round(F.col("v").cast("double"), 6) + 0.0).alias("value"))
     chosen = checks.var_cross_validation(w, Qs.TYPES2, [1, 2], Qs.folds_of(w), "one_se", "nll").where("chosen").agg((F.countDistinct("order") - 1).alias("v"))
-    state = empirical.larimore_cross_validation(w, Qs.TYPES2, [1, 2], 3, Qs.folds_of(w)).where("chosen").agg((F.countDistinct("states") - 1).alias("v"))
+    state = statespace.cross_validation(w, Qs.TYPES2, [1, 2], 3, Qs.folds_of(w)).where("chosen").agg((F.countDistinct("states") - 1).alias("v"))
     order = statespace.bauer_order(w, Qs.TYPES2, 3).agg((F.count_if("chosen") - 1).alias("v"))
     out = worst
     for name, df in (("likelihood_falls", spark.createDataFrame([(float(falls),)], "v double")), ("unstable_lattice", lwr), ("unstable_states", wild), ("small_sample", small), ("one_order", chosen), ("one_state_order", state), ("one_rank", order)):
@@ -203,6 +203,58 @@ def out_of_sample(spark, d):
     return got.unpivot([], ["score", "shares", "folds"], "identity", "value")
 
 
+def selection(spark, d):
+    """Held-out predictions by other ways: forecasts from the end of training, native projections, a fold's own errors."""
+    w, ch = Qs.hourly(spark, d), Qs.TYPES2
+    first, n = w.agg(F.min("t")).first()[0], Qs.steps(w)
+    fold = lambda test, gap: checks.folds(n, spark, k=1, test=test, gap=gap)
+    score = lambda df, cond="true": df.where(cond).agg(F.avg("rmse").alias("v"))
+
+    def by_forecast(ahead: int, since: int) -> DataFrame:
+        train = w.where(F.col("t") < first + n - ahead)
+        got = models.forecast(train, models.fit_var(train, ch, 2), ch, 2, ahead).where(F.col("t") >= first + n - ahead + since)
+        e = [F.pow(F.col("x")[i] - F.col(c), 2) for i, c in enumerate(ch)]
+        return got.join(w, ["series_id", "t"]).agg(F.sqrt(F.avg(sum(e) / len(ch))).alias("v"))
+
+    cv = lambda f, **o: score(checks.var_cross_validation(w, ch, [2], f, **o))
+    states = lambda f, kind="larimore", **o: score(statespace.cross_validation(w, ch, [2], 3, f, estimator=kind, **o))
+    own = statespace.out_of_sample(w, ch, 2, 3, fold(60, 0), "n4sid").agg(F.sqrt(F.avg(F.pow("rmse", 2))).alias("v"))
+    pairs = {
+        "recursive": (cv(fold(60, 0), evaluation="recursive"), by_forecast(60, 0)),
+        "embargo": (cv(fold(1, 5), gap="embargo"), by_forecast(6, 5)),
+        "recursive_after_embargo": (cv(fold(20, 5), evaluation="recursive", gap="embargo"), by_forecast(25, 5)),
+        "stepped": (cv(fold(60, 0), gap="embargo"), cv(fold(60, 0))),
+        "one_state_step": (states(fold(1, 0), evaluation="recursive"), states(fold(1, 0))),
+        "no_gap": (states(fold(60, 0), gap="embargo"), states(fold(60, 0))),
+        "fold_errors": (states(fold(60, 0), "n4sid"), own),
+    }
+    out = None
+    for name, (a, b) in pairs.items():
+        both = a.crossJoin(b.withColumnRenamed("v", "u"))  # one row each
+        row = both.select(F.lit(name).alias("identity"), (F.round(F.col("v") / F.col("u") - 1, 6) + 0.0).alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def paths(spark, d):
+    """A path ends where its search does, starts where its frame is and, with a line search, never rises."""
+    ship(spark)
+    model, planted = systems.paired_modules()
+    opts = dict(runs=3, seed=1, points=POINTS, max_iter=60, optimizer="armijo")
+    out = None
+    for kind in ("proxy", "spectral"):
+        path = ensembles.search_paths(spark, model, 3, kind, **opts)
+        each = path.groupBy("run").agg(F.max_by("objective", "iteration").alias("last"), F.min("objective").alias("least"), F.min("iteration").alias("start"))
+        end = each.join(ensembles.dependence_search(spark, model, 3, objective=kind, **opts).select("run", "objective"), "run")
+        got = end.agg(F.max(F.abs(F.col("last") - F.col("objective"))).alias("end"), F.max(F.col("last") - F.col("least")).alias("rise"), F.max("start").cast("double").alias("start"))
+        rows = got.unpivot([], ["end", "rise", "start"], "identity", "value").select(F.concat(F.lit(f"{kind}_"), "identity").alias("identity"), (F.round("value", 6) + 0.0).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    closed = models.write_innovations(["m"], model)
+    table = spark.createDataFrame([(r.model_id, int(r.n), int(r.r), *[[float(v) for v in getattr(r, k)] for k in "ackv"], r.status) for r in closed.itertuples()], models.INNOVATIONS)
+    got = plan.measures(table, ["dynamical_dependence"], plan.Config(macro=tuple(map(tuple, planted)))).select(F.lit("planted").alias("identity"), (F.round("value", 6) + 0.0).alias("value"))
+    return out.unionByName(got)
+
+
 def empirical_spectrum(spark, d):
     """A VAR with causality: the empirical spectral form integrates to the temporal one."""
     w = Qs.hourly(spark, d, Qs.TYPES3)
@@ -283,6 +335,8 @@ QUERIES = {
     "moving_averages": (moving_averages, "ma_variance ma_first ma_second ar_row arma_variance arma_second"),
     "estimators": (estimators, "normal_equations likelihood_falls unstable_lattice unstable_states small_sample one_order one_state_order one_rank"),
     "out_of_sample": (out_of_sample, "score shares folds"),
+    "selection": (selection, "recursive embargo recursive_after_embargo stepped one_state_step no_gap fold_errors"),
+    "paths": (paths, "proxy_end proxy_rise proxy_start spectral_end spectral_rise spectral_start planted"),
     "empirical_spectrum": (empirical_spectrum, "integral"),
     "ensembles": (ensembles_, "partitions shared_noise block_intervals residual_intervals state_space_intervals null_quantiles"),
     "dependence": (dependence, "exact_adaptive exact_armijo symmetric_distance own_distance more_candidates loadings"),

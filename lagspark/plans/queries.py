@@ -672,7 +672,37 @@ def innovation_diagnostics(spark, d):
 @query("larimore_cv")
 def larimore_cv(spark, d):
     w = hourly(spark, d)
-    return rounded(empirical.larimore_cross_validation(w, TYPES2, [1, 2, 3], 3, folds_of(w)), 4)
+    return rounded(statespace.cross_validation(w, TYPES2, [1, 2, 3], 3, folds_of(w)), 4)
+
+
+@query("var_cv_recursive")
+def var_cv_recursive(spark, d):
+    w = hourly(spark, d)
+    f = checks.folds(steps(w), w.sparkSession, k=3, test=60, gap=12)
+    return rounded(checks.var_cross_validation(w, TYPES2, [1, 2, 3], f, evaluation="recursive", gap="embargo"), 4)
+
+
+@query("n4sid_cv")
+def n4sid_cv(spark, d):
+    w = hourly(spark, d)
+    return rounded(statespace.cross_validation(w, TYPES2, [1, 2, 3], 3, folds_of(w), "one_se", "n4sid"), 4)
+
+
+@query("states_out_of_sample")
+def states_out_of_sample(spark, d):
+    w = hourly(spark, d)
+    return rounded(statespace.out_of_sample(w, TYPES2, 2, 3, folds_of(w)), 4)
+
+
+@query("system_parameters")
+def system_parameters(spark, d):
+    return ensembles.system_parameters(ship(spark))
+
+
+@query("search_paths")
+def search_paths(spark, d):
+    model = systems.masked_model(systems.network("tnet5"), seed=1)
+    return rounded(ensembles.search_paths(ship(spark), model, 2, "spectral", runs=4, seed=1, points=65, max_iter=100, optimizer="armijo"), 4)
 
 
 @query("macro_sweep")

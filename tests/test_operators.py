@@ -276,7 +276,7 @@ def test_empirical_operators(spark, wide, series):
     assert value > -0.01 and M.integrate(spec["value"].to_numpy(), f) == pytest.approx(value, abs=0.01)
     w = empirical.whiteness(wide, ["a", "b"], 1).toPandas()
     assert ((w["pvalue"] >= 0) & (w["pvalue"] <= 1)).all() and (abs(w["dw"] - 2) < 0.6).all()
-    cv = empirical.larimore_cross_validation(wide.where("series_id = 's0'"), ["a", "b"], [1, 2], 3, checks.folds(150, spark, k=2, test=20))
+    cv = statespace.cross_validation(wide.where("series_id = 's0'"), ["a", "b"], [1, 2], 3, checks.folds(150, spark, k=2, test=20))
     assert cv.where("chosen").select("states").distinct().count() == 1 and cv.count() == 4
 
 
@@ -332,7 +332,7 @@ def test_registered_queries_take_the_length_of_the_series(spark, tmp_path):
     want = {
         "var_cv": checks.var_cross_validation(w, queries.TYPES2, [1, 2, 3], f),
         "var_cv_nll": checks.var_cross_validation(w, queries.TYPES2, [1, 2], f, "one_se", "nll"),
-        "larimore_cv": empirical.larimore_cross_validation(w, queries.TYPES2, [1, 2, 3], 3, f),
+        "larimore_cv": statespace.cross_validation(w, queries.TYPES2, [1, 2, 3], 3, f),
         "mvgc_pvalues": checks.significance(checks.mvgc_pvalues(m, (1, 1, 0), 1, 899)),
     }
     for name, rows in want.items():
@@ -349,3 +349,122 @@ def test_bootstrap_rejects_several_series(wide):
     for call in (lambda d: ensembles.bootstrap(d, 2, 1, ["entropy_rate"], members=2), lambda d: ensembles.bootstrap_state_space(d, 2, 1, 3, ["entropy_rate"], members=2)):
         with pytest.raises(ValueError, match="one series"):
             call(S.to_dense(wide, ["a", "b"]))
+
+
+def by_hand(x, coef, const, ends, seen):
+    """Held-out predictions of one series, a step at a time; None and unseen steps go on with their prediction."""
+    train, start, end = ends
+    past, out = [x[t] for t in range(train - len(coef), train)], {}
+    for t in range(train, end):
+        guess = const + sum(a @ past[-k - 1] for k, a in enumerate(coef))
+        here = "gap" if t < start else "test"
+        if here == "test" and x[t] is not None:
+            out[t] = guess
+        past.append(x[t] if x[t] is not None and here in seen else guess)
+    return out
+
+
+@pytest.mark.parametrize("evaluation", ["rolling", "recursive"])
+@pytest.mark.parametrize("gap", ["warmup", "embargo"])
+def test_stepwise_predictions_of_folds(spark, wide, evaluation, gap):
+    f = checks.folds(150, spark, k=2, test=20, gap=4)
+    holes = wide.where("t <> 120").withColumn("a", F.when(F.col("t") != 141, F.col("a")))
+    train, test = checks.fold_rows(holes, ["a", "b"], f, 2)
+    fits = models.fit_var(train, ["a", "b"], 2)
+    seen = checks.seen_phases(evaluation, gap)
+    got = {(r.series_id, r.t): r.prediction for r in checks.stepped(test.repartition(5), fits, ["a", "b"], 2, seen).collect()}
+    rows = {(r.series_id, r.t): np.array([r.a, r.b]) for r in holes.collect() if r.a is not None}
+    want = {}
+    for m in fits.collect():
+        series_id, k = m.model_id.split("#")
+        x = [rows.get((series_id, t)) for t in range(150)]
+        ends = f.where(f"fold = {k}").first()[1:]
+        for t, v in by_hand(x, np.reshape(m.coef, (2, 2, 2)), np.array(m.intercept), ends, seen).items():
+            want[m.model_id, t] = v
+    assert got.keys() == want.keys() and len(got) == 3 * 38
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_modes_of_cross_validation_agree_where_they_must(spark, wide):
+    f = checks.folds(150, spark, k=3, test=15)
+    native = checks.var_cross_validation(wide, ["a", "b"], [1, 2], f).orderBy("order", "fold").toPandas()
+    stream = checks.var_cross_validation(wide, ["a", "b"], [1, 2], f, gap="embargo").orderBy("order", "fold").toPandas()
+    pd.testing.assert_frame_equal(native, stream[native.columns.tolist()], check_exact=False)
+    least = native.groupby("order")["rmse"].mean().idxmin()
+    assert set(native.loc[native["chosen"], "order"]) == {least}
+    with pytest.raises(ValueError, match="rolling or recursive"):
+        checks.var_cross_validation(wide, ["a", "b"], [1], f, evaluation="once")
+
+
+def test_choice_passes_over_missing_scores(spark):
+    rows = [(1, 0, 3.0), (1, 1, 3.2), (2, 0, 2.0), (2, 1, 4.0), (3, 0, None), (4, 0, float("nan"))]
+    table = spark.createDataFrame(rows, "o int, fold int, rmse double")
+    pick = lambda rule: {r.o for r in checks.choose(table, "o", "rmse", rule).where("chosen").collect()}
+    assert pick("best") == {2} and pick("one_se") == {1}
+    assert checks.choose(table.where("o = 3"), "o", "rmse", "best").where("chosen").count() == 0
+
+
+@pytest.mark.parametrize("estimator", ["larimore", "n4sid"])
+def test_state_space_folds_keep_series_apart(spark, wide, series, estimator):
+    f = checks.folds(150, spark, k=2, test=20, gap=3)
+    got = statespace.fold_errors(wide, ["a", "b"], [1, 2], 3, f, estimator).toPandas()
+    assert len(got) == 3 * 2 * 2 * 20
+    one = statespace.fold_errors(wide.where("series_id = 's1'"), ["a", "b"], [2], 3, f, estimator).toPandas()
+    same = got[(got["series_id"].str.startswith("s1#")) & (got["r"] == 2)]
+    key = lambda t: np.stack(t.sort_values(["series_id", "t"])["residual"])
+    assert np.allclose(key(one), key(same))
+    if estimator == "n4sid":
+        end = f.where("fold = 0").first()
+        x = series[1] - series[1][: end.train_end].mean(0)
+        m = M.innovations_form(*[v[None] for v in ident.n4sid(series[1][None, : end.train_end], 2, 3)["system"]])
+        assert np.allclose(ident.innovations(x[None], m)[0][end.test_start : end.test_end], key(same[same["series_id"] == "s1#0"]))
+    each = statespace.out_of_sample(wide, ["a", "b"], 2, 3, f, estimator).toPandas()
+    cv = statespace.cross_validation(wide, ["a", "b"], [2], 3, f, estimator=estimator).toPandas()
+    assert len(each) == 3 * 2 * 2
+    for k, own in each.groupby("fold"):
+        assert cv.loc[cv["fold"] == k, "rmse"].item() == pytest.approx(np.sqrt((own["rmse"] ** 2).mean()))
+
+
+def test_a_series_too_short_for_a_fold_has_no_errors(spark, wide):
+    f = checks.folds(150, spark, k=1, test=20)
+    short = wide.where("series_id <> 's0' or t >= 128")
+    got = statespace.fold_errors(short, ["a", "b"], [1], 3, f).select("series_id").distinct().collect()
+    assert {r.series_id for r in got} == {"s1#0", "s2#0"}
+
+
+def test_search_paths_and_stages(spark):
+    from lagspark.functions import dependence as X
+    from lagspark.functions import systems
+
+    model = systems.masked_model(systems.network("tnet5"), seed=3)
+    for optimizer, options in (("adaptive", {"variant": 1, "step": 0.01}), ("armijo", {"back": 0.25})):
+        opts = dict(runs=3, seed=2, points=33, max_iter=30, optimizer=optimizer, options=options)
+        path = ensembles.search_paths(spark, model, 2, "proxy", **opts).toPandas()
+        found = ensembles.dependence_search(spark, model, 2, objective="proxy", **opts).toPandas().set_index("run")
+        for run, own in path.groupby("run"):
+            own = own.sort_values("iteration")
+            assert list(own["iteration"]) == list(range(len(own))) and (np.diff(own["objective"]) <= 1e-15).all()
+            assert own["objective"].iloc[-1] == pytest.approx(found.loc[run, "objective"]) and found.loc[run, "size"] == 1
+    seq = X.proxy_sequence(X.whiten(model)[0])
+    assert np.allclose(path[path["iteration"] == 0].sort_values("run")["objective"], X.proxy(X.orthonormal(X.random_frames(3, 2, 5, 2)), seq))
+
+
+def test_named_networks_and_parameters(spark):
+    from lagspark.functions import systems
+
+    assert systems.network("tnet5").shape == (5, 5) and systems.network("tnet9").sum() == 19
+    block = systems.modular_mask(3, 4, 1.0, 0.0)
+    assert (block == np.kron(np.eye(3), np.ones((4, 4)))).all()
+    assert (systems.random_mask(6, 0.0) == np.eye(6)).all() and (np.diag(systems.random_mask(6, 0.5, 4)) == 1).all()
+    m = systems.masked_model(systems.random_mask(6, 0.4, 1), seed=2)
+    assert np.abs(np.linalg.eigvals(m.a[0])).max() == pytest.approx(0.72) and ((m.a[0] != 0) <= (systems.random_mask(6, 0.4, 1) != 0)).all()
+    with pytest.raises(ValueError, match="no feedback"):
+        systems.masked_model(np.eye(3, k=-1))
+    assert systems.named("Star-Broadcast") == "hub_broadcast"
+    with pytest.raises(ValueError, match="no system"):
+        systems.named("star")
+    table = ensembles.system_parameters(spark).toPandas().groupby("system")["parameter"].apply(set)
+    for name in systems.SYSTEMS:
+        assert set(systems.parameters(name)) == table[name]
+        values = {p: {"n_modules": 3, "seed": 5, "density": 0.6, "hub": 2}.get(p, 0.5) for p in table[name]}
+        assert np.abs(np.linalg.eigvals(systems.transition(name, 6, **values))).max() == pytest.approx(1)
